@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: The template's marks. Each has a space before "<", and escaped texts have a backslash there.
+#: The template's marks. Each holds "<|"; escaped texts have a backslash before each "|".
 HEAD, SAYS, END = "<|turn|> ", " <|says|> ", " <|end|>\n"
 TURNS = "array<struct<role:string,text:string>>"
 
@@ -131,8 +131,8 @@ def canonical_json(df: DataFrame, json_col: str, key: str) -> DataFrame:
 
 
 def escape(text: Column) -> Column:
-    r"""A backslash before each \ and <, so that no mark can stand in a text."""
-    return F.regexp_replace(text, r"([\\<])", r"\\$1")
+    r"""A backslash before each \ and |, so that no mark's "<|" can stand in a text."""
+    return F.regexp_replace(text, r"([\\|])", r"\\$1")
 
 
 def unescape(text: Column) -> Column:

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import texts
 
 FILTERS, SPAN, STRIDE, CHUNK = 16, 4, 2, 256
-SAMPLE, EPOCHS, BATCH, SEED, FOLDS, THRESHOLD = 600, 8, 32, 11, 5, 0.3
+SAMPLE, STEPS, BATCH, SEED, FOLDS, THRESHOLD = 600, 400, 32, 11, 5, 0.3
 #: Bytes of a sampled document that the fit takes, from chunks spread over the whole of it.
 FIT_BYTES = 8192
 
@@ -106,8 +106,8 @@ def _spread(text: bytes, r: np.random.Generator) -> bytes:
     return b"".join(text[s : s + 2 * CHUNK] for s in starts)
 
 
-def fit(rows: list[tuple[bytes, int]], seed: int = SEED, epochs: int = EPOCHS) -> Network:
-    """Adam on the logistic loss; both labels weigh as much as each other, then scores are shifted back."""
+def fit(rows: list[tuple[bytes, int]], seed: int = SEED, steps: int = STEPS) -> Network:
+    """Adam on the logistic loss, as many steps for any sample; both labels weigh as much as each other."""
     net, r = Network(seed), np.random.default_rng(seed)
     share = float(np.mean([y for _, y in rows])) if rows else 0.5
     if not rows or share in (0.0, 1.0):
@@ -115,10 +115,12 @@ def fit(rows: list[tuple[bytes, int]], seed: int = SEED, epochs: int = EPOCHS) -
         return net
     weight = {1: 0.5 / share, 0: 0.5 / (1 - share)}
     state: dict = {}
-    for epoch in range(epochs):
-        order = r.permutation(len(rows))
-        for i in range(0, len(order), BATCH):
-            net.step([(rows[k][0], rows[k][1], weight[rows[k][1]]) for k in order[i : i + BATCH]], 0.02 if epoch < epochs * 2 // 3 else 0.005, state)
+    order: list[int] = []
+    for step in range(steps):
+        while len(order) < BATCH:
+            order += r.permutation(len(rows)).tolist()
+        batch, order = order[:BATCH], order[BATCH:]
+        net.step([(rows[k][0], rows[k][1], weight[rows[k][1]]) for k in batch], 0.02 if step < steps * 2 // 3 else 0.005, state)
     return net
 
 
