@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 SAMPLE, LISTS, ROUNDS, SEED = 20_000, 1024, 8, 23
 SUB_DIMS, CODES = 4, 256
-COVER, LEAST, RERANK, BLOCK_ROWS, QUERY_BLOCK = 0.35, 2000, 200, 20_000, 20_000
+COVER, LEAST, RERANK, BLOCK_ROWS, QUERY_BLOCK = 0.6, 2000, 300, 20_000, 20_000
 
 
 def valid(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -52,9 +52,8 @@ def kmeans(x: np.ndarray, k: int, seed: int = SEED, rounds: int = ROUNDS) -> np.
     for _ in range(rounds):
         a = _nearest(x, c)
         n = np.bincount(a, minlength=len(c))
-        sums = np.zeros_like(c)
-        np.add.at(sums, a, x)
-        c[n > 0] = sums[n > 0] / n[n > 0, None]
+        starts = (np.cumsum(n) - n)[n > 0]
+        c[n > 0] = np.add.reduceat(x[np.argsort(a, kind="stable")], starts) / n[n > 0, None]
     return c
 
 
