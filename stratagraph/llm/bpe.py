@@ -3,8 +3,7 @@
 A text is split by the pattern; each distinct piece is encoded once and remembered. Pieces that
 are tokens stand for themselves. The others become token-position rows; a recursive query joins
 neighbouring rows with the merge table and contracts each piece's leftmost pair of least rank
-until no pair is left. Ordered aggregation writes the ids of a piece, and another ordered
-aggregation decodes id lists. The merge table has every split of every token into two tokens,
+until no pair is left. Ordered aggregations write the ids of a piece and decode them. The merge table has every split of every token into two tokens,
 because neighbours merge whenever their joined bytes are a token.
 
 The rows of a piece are rewritten once a merge, so a piece of n bytes costs n * n; pieces over
@@ -18,6 +17,8 @@ memory is bounded whatever it reads.
 from __future__ import annotations
 
 import base64
+import contextlib
+import ctypes
 import hashlib
 import heapq
 from itertools import chain
@@ -30,7 +31,8 @@ from .common import texts
 
 LONG, REMEMBERED, AT_ONCE = 200, 800_000, 20_000
 
-ENCODE = """
+CONTRACT = """
+CREATE OR REPLACE TEMP TABLE done AS
 WITH RECURSIVE steps(done, w, pos, id, right_id, right_pos) AS (
   SELECT false, w, pos, id, lead(id) OVER (PARTITION BY w ORDER BY pos), lead(pos) OVER (PARTITION BY w ORDER BY pos) FROM start
   UNION ALL
@@ -45,10 +47,14 @@ WITH RECURSIVE steps(done, w, pos, id, right_id, right_pos) AS (
      CASE WHEN s.pos = m.pos THEN m.right_id WHEN s.right_pos = m.pos THEN m.id ELSE s.right_id END,
      CASE WHEN s.pos = m.pos THEN m.right_pos ELSE s.right_pos END
    FROM steps s LEFT JOIN made m ON s.w = m.w WHERE NOT s.done AND (m.gone IS NULL OR s.pos <> m.gone)))
-SELECT w, list(id ORDER BY pos) AS ids FROM steps WHERE done GROUP BY w ORDER BY w
+SELECT w, pos, id FROM steps WHERE done UNION ALL SELECT w, pos, id FROM whole
+"""
+WRITE = """
+SELECT w, string_agg(id::VARCHAR, ' ' ORDER BY pos) AS ids, unhex(string_agg(hex, '' ORDER BY pos)) AS bytes
+FROM done JOIN tokens USING (id) GROUP BY w ORDER BY w
 """
 DECODE = """
-SELECT w, list(bytes ORDER BY pos) AS parts FROM asked JOIN tokens USING (id) GROUP BY w ORDER BY w
+SELECT w, unhex(string_agg(hex, '' ORDER BY pos)) AS bytes FROM asked JOIN tokens USING (id) GROUP BY w ORDER BY w
 """
 
 
@@ -67,12 +73,12 @@ class Codec:
 
         self.ranks = ranks
         self.split = regex.compile(_white(pattern)).findall
-        self.bytes_of = {v: k for k, v in ranks.items()}
         self.single = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
         merged = [(ranks[t[:k]], ranks[t[k:]], v) for t, v in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks]
         a = np.array(merged, np.int64).reshape(-1, 3)
         self._table("merges", l=a[:, 0], r=a[:, 1], rank=a[:, 2])
+        self._table("tokens", id=np.fromiter(ranks.values(), np.int64), hex=[t.hex() for t in ranks])
         #: Piece to its ids as text, and to its decoded bytes where those differ from its own.
         self.text: dict[str, str] = {}
         self.other: dict[str, bytes] = {}
@@ -83,20 +89,25 @@ class Codec:
         self.db.execute(f"CREATE OR REPLACE TEMP TABLE {name} AS SELECT * FROM {name}_in")
         self.db.unregister(f"{name}_in")
 
-    def _contract(self, pieces: list[bytes]) -> list[list[int]]:
-        """Ids of pieces, by the recursive query."""
-        out: list[list[int]] = []
-        for i in range(0, len(pieces), AT_ONCE):
-            part = pieces[i : i + AT_ONCE]
-            sizes = np.array([len(p) for p in part])
-            ends = np.cumsum(sizes)
-            w = np.repeat(np.arange(len(part)), sizes)
-            pos = np.arange(ends[-1]) - np.repeat(ends - sizes, sizes)
-            self._table("start", w=w, pos=pos, id=self.single[np.frombuffer(b"".join(part), np.uint8)])
-            ids = self.db.sql(ENCODE).to_arrow_table().column("ids").combine_chunks()
-            flat, offs = ids.values.to_numpy(zero_copy_only=False), ids.offsets.to_numpy()
-            out += [flat[a:b].tolist() for a, b in zip(offs[:-1], offs[1:], strict=True)]
-        return out
+    def _rows(self, lists: list, at: list[int], ids: np.ndarray | None = None) -> dict[str, np.ndarray]:
+        """Token-position rows (w, pos, id) of id lists that stand at the given numbers."""
+        sizes = np.array([len(x) for x in lists], np.int64)
+        ends = np.cumsum(sizes)
+        pos = np.arange(sizes.sum()) - np.repeat(ends - sizes, sizes)
+        return {"w": np.repeat(np.array(at, np.int64), sizes), "pos": pos, "id": np.fromiter(chain.from_iterable(lists), np.int64) if ids is None else ids}
+
+    def contract(self, pieces: list[bytes]) -> tuple[list[str], list[bytes]]:
+        """Ids of pieces as text, by the recursive query, and the bytes that they decode to."""
+        get = self.ranks.get
+        direct = [(get(p),) if p in self.ranks else self._heap(p) if len(p) > LONG else None for p in pieces]
+        known = [k for k, x in enumerate(direct) if x is not None]
+        other = [k for k, x in enumerate(direct) if x is None]
+        self._table("whole", **self._rows([direct[k] for k in known], known))
+        raw = [pieces[k] for k in other]
+        self._table("start", **self._rows(raw, other, self.single[np.frombuffer(b"".join(raw), np.uint8)]))
+        self.db.execute(CONTRACT)
+        got = self.db.sql(WRITE).to_arrow_table()
+        return got.column("ids").to_pylist(), got.column("bytes").to_pylist()
 
     def _heap(self, piece: bytes) -> list[int]:
         """Ids of a long piece: the same contraction, leftmost pair of least rank first."""
@@ -119,39 +130,30 @@ class Codec:
                 heapq.heappush(heap, (r, prv[k], to))
         return [self.ranks[piece[k : end[k]]] for k in range(n) if alive[k]]
 
-    def decode_ids(self, lists: list[tuple[int, ...]]) -> list[bytes]:
+    def decode_ids(self, lists: list[list[int]]) -> list[bytes]:
         """The bytes of each id list, by ordered aggregation; an empty list is empty bytes."""
-        sizes = np.array([len(x) for x in lists], np.int64)
-        if not sizes.sum():
-            return [b""] * len(lists)
-        if not getattr(self, "tokens_ready", False):
-            self._table("tokens", id=list(self.bytes_of), bytes=pa.array(list(self.bytes_of.values()), pa.binary()))
-            self.tokens_ready = True
-        ends = np.cumsum(sizes)
-        self._table("asked", w=np.repeat(np.arange(len(lists)), sizes), pos=np.arange(ends[-1]) - np.repeat(ends - sizes, sizes), id=np.fromiter(chain.from_iterable(lists), np.int64))
-        got = self.db.sql(DECODE).to_arrow_table()
         out = [b""] * len(lists)
-        for w, parts in zip(got.column(0).to_pylist(), got.column(1).to_pylist(), strict=True):
-            out[w] = b"".join(parts)
+        self._table("asked", **self._rows(lists, list(range(len(lists)))))
+        got = self.db.sql(DECODE).to_arrow_table()
+        for w, x in zip(got.column(0).to_pylist(), got.column(1).to_pylist(), strict=True):
+            out[w] = x
         return out
 
     def learn(self, pieces: set[str]) -> None:
         """Encodes and decodes the pieces that are not known yet."""
         new = sorted(pieces.difference(self.text))
-        if not new:
-            return
-        raw = [p.encode("utf-8", "replace") for p in new]
-        ids: list = [(self.ranks[r],) if r in self.ranks else None for r in raw]
-        short = [k for k, x in enumerate(ids) if x is None and len(raw[k]) <= LONG]
-        for k, x in zip(short, self._contract([raw[k] for k in short]), strict=True):
-            ids[k] = x
-        for k, x in enumerate(ids):
-            if x is None:
-                ids[k] = self._heap(raw[k])
-        for p, r, x, b in zip(new, raw, ids, self.decode_ids(ids), strict=True):
-            self.text[p] = " ".join(map(str, x))
-            if b != r:
-                self.other[p] = b
+        for i in range(0, len(new), AT_ONCE):
+            part = new[i : i + AT_ONCE]
+            raw = [p.encode("utf-8", "replace") for p in part]
+            ids, decoded = self.contract(raw)
+            self.text.update(zip(part, ids, strict=True))
+            self.other.update((p, b) for p, r, b in zip(part, raw, decoded, strict=True) if r != b)
+
+    def forget(self) -> None:
+        """Drops what is remembered, so that an idle worker holds little."""
+        self.text, self.other = {}, {}
+        with contextlib.suppress(OSError, AttributeError):  # only where the C library can
+            ctypes.CDLL(None).malloc_trim(0)
 
     def ids_text(self, pieces: list[str]) -> str:
         """The ids of a text's pieces, joined by spaces."""
@@ -205,6 +207,7 @@ def _mapped(df: DataFrame, names: list[str], kinds: list, schema: str, one, path
             for i in range(0, len(ids), 1000):
                 rows = [(k, *one(c, s)) for k, s in zip(ids[i : i + 1000], c.pieces(batch[i : i + 1000]), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+        c.forget()
 
     return texts(df, id_col, text_col).mapInArrow(run, schema)
 
@@ -220,9 +223,10 @@ def decode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", ids_c
 
     def run(batches):
         c = codec(path, pattern)
+        known = set(c.ranks.values())
         for b in batches:
             lists = [x or [] for x in b.column(1).to_pylist()]
-            if any(i not in c.bytes_of for x in lists for i in x):
+            if any(i not in known for x in lists for i in x):
                 raise ValueError("an id is not in the vocabulary")
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(c.decode_ids(lists), pa.binary())], ["doc_id", "bytes"])
 
