@@ -57,7 +57,7 @@ def test_line_points(spark):
 
 def test_knn_against_numpy(spark):
     x = np.random.default_rng(1).normal(size=(300, 5)).round(1)
-    d = ((x[:, None] - x[None]) ** 2).sum(2)
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
     np.fill_diagonal(d, np.inf)
     want = {(i, int(j)) for i in range(300) for j in np.lexsort((np.arange(300), d[i]))[:7]}
     assert pairs_of(G.knn(points(spark, x), 7, block=64)) == want
@@ -157,7 +157,7 @@ def test_strong_components(spark, seed):
 def test_walks_follow_the_distribution(spark, path):
     c = C.Connecting("SL-RW", n_walks=300, seed=3).connect(path, nodes(spark, [0, 3]))
     got = {(r["state"], r["lm"]): r["p"] for r in c.influence.collect()}
-    assert got[0, 0] == 1 and abs(got[1, 0] - 2 / 3) < 0.1 and abs(got[2, 3] - 2 / 3) < 0.1
+    assert all(abs(got[k, 0] - 2 / 3) < 0.1 for k in (0, 1)) and abs(got[2, 3] - 2 / 3) < 0.1
 
 
 def test_centralities(spark):
