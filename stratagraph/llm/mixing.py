@@ -22,7 +22,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK, PERIOD, SEED, MOST_SOURCES, BUCKET_ROWS = 64, 1000, 17, 2000, 50_000
+BLOCK, PERIOD, SEED, MOST_SOURCES, BUCKET_ROWS = 64, 1000, 17, 2000, 2000
 
 
 def shares(weights: dict, period: int) -> dict:
