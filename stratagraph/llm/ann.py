@@ -185,6 +185,9 @@ def search(df: DataFrame, k: int = 10, query_step: int = 100, id_col: str = "vec
             out = [np.concatenate(x) for x in zip(*found, strict=True)]
         return pa.table({"query_id": pa.array(out[0], pa.int64()), "id": pa.array(out[1], pa.int64()), "near": pa.array(out[2], pa.float64())})
 
+    # As many tasks as groups: the codes are small, and would be packed into one task otherwise.
+    groups = parts * max((first + own for _, first, own in packed), default=1)
+    held, asked = (x.repartition(groups, "block", "part") for x in (held, asked))
     met = held.groupBy("block", "part").cogroup(asked.groupBy("block", "part")).applyInArrow(meet, "query_id long, id long, near double")
     order = Window.partitionBy("query_id").orderBy("near", "id")
     short = met.withColumn("n", F.row_number().over(order)).where(F.col("n") <= RERANK).select("query_id", "id")
