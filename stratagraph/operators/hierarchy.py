@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.session import checkpoint
+from ..functions.session import checkpoint, numbered
 from .connecting import Coarse, Connecting
 from .embedding import affinity, principal_components, random_start, tsne
 from .graph import knn_graph, normalise
@@ -54,8 +54,7 @@ def landmarks_of(levels: list[Level]) -> DataFrame:
     """(level, lm_idx, node) of all levels."""
     out = None
     for x in levels:
-        at = F.row_number().over(Window.orderBy("node")) - 1
-        rows = x.landmarks.select(F.lit(x.level).alias("level"), at.cast("long").alias("lm_idx"), "node")
+        rows = numbered(x.landmarks.select("node"), "node", "lm_idx").select(F.lit(x.level).alias("level"), "lm_idx", "node")
         out = rows if out is None else out.unionByName(rows)
     return out
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import key, uniform
-from ..functions.session import checkpoint
+from ..functions.session import checkpoint, numbered
 from .graph import drop_loops, in_degree, top_neighbours, vector_product
 
 SAMPLERS: dict[str, Callable] = {}
@@ -153,6 +153,5 @@ def add_landmarks(landmarks: DataFrame, more: DataFrame) -> DataFrame:
 
 
 def indexed(landmarks: DataFrame, level: int) -> DataFrame:
-    """(level, lm_idx, parent_idx): positions in the order of the parent's nodes; landmarks are few."""
-    at = F.row_number().over(Window.orderBy("node")) - 1
-    return landmarks.select(F.lit(level).alias("level"), at.cast("long").alias("lm_idx"), F.col("node").alias("parent_idx"))
+    """(level, lm_idx, parent_idx): positions in the order of the parent's nodes."""
+    return numbered(landmarks.select("node"), "node", "lm_idx").select(F.lit(level).alias("level"), "lm_idx", F.col("node").alias("parent_idx"))
