@@ -15,9 +15,9 @@ are compared in blocks. Texts with equal sets are one node from the start.
 Words: A-Z lower-cased, runs of other than space and \\x09-\\x0D. A set has the distinct
 runs of five words, or all the words as one if there are fewer; no words, no set and no link.
 
-Defined cases: null texts are empty; null ids are kept, without a component of their own
-(component_id is the smallest id of the class, null if it has none); rows with one id are one
-each; other columns are ignored; empty tables give empty results.
+Defined cases: null texts are empty; rows with null ids are kept in the result, never ``kept``,
+and linked only by equal sets (component_id is the smallest id among those, null if there is
+none); rows with one id are one each; other columns are ignored; empty tables give empty results.
 """
 
 from __future__ import annotations
