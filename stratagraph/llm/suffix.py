@@ -403,6 +403,7 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: b
     parts = max(64, int(spark.conf.get("spark.sql.shuffle.partitions")))
     key = lambda c: F.substring(F.unhex(F.sha2(c, 256)), 1, 16)
     docs = texts(df, id_col, text_col).withColumn("key", key(F.col("__text")))
+    docs = docs.where(F.col("key").isNotNull())  # always so; said here, or joins would add it and shuffle the texts anew
     distinct = docs.groupBy("key").agg(F.min(F.coalesce("__id", F.lit(NO_ID))).alias("rep"), F.min("__text").alias("text"))
     named = distinct.select("key", "rep", "text").mapInArrow(_name_stretches(parts), "part int, blob binary")
     found = named.repartition(parts, "part").mapInArrow(_first_stretches, FOUND)
