@@ -26,6 +26,8 @@ from pyspark.sql import types as T
 #: The template's marks. Each holds "<|"; escaped texts have a backslash before each "|".
 HEAD, SAYS, END = "<|turn|> ", " <|says|> ", " <|end|>\n"
 TURNS = "array<struct<role:string,text:string>>"
+#: Turns that are summed together, and code points of a stretch, when a formatted string is read back.
+GROUP, STRETCH = 128, 512
 
 
 def field_paths(kind: T.DataType, at: str = "") -> list[str]:
@@ -144,21 +146,64 @@ def format_turns(turns: Column) -> Column:
     return F.array_join(F.transform(turns, lambda t: F.concat(F.lit(HEAD), escape(t["role"]), F.lit(SAYS), escape(t["text"]), F.lit(END))), "")
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with the value computed once a row, also where body uses it inside a lambda."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _total(numbers: Column) -> Column:
+    return F.aggregate(numbers, F.lit(0).cast("long"), lambda a, n: a + n)
+
+
+def _before(numbers: Column) -> Column:
+    """For each number of an array of longs the sum of those before it, by sums of groups of ``GROUP``.
+
+    A fold that appends to an array would copy it once an item.
+    """
+
+    def add(n):
+        groups = F.when(F.size(n) > 0, F.sequence(F.lit(0), F.floor((F.size(n) - 1) / GROUP).cast("int"))).otherwise(F.array().cast("array<int>"))
+        sums = F.transform(groups, lambda g: _total(F.slice(n, g * GROUP + 1, GROUP)))
+        heads = _let(sums, lambda s: F.transform(s, lambda _, g: _total(F.slice(s, 1, g))))
+        return _let(heads, lambda h: F.transform(n, lambda _, k: h[F.floor(k / GROUP).cast("int")] + _total(F.slice(n, k - k % GROUP + 1, k % GROUP))))
+
+    return _let(numbers, add)
+
+
 def read_turns(formatted: Column) -> Column:
     """Turns read back from a formatted string, with the code-point span of each text in it."""
+
+    def read(parts):
+        ends = _before(F.transform(parts, lambda p: (F.length(p) + len(END)).cast("long")))
+        return F.zip_with(parts, ends, one)
+
+    def one(part, at):
+        role = F.substring_index(F.substr(part, F.lit(len(HEAD) + 1)), SAYS, 1)
+        skip = F.length(role) + F.lit(len(HEAD) + len(SAYS))
+        return F.struct(
+            unescape(role).alias("role"), unescape(F.substr(part, skip + 1)).alias("text"),
+            (at + skip).cast("long").alias("start"), (at + F.length(part)).cast("long").alias("end"),
+        )
+
     parts = F.split(formatted, r" <\|end\|>\n", -1)
-    cells = F.transform(F.slice(parts, 1, F.size(parts) - 1), lambda p: F.struct(p.alias("whole"), F.substring_index(F.substr(p, F.lit(len(HEAD) + 1)), SAYS, 1).alias("role")))
-    start = T.StructType.fromDDL("at long, turns array<struct<role:string,text:string,start:long,end:long>>")
-    empty = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<role:string,text:string,start:long,end:long>>").alias("turns")).cast(start)
+    return _let(_let(parts, lambda p: F.slice(p, 1, F.size(p) - 1)), read)
+
+
+def covered(formatted: Column, spans: Column) -> Column:
+    """The pieces of a string that code-point spans (start, end) cover.
+
+    The string is cut into stretches of ``STRETCH`` first: a substring is counted from the
+    start of its string, so many late ones of a long string would each walk all of it.
+    """
 
-    def add(acc, c):
-        skip = F.length(c["role"]) + F.lit(len(HEAD) + len(SAYS))
-        begin = acc["at"] + skip
-        end = acc["at"] + F.length(c["whole"])
-        turn = F.struct(unescape(c["role"]).alias("role"), unescape(F.substr(c["whole"], skip + 1)).alias("text"), begin.cast("long").alias("start"), end.cast("long").alias("end"))
-        return F.struct((end + len(END)).cast("long").alias("at"), F.concat(acc["turns"], F.array(turn)).alias("turns"))
+    def piece(stretches, s):
+        first = F.floor(s["start"] / STRETCH).cast("int")
+        last = F.floor((s["end"] - 1) / STRETCH).cast("int")
+        near = F.array_join(F.slice(stretches, first + 1, F.greatest(last - first + 1, F.lit(0))), "")
+        return F.substr(near, (s["start"] - first * STRETCH + 1).cast("int"), (s["end"] - s["start"]).cast("int"))
 
-    return F.aggregate(cells, empty, add, lambda a: a["turns"])
+    stretches = F.regexp_extract_all(formatted, F.lit(f"(?s).{{1,{STRETCH}}}"), F.lit(0))
+    return _let(F.struct(stretches.alias("of"), spans.alias("spans")), lambda x: F.transform(x["spans"], lambda s: piece(x["of"], s)))
 
 
 def format_chats(df: DataFrame, key: str = "conv_id", loss_roles: tuple[str, ...] = ("assistant",)) -> DataFrame:
@@ -175,7 +220,7 @@ def format_chats(df: DataFrame, key: str = "conv_id", loss_roles: tuple[str, ...
 def digests(chats: DataFrame, key: str = "conv_id") -> DataFrame:
     """Counts and digests of formatted chats, from the formatted strings."""
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    lost = F.array_join(F.transform("loss_spans", lambda s: unescape(F.substr(F.col("formatted"), (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int")))), "")
+    lost = F.array_join(F.transform(covered(F.col("formatted"), F.col("loss_spans")), unescape), "")
     out = chats.select(key, "formatted", F.size("turns").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"), lost.alias("__lost"))
     return out.select(
         key, "n_turns", "turns_sha256", F.length("__lost").cast("long").alias("loss_chars"), F.sha2(F.col("__lost"), 256).alias("loss_sha256"),

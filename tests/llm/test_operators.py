@@ -1,5 +1,6 @@
 import base64
 import random
+import re
 import zlib
 
 import numpy as np
@@ -173,6 +174,18 @@ def test_chats(spark):
     assert chat.format_chats(df.limit(0)).count() == 0
 
 
+def test_long_chats(spark):
+    """Many turns and long turns: places over several groups and stretches, with wide characters, empty texts and marks."""
+    said = ["", "a|b\\", "é中😀" * 400, chat.SAYS + chat.END + chat.HEAD, "x" * chat.STRETCH, "😀"]
+    rows = [(c, t, "user" if t % 2 else "assistant", said[(t * t + c) % len(said)]) for c, n in ((1, 700), (2, chat.GROUP), (3, 1), (4, chat.GROUP + 1)) for t in range(n)]
+    chats = chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    got = {r["conv_id"]: (r["n_turns"], r["turns_sha256"], r["loss_chars"], r["loss_sha256"]) for r in chat.digests(chats).collect()}
+    assert got == brute.chats(rows)
+    for r in chats.collect():
+        for t in r["turns"]:
+            assert t["text"] == re.sub(r"(?s)\\(.)", r"\1", r["formatted"][t["start"] : t["end"]])
+
+
 def test_chat_layouts(spark):
     df = spark.createDataFrame([(1, [("user", "a"), ("assistant", None)], "z")], "conv_id long, messages array<struct<role:string,content:string>>, extra string")
     assert chat.layout_of(df.schema) == "messages"
