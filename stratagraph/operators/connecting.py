@@ -20,6 +20,8 @@ from .graph import drop_loops, gram, normalise, sparsify, strong_components, wal
 
 CONNECTORS: dict[str, Callable] = {}
 MAX_STEPS = 1000
+#: Rows of a state's walk table in a stretch: a walker meets about so many, also on a hub.
+WIDE = 64
 
 
 @dataclass(frozen=True)
@@ -137,6 +139,21 @@ def nodes_of(edges: DataFrame) -> DataFrame:
 # Random walks.
 
 
+def _stretched(table: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """The walk table by stretches of [0, 1), and the states of several (__s, __parts), or None.
+
+    A walker is compared with the rows of its draw's stretch alone: with all rows of a hub, the
+    walkers there would cost the square of its edges.
+    """
+    wide = checkpoint(table.groupBy(F.col("src").alias("__s")).agg(F.ceil(F.count("*") / WIDE).alias("__parts")).where("__parts > 1"))
+    if not wide.limit(1).count():
+        return table, None
+    rows = table.join(wide, table["src"] == wide["__s"], "left").withColumn("__parts", F.coalesce("__parts", F.lit(1)))
+    last = F.col("__parts") - 1
+    at = F.sequence(F.least(F.floor(F.col("lo") * F.col("__parts")), last), F.least(F.floor(F.col("hi") * F.col("__parts")), last))
+    return checkpoint(rows.withColumn("stretch", F.explode(at)).select("src", "stretch", "dst", "lo", "hi")), wide
+
+
 def walks(table: DataFrame, starts: DataFrame, n_walks: int, stops: DataFrame, seed: int, max_steps: int = MAX_STEPS, allow_start: bool = True, cut: int = 8) -> DataFrame:
     """(state, walk, node, steps) of walks that reach a stop; each takes a step at least.
 
@@ -148,9 +165,14 @@ def walks(table: DataFrame, starts: DataFrame, n_walks: int, stops: DataFrame, s
     on = starts.select(F.col("node").alias("state"), "node", *(["own"] if by_cluster else []), F.explode(F.sequence(F.lit(0), F.lit(n_walks - 1))).alias("walk"))
     ends = stops.select(F.col("node").alias("__n"), *([F.col("own").alias("__own")] if by_cluster else [F.lit(True).alias("__own")]))
     done = None
+    table, wide = _stretched(table)
     for step in range(1, max_steps + 1):
         drawn = on.withColumn("u", uniform(seed, F.col("state"), F.col("walk"), F.lit(step)))
-        moved = drawn.join(table, (drawn["node"] == table["src"]) & (drawn["u"] >= table["lo"]) & (drawn["u"] < table["hi"]))
+        same = F.col("node") == F.col("src")
+        if wide is not None:
+            drawn = drawn.join(wide, F.col("node") == F.col("__s"), "left").withColumn("__at", F.floor(F.col("u") * F.coalesce("__parts", F.lit(1))))
+            same &= F.col("__at") == F.col("stretch")
+        moved = drawn.join(table, same & (F.col("u") >= F.col("lo")) & (F.col("u") < F.col("hi")))
         moved = moved.select("state", "walk", F.col("dst").alias("node"), *(["own"] if by_cluster else []))
         at = moved.join(ends, moved["node"] == ends["__n"], "left")
         if by_cluster:

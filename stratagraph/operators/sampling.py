@@ -13,6 +13,7 @@ from ..functions.session import checkpoint, numbered
 from .graph import drop_loops, in_degree, top_neighbours, vector_product
 
 SAMPLERS: dict[str, Callable] = {}
+CELLS = 1024
 
 
 @dataclass(frozen=True)
@@ -91,10 +92,15 @@ def cumulative(pi: DataFrame, buckets: int = 256) -> DataFrame:
 def walk_counts(s: Sampling, transition: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, visits): where nodes * n_walks draws from the walk distribution fall."""
     spans = cumulative(checkpoint(walk_distribution(transition, nodes, s.n_steps)))
-    draws = nodes.sparkSession.range(nodes.count() * s.n_walks).select(uniform(s.seed, F.col("id")).alias("u"))
-    cells = 1024  # draws and spans meet by cell of the unit interval
+    n = nodes.count()
+    draws = nodes.sparkSession.range(n * s.n_walks).select(uniform(s.seed, F.col("id")).alias("u"))
+    # Draws and spans meet by cell of the unit interval; with as many cells as nodes, a draw meets few spans.
+    cells = max(CELLS, n)
     a = draws.withColumn("cell", F.floor(F.col("u") * cells))
-    b = spans.withColumn("cell", F.explode(F.sequence(F.floor(F.col("lo") * cells), F.least(F.floor(F.col("hi") * cells), F.lit(cells)))))
+    low, high = F.floor(F.col("lo") * cells), F.least(F.floor(F.col("hi") * cells), F.lit(cells))
+    # A wide span covers many cells: runs of CELLS first, so that no array grows with the nodes.
+    b = spans.withColumn("run", F.explode(F.sequence(F.floor(low / CELLS), F.floor(high / CELLS))))
+    b = b.withColumn("cell", F.explode(F.sequence(F.greatest(low, F.col("run") * CELLS), F.least(high, F.col("run") * CELLS + (CELLS - 1)))))
     hit = a.join(b, "cell").where((F.col("u") >= F.col("lo")) & (F.col("u") < F.col("hi")))
     return hit.groupBy("node").agg(F.count("*").alias("visits"))
 

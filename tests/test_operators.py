@@ -160,6 +160,21 @@ def test_walks_follow_the_distribution(spark, path):
     assert all(abs(got[k, 0] - 2 / 3) < 0.1 for k in (0, 1)) and abs(got[2, 3] - 2 / 3) < 0.1
 
 
+def test_walks_meet_a_hub_by_stretches(spark, monkeypatch):
+    """Stretches and cells of any size give the walks and the draws of a plain search."""
+    star = edges(spark, [(0, k, 1.0 + 50.0 * (k == 7)) for k in range(1, 31)] + [(k, 0, 1.0) for k in range(1, 31)] + [(k, k + 1, 2.0) for k in range(1, 30)])
+    found, drawn = [], []
+    for size in (3, 10**6):
+        monkeypatch.setattr(C, "WIDE", size)
+        monkeypatch.setattr(S, "CELLS", min(size, 1024))
+        rows = C.walks(G.walk_table(star), nodes(spark, [0, 5, 12]), 8, nodes(spark, [9, 30]), 2, 4).collect()
+        found.append(sorted((r["state"], r["walk"], r["node"], r["steps"]) for r in rows))
+        visits = S.walk_counts(S.Sampling("RW", 0.2, n_walks=9, n_steps=2), G.normalise(star), C.nodes_of(star)).collect()
+        drawn.append(sorted((r["node"], r["visits"]) for r in visits))
+    assert found[0] == found[1] and len(found[0]) > 2
+    assert drawn[0] == drawn[1] and sum(n for _, n in drawn[0]) == 31 * 9
+
+
 def test_centralities(spark):
     r = np.random.default_rng(5)
     pairs = {(int(a), int(b)): float(w) for (a, b), w in zip(r.integers(0, 14, (40, 2)), r.integers(1, 4, 40), strict=True) if a != b}
