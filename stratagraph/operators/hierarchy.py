@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.session import checkpoint, numbered
@@ -73,9 +73,9 @@ def gather(landmarks: DataFrame, table: DataFrame) -> DataFrame:
 
 
 def encode_labels(labels: DataFrame) -> DataFrame:
-    """(node, label, code): codes number the sorted distinct labels from 0; there are few of them."""
-    codes = labels.select("label").distinct().withColumn("code", (F.row_number().over(Window.orderBy("label")) - 1).cast("int"))
-    return labels.join(F.broadcast(codes), "label").select("node", "label", "code")
+    """(node, label, code): codes number the sorted distinct labels from 0; null labels have none and go."""
+    codes = numbered(labels.select("label").where(F.col("label").isNotNull()).distinct(), "label", "code")
+    return labels.join(codes, "label").select("node", "label", F.col("code").cast("int").alias("code"))
 
 
 def continuous_labels(labels: DataFrame) -> DataFrame:

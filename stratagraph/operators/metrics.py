@@ -11,9 +11,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import key
+from ..functions.session import checkpoint
 from .graph import BLOCK, drop_loops, knn, undirected_edges
 
 MOST_EDGES = 5_000_000
+#: Clusters whose centres are broadcast; more meet in blocks of a Cartesian product.
+MOST_CLUSTERS = 10_000
 METRICS: dict[str, Callable[..., DataFrame]] = {}
 
 
@@ -273,14 +276,15 @@ def trustworthiness(points: DataFrame, embedding: DataFrame, k: int = 10) -> Dat
 
 @metric("dbi")
 def davies_bouldin(points: DataFrame, labels: DataFrame) -> DataFrame:
-    """The mean over clusters of the worst (S_i + S_j) / M_ij; clusters are few."""
+    """The mean over clusters of the worst (S_i + S_j) / M_ij, over all pairs of clusters."""
     p = points.join(labels.select("node", F.col("label").alias("c")), "node")
     long = p.select("node", "c", F.posexplode("features").alias("i", "x"))
     centre = long.groupBy("c", "i").agg(F.avg("x").alias("m")).groupBy("c").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("centre"))
     apart = lambda a, b: F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
-    spread = p.join(F.broadcast(centre), "c").groupBy("c").agg(F.avg(apart("features", "centre")).alias("s"))
-    each = centre.join(spread, "c")
-    pairs = each.alias("a").join(F.broadcast(each.alias("b")), F.col("a.c") != F.col("b.c"))
+    spread = p.join(centre, "c").groupBy("c").agg(F.avg(apart("features", "centre")).alias("s"))
+    each = checkpoint(centre.join(spread, "c"))
+    other = each.alias("b")
+    pairs = each.alias("a").join(F.broadcast(other) if each.count() <= MOST_CLUSTERS else other, F.col("a.c") != F.col("b.c"))
     worst = pairs.groupBy("a.c").agg(F.max((F.col("a.s") + F.col("b.s")) / apart("a.centre", "b.centre")).alias("r"))
     return worst.agg(F.avg("r").alias("value"))
 
@@ -301,7 +305,7 @@ def silhouette_samples(points: DataFrame, labels: DataFrame) -> DataFrame:
 
     size = p.groupBy(F.col("label").alias("other")).agg(F.count("*").alias("n"))
     total = _blocks(p.select("node", "features"), p, sums, "node long, other string, s double").groupBy("node", "other").agg(F.sum("s").alias("s"))
-    each = total.join(F.broadcast(size), "other").join(p.select("node", "label"), "node")
+    each = total.join(size, "other").join(p.select("node", "label"), "node")
     own = F.col("other") == F.col("label")
     a = F.max(F.when(own, F.when(F.col("n") > 1, F.col("s") / (F.col("n") - 1))))
     b = F.min(F.when(~own, F.col("s") / F.col("n")))

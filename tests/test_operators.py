@@ -175,6 +175,19 @@ def test_walks_meet_a_hub_by_stretches(spark, monkeypatch):
     assert drawn[0] == drawn[1] and sum(n for _, n in drawn[0]) == 31 * 9
 
 
+def test_many_clusters_and_missing_labels(spark, monkeypatch):
+    """Centres that are too many to broadcast give the same index; a null label has no code."""
+    r = np.random.default_rng(8)
+    pts = spark.createDataFrame([(i, [float(x) for x in r.normal(i % 4, 1, 2)]) for i in range(24)], "node long, features array<double>")
+    labels = spark.createDataFrame([(i, i % 4) for i in range(24)], "node long, label int")
+    want = M.davies_bouldin(pts, labels).first()["value"]
+    monkeypatch.setattr(M, "MOST_CLUSTERS", 0)
+    assert abs(M.davies_bouldin(pts, labels).first()["value"] - want) < 1e-12
+    named = spark.createDataFrame([(1, "b"), (2, None), (3, "a"), (4, "b")], "node long, label string")
+    assert {x["node"]: x["code"] for x in H.encode_labels(named).collect()} == {1: 1, 3: 0, 4: 1}
+    assert H.encode_labels(named.limit(0)).count() == 0
+
+
 def test_centralities(spark):
     r = np.random.default_rng(5)
     pairs = {(int(a), int(b)): float(w) for (a, b), w in zip(r.integers(0, 14, (40, 2)), r.integers(1, 4, 40), strict=True) if a != b}
