@@ -1,32 +1,41 @@
 """Mixing sources to target weights by Pfair scheduling.
 
-Rows of a source, in the order of a seeded hash, form blocks. With weight n/D, block j of a
-source may start at slot floor(j*D/n) and must be done by slot ceil((j+1)*D/n); of the blocks
-that may start, the one with the earliest deadline gets the slot. All slots are taken and every
-deadline is met, so after any number of slots each source is less than one block from its share.
-The schedule repeats every D slots, so one period is computed, and each block finds its slot
-from its number: nothing is simulated block by block. When a source runs out, the others go on
-in a new phase with their weights scaled up, so every row gets a place.
+Rows of a source, in the order of a seeded hash, form blocks. With the exact share w of a
+source (its weight over the sum of the weights, as whole numbers, not rounded), block j may
+start at slot floor(j/w) and must be done by slot ceil((j+1)/w); of the blocks that may start,
+the one with the earliest deadline gets the slot. All slots are taken and every deadline is
+met, so after any number of slots each source is less than one block from its share. When a
+source runs out, the others go on in a new phase with their weights scaled up, so every row
+gets a place; the bound holds in each phase from its start.
+
+The schedule is made on the driver, a step a block, and kept as two bytes a block; Spark gets it
+as a table of (source, block, slot), which is broadcast up to ``BROADCAST_BLOCKS`` rows.
 
 Defined cases: a null source is a source of its own (its weight is that of the key None); null
 ids and texts are kept; rows equal in all columns are interchangeable; empty tables give empty
 results; sources without a weight raise. The number of sources must be at most MOST_SOURCES:
-their counts and periods are kept on the driver, and checked.
+their counts are kept on the driver, and checked.
 """
 
 from __future__ import annotations
 
 import heapq
 import math
+from array import array
+from fractions import Fraction
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK, PERIOD, SEED, MOST_SOURCES, BUCKET_ROWS = 64, 1000, 17, 2000, 2000
+#: Blocks whose slots are broadcast; more are joined by a shuffle.
+BROADCAST_BLOCKS = 200_000
 
 
 def shares(weights: dict, period: int) -> dict:
-    """Whole numbers that sum to the period, at least 1 each, by largest remainders."""
+    """Whole numbers that sum to the period, at least 1 each, by largest remainders: weights of a short period, not used by mix()."""
     total = sum(weights.values())
     exact = {s: w / total * period for s, w in weights.items()}
     out = {s: max(1, math.floor(x)) for s, x in exact.items()}
@@ -43,46 +52,69 @@ def shares(weights: dict, period: int) -> dict:
     return out
 
 
+def whole(weights: dict) -> dict:
+    """Whole numbers in exactly the ratio of the weights."""
+    exact = {s: Fraction(w) for s, w in weights.items()}
+    scale = math.lcm(*(x.denominator for x in exact.values()))
+    return {s: int(x * scale) for s, x in exact.items()}
+
+
+def one_phase(n: list[int], left: list[int], out: array) -> None:
+    """Appends the sources of the slots, earliest deadline first, until one has no block left; n: whole weights."""
+    total, at, t = sum(n), [0] * len(n), 0
+    waiting, ready = [(0, k) for k in range(len(n))], []
+    while True:
+        while waiting and waiting[0][0] <= t:
+            k = heapq.heappop(waiting)[1]
+            heapq.heappush(ready, (-(-(at[k] + 1) * total // n[k]), at[k], k))
+        deadline, j, k = heapq.heappop(ready)
+        if t >= deadline:
+            raise AssertionError("a deadline was missed")
+        out.append(k)
+        t += 1
+        at[k] = j + 1
+        if at[k] == left[k]:
+            break
+        heapq.heappush(waiting, ((j + 1) * total // n[k], k))
+    for k, done in enumerate(at):
+        left[k] -= done
+
+
 def one_period(n: dict, period: int) -> dict[object, list[int]]:
-    """The slots of each source's blocks in one period, earliest deadline first."""
+    """The slots of each source's blocks in one period of whole weights that sum to it."""
     names = sorted(n, key=str)
-    release: dict[int, list] = {}
-    for at, s in enumerate(names):
-        k = n[s]
-        for j in range(k):
-            release.setdefault(j * period // k, []).append((-(-(j + 1) * period // k), j, at))
-    ready: list = []
+    order = plan(n, n)[1]
     slots: dict[object, list[int]] = {s: [] for s in n}
-    for t in range(period):
-        for x in release.get(t, ()):
-            heapq.heappush(ready, x)
-        deadline, _, k = heapq.heappop(ready)
-        if t >= deadline:
-            raise AssertionError("a deadline was missed")
+    for t, k in enumerate(order[:period]):
         slots[names[k]].append(t)
     return slots
 
 
-def plan(blocks: dict, weights: dict, period: int = PERIOD) -> list[tuple]:
-    """(source, first block, end block, first slot of the phase, period, slots) of each phase."""
-    left, start, out = {s: b for s, b in blocks.items() if b > 0}, 0, []
-    done = dict.fromkeys(left, 0)
+def plan(blocks: dict, weights: dict) -> tuple[list, array]:
+    """The sources in order, and for every slot the place of its source in them."""
+    names = sorted((s for s, b in blocks.items() if b > 0), key=str)
+    n = whole({s: weights[s] for s in names}) if names else {}
+    left, order = {k: blocks[s] for k, s in enumerate(names)}, array("H")
     while left:
-        d = max(period, 4 * len(left))
-        n = shares({s: weights[s] for s in left}, d)
-        slots = one_period(n, d)
-        last = {s: (b - 1) // n[s] * d + slots[s][(b - 1) % n[s]] for s, b in left.items()}
-        end = min(last.values()) + 1
-        for s in list(left):
-            took = min(left[s], end // d * n[s] + sum(x < end % d for x in slots[s]))
-            if took:
-                out.append((s, done[s], done[s] + took, start, d, slots[s]))
-            done[s] += took
-            left[s] -= took
-            if not left[s]:
-                del left[s]
-        start += end
-    return out
+        now, ks = array("H"), list(left)
+        rest = list(left.values())
+        one_phase([n[names[k]] for k in ks], rest, now)
+        order.extend(array("H", (ks[k] for k in now)))
+        left = {k: b for k, b in zip(ks, rest, strict=True) if b}
+    return names, order
+
+
+def slots_of(names: list, order: array) -> pa.Table:
+    """(__name, __of, __slot): the slot of each block of each source."""
+    at = np.frombuffer(order, np.uint16) if len(order) else np.empty(0, np.uint16)
+    slot = np.argsort(at, kind="stable")
+    source = at[slot]
+    first = np.searchsorted(source, source, "left") if len(source) else source
+    return pa.table({
+        "__name": pa.array(names, pa.string()).take(pa.array(source)),
+        "__of": pa.array(np.arange(len(slot)) - first, pa.int64()),
+        "__slot": pa.array(slot, pa.int64()),
+    })
 
 
 def tempered(counts: dict, power: float = 0.5) -> dict:
@@ -93,10 +125,11 @@ def tempered(counts: dict, power: float = 0.5) -> dict:
 def mix(df: DataFrame, weights: dict | None = None, source_col: str = "source", id_col: str = "doc_id", block: int = BLOCK, period: int = PERIOD, seed: int = SEED) -> DataFrame:
     """The rows with __block (of their source), __slot and __position; sorting by position mixes them.
 
-    weights: source to target weight; None: the square roots of the row counts.
+    weights: source to target weight; None: the square roots of the row counts. period: no effect,
+    as the schedule follows the exact weights and need not repeat.
     """
     spark = df.sparkSession
-    clash = {"__source", "__hash", "__tie", "__bucket", "__row", "__block", "__slot", "__position"}.intersection(df.columns)
+    clash = {"__source", "__hash", "__tie", "__bucket", "__row", "__block", "__slot", "__position", "__name", "__of", "__at"}.intersection(df.columns)
     if clash:
         raise ValueError(f"reserved column names: {sorted(clash)}")
     rows = df.withColumns({"__source": df[source_col].cast("string"), "__hash": F.xxhash64(F.lit(seed), df[id_col])})
@@ -106,8 +139,9 @@ def mix(df: DataFrame, weights: dict | None = None, source_col: str = "source",
     weights = tempered(total) if weights is None else weights
     if missing := [s for s in total if not weights.get(s, 0) > 0]:
         raise ValueError(f"no positive weight for {missing}")
-    phases = plan({s: -(-n // block) for s, n in total.items()}, weights, period)
-    steps = spark.createDataFrame(phases, "__source string, first long, stop long, start long, period long, slots array<long>")
+    steps = slots_of(*plan({s: -(-n // block) for s, n in total.items()}, weights))
+    few = steps.num_rows <= BROADCAST_BLOCKS
+    steps = spark.createDataFrame(steps, "__name string, __of long, __slot long")
     # A row's number in its source: rows before its hash range, and its place in the range.
     bits = max(0, math.ceil(math.log2(max(1, max(total.values(), default=0) / BUCKET_ROWS))))
     bucket = F.shiftrightunsigned("__hash", 64 - bits) if bits else F.lit(0).cast("long")
@@ -118,13 +152,8 @@ def mix(df: DataFrame, weights: dict | None = None, source_col: str = "source",
     rows = rows.withColumn("__row", F.row_number().over(order) - 1)
     rows = rows.alias("r").join(before.alias("b"), F.col("r.__source").eqNullSafe(F.col("b.__source")) & (F.col("r.__bucket") == F.col("b.__bucket"))).select("r.*", (F.col("b.before") + F.col("r.__row")).alias("__at"))
     rows = rows.withColumn("__block", F.floor(F.col("__at") / block).cast("long"))
-    joined = rows.alias("r").join(
-        F.broadcast(steps).alias("p"),
-        F.col("r.__source").eqNullSafe(F.col("p.__source")) & (F.col("r.__block") >= F.col("p.first")) & (F.col("r.__block") < F.col("p.stop")),
-    )
-    j, n = F.col("r.__block") - F.col("p.first"), F.size("p.slots")
-    slot = F.col("p.start") + F.floor(j / n).cast("long") * F.col("p.period") + F.element_at("p.slots", (j % n + 1).cast("int"))
-    out = joined.select(*[F.col(f"r.`{c}`") for c in df.columns], F.col("r.__block").alias("__block"), slot.alias("__slot"), F.col("r.__at").alias("__at"))
+    joined = rows.join(F.broadcast(steps) if few else steps, F.col("__source").eqNullSafe(F.col("__name")) & (F.col("__block") == F.col("__of")))
+    out = joined.select(*[F.col(f"`{c}`") for c in df.columns], "__block", "__slot", "__at")
     return out.withColumn("__position", F.col("__slot") * block + F.col("__at") % block).drop("__at")
 
 

@@ -163,6 +163,18 @@ def test_mixing_keeps_all_rows_in_proportion(docs, rows, empty, spark):
     assert mixed.columns == docs.columns and mixed.count() == len(rows)
 
 
+def test_long_mixes_follow_the_exact_weights(spark):
+    """Over many thousand slots no source is a block off, also one of far under a thousandth."""
+    n = {"hot": 12_000, "rare": 12, **{f"s{k}": 900 + 37 * k for k in range(19)}}
+    rows = spark.createDataFrame([(s, k) for s, k in n.items()], "source string, n long")
+    rows = rows.selectExpr("source", "explode(sequence(1L, n)) as i").selectExpr("xxhash64(source, i) as doc_id", "source")
+    for weights in (mixing.tempered(n), {s: k + (s == "rare") * 0.3 for s, k in n.items()}):
+        seen = {r["__slot"]: r["source"] for r in mixing.mix(rows, weights, block=1).collect()}
+        order = [seen[t] for t in range(sum(n.values()))]
+        last: dict = {s: t for t, s in enumerate(order)}
+        assert lag(order[: min(last.values()) + 1], weights) < 1
+
+
 def test_chats(spark):
     rows = [(1, 0, "user", "Hi <there> \\ <|end|>\n"), (1, 1, "assistant", None), (1, 2, "assistant", "\\<|turn|> user <|says|> x <|end|>\n"), (2, 1, None, ""), (2, 1, None, ""), (3, 5, "sy: <|says|> s", "😀 é \\"), (3, 4, "assistant", "<" * 50)]
     df = spark.createDataFrame([(*r, 1) for r in rows], "conv_id long, turn long, role string, text string, formatted int")
