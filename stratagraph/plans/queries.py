@@ -356,6 +356,17 @@ def c8_exact(spark, sf):
     return tidy(C.Connecting("EXACT", max_steps=6, tolerance=-1.0).connect(und(spark, sf), checkpoint(random_landmarks(spark, sf))).transition)
 
 
+@query()
+def c8_absorption_whole(spark, sf):
+    """Until convergence; c8_absorption is cut to the six rounds that its SQL unrolls."""
+    return tidy(C.absorption(G.normalise(und(spark, sf)), checkpoint(random_landmarks(spark, sf))))
+
+
+@query()
+def c8_exact_whole(spark, sf):
+    return tidy(C.Connecting("EXACT").connect(und(spark, sf), checkpoint(random_landmarks(spark, sf))).transition)
+
+
 _GROW = (
     ", grow(step, node, cluster) AS (SELECT 0, node, node FROM lm UNION ALL (WITH claims AS ("
     f"SELECT e.dst AS node, arg_min(g.cluster, md5('{SEED}:' || (g.step + 1) || ':' || g.cluster)) AS cluster, max(g.step) AS step FROM grow g JOIN und e ON e.src = g.node WHERE e.src <> e.dst AND e.dst NOT IN (SELECT node FROM grow) "
