@@ -1,8 +1,11 @@
 """License scans: an exact set-similarity join of text blocks with license templates.
 
 Words are runs of ASCII letters and digits or other letters, A-Z lower-cased. A block is a
-line; it matches a template if it holds at least ``threshold`` of the template's distinct
-words. Tokens are ordered by how many documents hold them, rarest first, counted over all
+line, or a window of consecutive words of the whole text, line breaks ignored, as many as the
+template has; it matches a template if it holds at least ``threshold`` of the template's
+distinct words. Windows find notices that wrap, also behind comment marks; of windows that
+overlap and match, the first of those that hold most counts. A window in one line is part of
+the line's block and adds none. Tokens are ordered by how many documents hold them, rarest first, counted over all
 documents; a template's prefix must meet a block (prefix filter), the block must have enough
 template words (length filter), and a meeting place must leave enough words on both sides
 (positional filter). What is left is counted exactly. Blocks are never compared pairwise:
@@ -18,6 +21,7 @@ import math
 import re
 from bisect import bisect_right
 from collections import Counter, defaultdict
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -92,7 +96,7 @@ class ContainmentIndex:
     def __init__(self, templates: dict[str, str], counts: dict[bytes, int], threshold: float = THRESHOLD):
         vocabulary = {w for t in templates.values() for w in words_of(t)}
         self.rank = {w: k for k, w in enumerate(sorted(vocabulary, key=lambda w: (counts.get(w, 0), w)))}
-        self.templates, self.prefix = [], defaultdict(list)
+        self.templates, self.prefix, self.lengths = [], defaultdict(list), []
         for label, text in templates.items():
             tokens = sorted(self.rank[w] for w in set(words_of(text)))
             if not tokens:
@@ -100,6 +104,7 @@ class ContainmentIndex:
             need = max(1, math.ceil(threshold * len(tokens) - 1e-9))
             k = len(self.templates)
             self.templates.append((label, tokens, frozenset(tokens), need))
+            self.lengths.append(len(words_of(text)))
             for at, token in enumerate(tokens[: len(tokens) - need + 1]):
                 self.prefix[token].append((k, at))
         names = {k: w for w, k in self.rank.items()}
@@ -127,9 +132,46 @@ class ContainmentIndex:
         return out
 
 
+    def windows(self, words: list[bytes], held: set[bytes]) -> list[tuple[int, int, str, float]]:
+        """(first word, end word, label, containment) of the runs of words that meet a template, as many words as it has."""
+        tokens = held.intersection(self.rank)
+        own = {self.rank[w] for w in tokens}
+        near = [k for k, t in enumerate(self.templates) if len(own & t[2]) >= t[3]]
+        if not near:
+            return []
+        places = [(at, self.rank[w]) for at, w in enumerate(words) if w in tokens]
+        out = []
+        for k in near:
+            label, _, need_set, need = self.templates[k]
+            wide = self.lengths[k]
+            hits = [x for x in places if x[1] in need_set]
+            inside: Counter = Counter()
+            last, best = 0, None  # the run of overlapping windows that match: its best one
+            for end, (at, token) in enumerate(hits):
+                inside[token] += 1
+                while hits[last][0] <= at - wide:
+                    gone = hits[last][1]
+                    inside[gone] -= 1
+                    if not inside[gone]:
+                        del inside[gone]
+                    last += 1
+                if len(inside) < need:
+                    continue
+                found = (hits[last][0], at + 1, label, len(inside) / len(need_set))
+                if best and found[0] < best[1]:
+                    best = found if found[3] > best[3] else best
+                else:
+                    out += [best] if best else []
+                    best = found
+            out += [best] if best else []
+        return out
+
+
 def scan(df: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, word and place counts, labels, score, and the blocks (line number, label, containment).
 
+    A window over several lines has the number of its first word's line.
+
     score: the largest containment found, 1 where a base phrase stands, else 0.
     """
     vocabulary = {w for t in templates.values() for w in words_of(t)}
@@ -141,8 +183,14 @@ def scan(df: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: float
         places = base_places(words) if b"license" in held or b"cc" in held else []
         blocks = []
         if not index.openers.isdisjoint(held):
-            for n, line in enumerate(text.split("\n")):
-                blocks += [(n, label, share) for label, share in index.matches(words_of(line))]
+            lines = [words_of(line) for line in text.split("\n")]
+            for n, line in enumerate(lines):
+                blocks += [(n, label, share) for label, share in index.matches(line)]
+            if len(lines) > 1 and (runs := index.windows(words, held)):
+                ends = list(accumulate(map(len, lines)))
+                runs = [(bisect_right(ends, a), bisect_right(ends, b - 1), label, share) for a, b, label, share in runs]
+                blocks += [(n, label, share) for n, last, label, share in runs if n < last]
+                blocks.sort(key=lambda x: x[0])
         base = sorted({x for _, x in places})
         every = sorted({*base, *(x for _, x, _ in blocks)})
         score = 1.0 if places else max((x for _, _, x in blocks), default=0.0)

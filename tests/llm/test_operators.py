@@ -1,6 +1,7 @@
 import base64
 import random
 import re
+import textwrap
 import zlib
 
 import numpy as np
@@ -286,6 +287,27 @@ def test_licenses(docs, rows, empty):
     assert license.scan(empty).count() == 0
 
 
+def test_wrapped_licenses(spark):
+    """Notices that wrap at any width, also behind comment marks, are met; their words dealt over a text are not."""
+    rows, want = [], []
+    for label, text in license.TEMPLATES.items():
+        for width in (20, 40, 72):
+            for mark in ("", " * ", "# "):
+                lines = textwrap.wrap(text, width)
+                rows.append((len(rows), "x = 1\n" + "\n".join(mark + x for x in lines) + "\nand so on\n"))
+                want.append((label, len(lines) > 1))
+        rows.append((len(rows), "\n".join(f"{w} then other words that say nothing here" for w in text.split())))
+        want.append((None, label))
+    got = license.scan(spark.createDataFrame(rows, "doc_id long, text string")).orderBy("doc_id").collect()
+    for r, (label, more) in zip(got, want, strict=True):
+        if label:
+            assert label in r["labels"].split(",") and r["score"] == 1
+            first = [b["line"] for b in r["blocks"] if b["label"] == label and b["containment"] == 1]
+            assert first == [1]
+        else:
+            assert more not in r["labels"].split(",")
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_containment_join_is_exact(seed):
     r = random.Random(seed)
