@@ -109,18 +109,38 @@ def _filled(turns: Column) -> Column:
     return F.transform(turns, lambda t: F.struct(blank(t["role"]).alias("role"), blank(t["text"]).alias("text")))
 
 
+def _element_paths(items: Column, top: str, role: str, text: str) -> Column:
+    """The paths that a row's list has; an item whose text would be lost, or no list, adds a path of no layout."""
+
+    def keys(e):
+        return F.map_keys(F.try_variant_get(e, "$", "map<string,variant>"))
+
+    def lost(e):
+        other = ~F.array_contains(keys(e), text) & (F.size(F.array_except(keys(e), F.array(F.lit(role), F.lit(text)))) > 0)
+        return e.isNotNull() & ~F.is_variant_null(e) & (keys(e).isNull() | other)
+
+    has = lambda k: F.exists(items, lambda e: F.coalesce(F.array_contains(keys(e), k), F.lit(False)))
+    none = ~has(role) & ~has(text)
+    path = lambda k: F.when(has(k) | none, F.lit(f"{top}[].{k}"))
+    found = F.array_compact(F.array(path(role), path(text), F.when(F.exists(items, lost), F.lit(f"{top}[]"))))
+    return F.coalesce(F.when(items.isNotNull(), found), F.array(F.lit(top)))
+
+
 def canonical_json(df: DataFrame, json_col: str, key: str) -> DataFrame:
     """(key, layout, turns) of JSON strings whose layouts differ from row to row.
 
-    The paths that a row has are hashed in the row, and the hash picks its mapping.
+    The paths that a row has are hashed in the row, and the hash picks its mapping. Lists count
+    the keys that their items have; a list without any (no items, or empty ones) has no text to
+    lose and is of its layout. A list with an item whose text its layout can't reach is unmapped.
     """
     v = F.try_parse_json(F.col(json_col))
     tops = sorted({p.split("[]")[0] for p in KNOWN} - {"conv_id", "turn", "role", "text"})
-    inner = {p.split("[]")[0]: sorted(q for q in KNOWN if q.startswith(p.split("[]")[0] + "[]")) for p in KNOWN if "[]" in p}
+    inner = {paths[0].split("[]")[0]: [p.split("[].")[1] for p in paths] for paths, _ in LAYOUTS.values() if "[]" in paths[0]}
     parts = [
-        F.when(F.try_variant_get(v, f"$.{p}", "variant").isNotNull(), F.array(*[F.lit(q) for q in inner.get(p, [p])])).otherwise(F.array().cast("array<string>"))
+        F.when(F.try_variant_get(v, f"$.{p}", "variant").isNotNull(), _element_paths(F.try_variant_get(v, f"$.{p}", "array<variant>"), p, *inner[p]) if p in inner else F.array(F.lit(p)))
+        .otherwise(F.array().cast("array<string>"))
         for p in tops
-    ]
+    ]
     hashed = F.sha2(F.array_join(F.array_sort(F.concat(*parts)), "\n"), 256)
     named = reduce(lambda c, kv: c.when(hashed == kv[0], F.lit(kv[1])), list(BY_FINGERPRINT.items())[1:], F.when(hashed == list(BY_FINGERPRINT.items())[0][0], F.lit(list(BY_FINGERPRINT.items())[0][1])))
     out = df.select(F.col(key), v.alias("__v"), F.coalesce(named, F.lit("unmapped")).alias("layout"))

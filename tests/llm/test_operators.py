@@ -214,6 +214,25 @@ def test_chat_layouts(spark):
     assert [[tuple(t) for t in r["turns"]] for r in out[:6]] == [[("user", "q"), ("assistant", "r")], [("human", "h")], [("user", "p"), ("assistant", "c")], [("user", "p"), ("assistant", "s")], [("user", "i\nn"), ("assistant", "o")], [("user", "i"), ("assistant", "o")]]
 
 
+def test_json_chats_of_other_inner_keys_are_unmapped(spark):
+    texts = {
+        '{"messages":[{"from":"human","value":"hello"}]}': "unmapped",
+        '{"conversations":[{"role":"user","content":"hello"}]}': "unmapped",
+        '{"messages":[{"role":"user","content":"q"},{"from":"gpt","value":"a"}]}': "unmapped",
+        '{"messages":[{"role":"user","content":"q"},"a"]}': "unmapped",
+        '{"messages":[{"role":"user","text":"q"}]}': "unmapped",
+        '{"messages":[{"role":"user"}]}': "unmapped",
+        '{"messages":"hello"}': "unmapped",
+        '{"messages":[{"role":"user","content":"q","from":"x"},{"role":"assistant"},null]}': "messages",
+        '{"messages":[]}': "messages",
+        '{"conversations":[{"from":"human","value":"h","id":3},{"value":"a","from":"gpt"}]}': "shared",
+    }
+    out = chat.canonical_json(spark.createDataFrame(list(enumerate(texts)), "id long, body string"), "body", "id").orderBy("id").collect()
+    assert [r["layout"] for r in out] == list(texts.values())
+    assert all(r["turns"] is None for r in out if r["layout"] == "unmapped")
+    assert [[tuple(t) for t in r["turns"]] for r in out[-3:]] == [[("user", "q"), ("assistant", ""), ("", "")], [], [("human", "h"), ("gpt", "a")]]
+
+
 def test_gif_files(docs, rows, empty):
     got = held(gif.text_media(docs), "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "media")
     for i, t in rows:
