@@ -244,6 +244,11 @@ def l3_random_walks(spark, sf):
     return S.Sampling("RW", n_walks=10, n_steps=5).sample(checkpoint(G.normalise(und(spark, sf))), nodes(spark, sf))
 
 
+@query()
+def l3_random_walks_whole(spark, sf):
+    return S.Sampling("RW").sample(checkpoint(G.normalise(und(spark, sf))), nodes(spark, sf))
+
+
 def _sql_greedy(order: str, base: str) -> str:
     return w(base) + (
         f", top AS (SELECT src, list(dst) AS l FROM (SELECT src, dst FROM t WHERE src <> dst QUALIFY row_number() OVER (PARTITION BY src ORDER BY w DESC, dst DESC) <= 3) GROUP BY src), ord AS ({order}), "
@@ -330,16 +335,34 @@ def c5_walks(spark, sf):
     return out.select("state", F.col("walk").cast("long").alias("walk"), "node", "steps")
 
 
+@query()
+def c5_walks_whole(spark, sf):
+    """The connectors' default walks and steps; c5 to c10 have few, and drop walks of over 12 steps, for their SQL."""
+    lm, c = checkpoint(random_landmarks(spark, sf, 0.2)), C.Connecting()
+    out = C.walks(checkpoint(G.walk_table(und(spark, sf))), lm, c.n_walks, lm, SEED, c.max_steps, allow_start=False)
+    return out.select("state", F.col("walk").cast("long").alias("walk"), "node", "steps")
+
+
 @query(w(TRANS, sql_random(0.2)) + sql_walks("lm", 3, _IN_LM + " AND wtab.dst <> x.state") + f" SELECT state AS src, node AS dst, {R('count(*) * 1.0::DOUBLE / sum(count(*)) OVER (PARTITION BY state)', 'w')} FROM ended GROUP BY state, node")
 def c6_landmark_walks(spark, sf):
     return tidy(C.Connecting("LL-RW", n_walks=3, max_steps=12).connect(und(spark, sf), checkpoint(random_landmarks(spark, sf, 0.2))).transition)
 
 
+@query()
+def c6_landmark_walks_whole(spark, sf):
+    return tidy(C.Connecting("LL-RW").connect(und(spark, sf), checkpoint(random_landmarks(spark, sf, 0.2))).transition)
+
+
 @query(w(TRANS, sql_random(0.2)) + sql_walks("pts", 2, _IN_LM) + ", infl AS (SELECT state, node AS lm, count(*) * 1.0::DOUBLE / sum(count(*)) OVER (PARTITION BY state) AS p FROM ended GROUP BY state, node)" + _GRAM + f" SELECT src, dst, {R('w')} FROM tc")
 def c7_state_walks(spark, sf):
     return tidy(C.Connecting("SL-RW", n_walks=2, max_steps=12).connect(und(spark, sf), checkpoint(random_landmarks(spark, sf, 0.2))).transition)
 
 
+@query()
+def c7_state_walks_whole(spark, sf):
+    return tidy(C.Connecting("SL-RW").connect(und(spark, sf), checkpoint(random_landmarks(spark, sf, 0.2))).transition)
+
+
 _INTO = "into_lm AS (SELECT src AS state, dst AS lm, w AS p FROM t WHERE src NOT IN (SELECT node FROM lm) AND dst IN (SELECT node FROM lm)), inner_t AS (SELECT * FROM t WHERE src NOT IN (SELECT node FROM lm) AND dst NOT IN (SELECT node FROM lm)), x1 AS (SELECT * FROM into_lm)"
 _ABSORB = ", ".join([_INTO] + [f"x{k} AS (SELECT state, lm, sum(p) AS p FROM (SELECT i.src AS state, x.lm, i.w * x.p AS p FROM inner_t i JOIN x{k - 1} x ON x.state = i.dst UNION ALL SELECT * FROM into_lm) GROUP BY state, lm)" for k in range(2, 7)])
 _ABSORB += ", infl AS (SELECT * FROM x6 UNION ALL SELECT node, node, 1.0 FROM lm)"
@@ -399,6 +422,11 @@ def c10_cluster_walks(spark, sf):
     return tidy(C.Connecting("CLUSTERRW", n_walks=1, seed=SEED, max_steps=12).connect(und(spark, sf), checkpoint(random_landmarks(spark, sf))).transition)
 
 
+@query()
+def c10_cluster_walks_whole(spark, sf):
+    return tidy(C.Connecting("CLUSTERRW", seed=SEED).connect(und(spark, sf), checkpoint(random_landmarks(spark, sf))).transition)
+
+
 @query()
 def c12_walktrap(spark, sf):
     return C.walktrap(und(spark, sf), 50)

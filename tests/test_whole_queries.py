@@ -1,5 +1,7 @@
 """Queries with their operators' default limits, against plain versions."""
 
+import hashlib
+
 import numpy as np
 import pyarrow.parquet as pq
 import pytest
@@ -48,3 +50,62 @@ def test_absorption_is_the_linear_solve(spark, sf, graph):
     gram = want.T @ want
     got = dense(QUERIES["c8_exact_whole"](spark, sf).select("src", "dst", "w"), marks, marks)
     assert np.allclose(got, gram / gram.sum(1, keepdims=True), atol=2e-6)
+
+
+def uniform(*parts):
+    return int(hashlib.md5(":".join(map(str, parts)).encode()).hexdigest()[:12], 16) / 2**48
+
+
+def walked(ids, t, starts, stop):
+    """(state, walk, node, steps) of 100 walks of each start, one after the other."""
+    high, out = np.cumsum(t, 1), []
+    for s in starts:
+        for walk in range(100):
+            at = s
+            for step in range(1, 1001):
+                at = ids[np.searchsorted(high[np.searchsorted(ids, at)], uniform(42, s, walk, step), "right")]
+                if stop(s, at):
+                    out.append((s, walk, at, step))
+                    break
+    return out
+
+
+def rates(found, left, right, name=lambda x: x):
+    out = np.zeros((len(left), len(right)))
+    for s, _, e, _ in found:
+        out[np.searchsorted(left, name(s)), np.searchsorted(right, name(e))] += 1
+    return out / out.sum(1, keepdims=True)
+
+
+def test_walks_are_the_plain_walks(spark, sf, graph):
+    ids, t = graph
+    order = sorted(ids, key=lambda i: hashlib.md5(f"42:{i}".encode()).hexdigest())
+    marks = np.array(sorted(order[: len(ids) // 5]))
+    held = set(marks)
+    want = walked(ids, t, marks, lambda s, e: e in held and e != s)
+    assert len(want) == 100 * len(marks) and max(x[3] for x in want) > 12
+    assert {tuple(r) for r in QUERIES["c5_walks_whole"](spark, sf).collect()} == set(want)
+    got = dense(QUERIES["c6_landmark_walks_whole"](spark, sf).select("src", "dst", "w"), marks, marks)
+    assert np.allclose(got, rates(want, marks, marks), atol=2e-6)
+    x = rates(walked(ids, t, ids, lambda s, e: e in held), ids, marks)
+    gram = x.T @ x
+    got = dense(QUERIES["c7_state_walks_whole"](spark, sf).select("src", "dst", "w"), marks, marks)
+    assert np.allclose(got, gram / gram.sum(1, keepdims=True), atol=2e-6)
+
+
+def test_cluster_walks_are_the_plain_walks(spark, sf, graph):
+    own = {r["node"]: r["cluster"] for r in QUERIES["c9_grow_clusters"](spark, sf).collect()}
+    names = np.unique(list(own.values()))
+    want = rates(walked(*graph, sorted(own), lambda s, e: own[e] != own[s]), names, names, own.get)
+    got = dense(QUERIES["c10_cluster_walks_whole"](spark, sf).select("src", "dst", "w"), names, names)
+    assert np.allclose(got, want, atol=2e-6)
+
+
+def test_most_visited_nodes_by_the_plain_distribution(spark, sf, graph):
+    ids, t = graph
+    order = np.lexsort((ids, ids % 256))
+    w = (np.full(len(ids), 1 / len(ids)) @ np.linalg.matrix_power(t, 50))[order]
+    high = np.cumsum(w / w.sum())
+    hits = np.bincount(np.searchsorted(high, [uniform(42, i) for i in range(100 * len(ids))], "right"), minlength=len(ids))
+    most = sorted(zip(-hits, ids[order], strict=True))[: len(ids) // 10]
+    assert sorted(r["node"] for r in QUERIES["l3_random_walks_whole"](spark, sf).collect()) == sorted(n for _, n in most)
