@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import features as feats
 from ..functions.hashing import sql_uniform
-from ..functions.session import checkpoint, table
+from ..functions.session import checkpoint, numbered, table
 from ..operators import connecting as C
 from ..operators import embedding as E
 from ..operators import graph as G
@@ -497,14 +497,14 @@ def e2_components(spark, sf):
 def e3_tsne(spark, sf):
     p = points(spark, sf).select("node", "features")
     n = p.count()
-    return E.tsne(E.affinity(und(spark, sf), n), E.principal_components(p), steps=100, exaggerated=50)
+    return E.tsne(E.affinity(und(spark, sf), n), E.principal_components(p))
 
 
 @query()
 def e5_level_embedding(spark, sf):
     p = points(spark, sf).select("node", "features")
     level = H.build(p, S.Sampling("HUBS", 0.2), C.Connecting("SL-BFS", k=5), directed=False)[0]
-    return H.embed(level, p, steps=100, exaggerated=50)
+    return H.embed(level, p)
 
 
 # Features.
@@ -557,9 +557,15 @@ def m1_harmonic(spark, sf):
     return tidy(M.harmonic_centrality(und(spark, sf), M.sample_nodes(nodes(spark, sf), 20, SEED)))
 
 
+@query()
+def m1_harmonic_whole(spark, sf):
+    """Of all nodes; m1_harmonic has 20, as its SQL does."""
+    return tidy(M.harmonic_centrality(und(spark, sf), nodes(spark, sf)))
+
+
 @query()
 def m2_betweenness(spark, sf):
-    return tidy(M.betweenness_centrality(weighted(spark, sf), M.sample_nodes(nodes(spark, sf), 20, SEED)))
+    return tidy(M.betweenness_centrality(weighted(spark, sf), nodes(spark, sf)))
 
 
 def _sql_bins(name: str, cond: str) -> str:
@@ -587,8 +593,8 @@ def _spectra(spark, sf):
     out = []
     for name, col in (("supplier", "s_acctbal"), ("customer", "c_acctbal")):
         t = table(spark, sf, name)
-        own = t.select(F.col(t.columns[0]).alias("k"), F.col(col).alias("value")).orderBy("k").limit(60)
-        out.append(own.select((F.row_number().over(Window.orderBy("k")) - 1).cast("long").alias("rank"), "value"))
+        own = t.select(F.col(t.columns[0]).alias("k"), F.col(col).alias("value"))
+        out.append(numbered(own, "k", "rank").select("rank", "value"))
     return out
 
 
@@ -641,7 +647,7 @@ def m11_metric_bundles(spark, sf):
     level = H.build(p.select("node", "features"), S.Sampling("HUBS", 0.2), C.Connecting("SL-BFS", k=5), directed=False)[0]
     out = M.embedding_metrics(p.select("node", "features"), xy, p.select("node", "label"), K)
     out = out.unionByName(M.spectral_metrics(G.walk_laplacian(big, p.select("node")), p.select("node"), G.walk_laplacian(level.transition, level.landmarks), level.landmarks, 20))
-    return tidy(out.unionByName(M.graph_metrics(checkpoint(big), level.transition, 50)))
+    return tidy(out.unionByName(M.graph_metrics(checkpoint(big), level.transition)))
 
 
 @query(w(PTS, sql_random()) + ", l AS (SELECT 1 AS level, node FROM lm UNION ALL SELECT 0, node FROM pts) SELECT level, label, count(*) AS n, " + R("count(*) / sum(count(*)) OVER (PARTITION BY level)", "share") + " FROM l JOIN pts USING (node) GROUP BY level, label")

@@ -109,3 +109,35 @@ def test_most_visited_nodes_by_the_plain_distribution(spark, sf, graph):
     hits = np.bincount(np.searchsorted(high, [uniform(42, i) for i in range(100 * len(ids))], "right"), minlength=len(ids))
     most = sorted(zip(-hits, ids[order], strict=True))[: len(ids) // 10]
     assert sorted(r["node"] for r in QUERIES["l3_random_walks_whole"](spark, sf).collect()) == sorted(n for _, n in most)
+
+
+def shortest(a):
+    """All distances by Floyd and Warshall; a: lengths, infinite where there is no edge."""
+    d = np.where(np.eye(len(a), dtype=bool), 0, a)
+    for k in range(len(d)):
+        d = np.minimum(d, d[:, k : k + 1] + d[k])
+    return d
+
+
+def test_centralities_have_all_nodes(spark, sf, graph):
+    ids, t = graph
+    d = shortest(np.where(t > 0, 1.0, np.inf))
+    want = np.where(d > 0, 1 / np.where(d > 0, d, 1), 0).sum(0) / (len(ids) - 1)
+    got = dict(QUERIES["m1_harmonic_whole"](spark, sf).select("node", "value").collect())
+    assert sorted(got) == ids.tolist() and np.allclose([got[i] for i in ids], want, atol=2e-6)
+    e = QUERIES["g1_knn"](spark, sf).toPandas()
+    a = np.full((len(ids), len(ids)), np.inf)
+    a[np.searchsorted(ids, e.src), np.searchsorted(ids, e.dst)] = 1 / (1 + e.d)
+    d = shortest(a)
+    want = [sum((d[:, v : v + 1] + d[v] <= d + 1e-9)[np.ix_(o, o)][np.isfinite(d[np.ix_(o, o)]) & ~np.eye(len(o), dtype=bool)].sum() for o in [np.delete(np.arange(len(ids)), v)]) for v in range(len(ids))]
+    got = dict(QUERIES["m2_betweenness"](spark, sf).select("node", "value").collect())
+    assert np.abs(np.array([got[i] for i in ids]) - want).max() <= 2 and sum(want) > 1000
+
+
+def test_metric_bundles_take_all_nodes(spark, sf, monkeypatch):
+    from stratagraph.operators import metrics
+
+    sources, plain = [], metrics.harmonic_centrality
+    monkeypatch.setattr(metrics, "harmonic_centrality", lambda g, s: (sources.append(s.count()), plain(g, s))[1])
+    assert QUERIES["m11_metric_bundles"](spark, sf).count() > 0
+    assert sources[0] == 80
