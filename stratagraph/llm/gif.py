@@ -25,6 +25,8 @@ from pyspark.sql import DataFrame
 from .common import texts
 
 WIDTH, ROWS = 64, 1024
+#: Levels of a colour in the feature's histogram.
+LEVELS = 16
 CLEAR_ROOM = 4096
 #: Grey, so that an index is its own colour.
 GREY = np.repeat(np.arange(256, dtype=np.uint8)[:, None], 3, axis=1)
@@ -216,7 +218,11 @@ def render(data: bytes) -> Iterator[tuple[int, int, np.ndarray]]:
 
     Disposal 2 clears the frame's box to the background (black), 3 restores what was there.
     """
-    width, height, common, frames = decode(data)
+    return timed(*decode(data))
+
+
+def timed(width: int, height: int, common: np.ndarray | None, frames: list[Frame]) -> Iterator[tuple[int, int, np.ndarray]]:
+    """What ``render`` gives, of a decoded file."""
     canvas, now = np.zeros((height, width, 3), np.uint8), 0
     for f in frames:
         palette = f.palette if f.palette is not None else common if common is not None else GREY
@@ -272,21 +278,36 @@ def store(text: bytes) -> bytes:
 
 def load(media: bytes) -> bytes:
     """The payload of a file that ``store`` made."""
-    return b"".join(f.indices.tobytes() for f in decode(media)[3])
+    return payload_of(decode(media)[3])
+
+
+def payload_of(frames: list[Frame]) -> bytes:
+    return b"".join(f.indices.tobytes() for f in frames)
+
+
+def feature_of(shots: Iterator[tuple[int, int, np.ndarray]]) -> str:
+    """Rendered frames in a line: their number, delays, and the filled cells of their colour histogram.
+
+    Such as ``2:10,10:0=64,273=5``; a cell is (16 red + green) 16 + blue, of 16 levels each.
+    """
+    delays, cells = [], np.zeros(LEVELS**3, np.int64)
+    for _, delay, canvas in shots:
+        delays.append(delay)
+        cells += np.array(histogram(canvas, LEVELS))
+    return f"{len(delays)}:{','.join(map(str, delays))}:{','.join(f'{k}={cells[k]}' for k in np.flatnonzero(cells))}"
 
 
 def text_media(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_media: bool = True) -> DataFrame:
     """doc_id, sizes, digests and a feature of each text's GIF, and the file itself if kept.
 
-    The feature is made of the pixels read back: frames, and counts of 16 grey levels.
+    The feature is made of the timed frames that the file read back renders.
     """
     schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string" + ", media binary" * keep_media
 
     def one(text: bytes) -> tuple:
         media = store(text)
-        payload = load(media)
-        levels = np.bincount(np.frombuffer(payload, np.uint8) >> 4, minlength=16)
-        feature = f"{-(-len(payload) // (WIDTH * ROWS))}:" + ",".join(map(str, levels))
+        read = decode(media)
+        payload, feature = payload_of(read[3]), feature_of(timed(*read))
         return len(text), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature, media
 
     def run(batches):

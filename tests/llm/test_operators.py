@@ -244,6 +244,19 @@ def test_gif_files(docs, rows, empty):
     assert gif.text_media(empty).count() == 0
 
 
+def test_gif_features_are_of_rendered_frames(spark, monkeypatch):
+    """Of a file with own palettes, as its pixels are seen, not as its indices are; and of texts in several frames."""
+    pal = np.zeros((256, 3), np.uint8)
+    pal[1], pal[2] = (255, 0, 0), (0, 255, 0)
+    data = gif.encode([gif.Frame(np.ones((2, 2), np.uint8), delay=5), gif.Frame(np.array([[2, 0]], np.uint8), delay=7, transparent=0)], 2, 2, pal)
+    assert gif.feature_of(gif.render(data)) == f"2:5,7:{15 * 16}=1,{15 * 256}=7"
+    df = spark.createDataFrame([(1, "0" * 64 * 1024 + "A" * 64), (2, None)], "doc_id long, text string")
+    got = held(gif.text_media(df), "feature")
+    assert got == {1: (f"2:10,10:{3 * 273}={64 * 2047},{4 * 273}=64",), 2: ("1:10:0=64",)}
+    monkeypatch.setattr(gif, "GREY", gif.GREY[::-1])
+    assert gif.feature_of(gif.render(gif.encode([gif.Frame(np.zeros((1, 1), np.uint8))], 1, 1, gif.GREY))) == "1:0:4095=1"
+
+
 def test_gif_rendering(spark):
     """Disposal, transparency, own palettes and interlace."""
     pal = np.zeros((256, 3), np.uint8)
