@@ -5,11 +5,15 @@ propose further, overlapping spans (secret, ssn, iban, phone-like, card-like, ma
 boosted trees score each from its format and its context, Platt scaling makes the score a
 probability, and each kind has the smallest threshold that reaches ``PRECISION`` on held-out
 examples. The training examples are generated here by rule from a fixed seed (``EXAMPLES`` of
-them), so nothing of the corpus is sampled. Of overlapping proposals the likeliest stays, and
-none may overlap a base span, so base spans always stay.
+them), so nothing of the corpus is sampled. Of overlapping proposals the likeliest stays (of
+equally likely ones the first by kind as the generators list them, then by start), and none may
+overlap a base span, so base spans always stay.
+
+Every search walks a text once: runs of digits, of mail characters and of tokens are met whole
+and by their first character only, and spans are compared with their neighbours in order.
 
 Defined cases: null texts are empty (no spans); null ids and repeated rows are kept; other
-columns are ignored; offsets are code points, ends exclusive.
+columns are ignored; offsets are code points, ends exclusive; runs of any length are allowed.
 """
 
 from __future__ import annotations
@@ -19,8 +23,10 @@ import math
 import random
 import re
 import string
+from bisect import bisect_left
 from collections import Counter
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -34,51 +40,60 @@ MORE_KINDS = ("secret", "ssn", "iban", "phone2", "card2", "email2")
 KINDS = BASE_KINDS + MORE_KINDS
 EXAMPLES, PRECISION, SEED = 6000, 0.98, 7
 
-# The base patterns.
-EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
-CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
+# The base patterns, by the first character of a run: what starts later in it could not match either.
+DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
+IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
+CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+#: Code points of 19 digits with a separator between each two.
+CARD_WIDEST = 37
+DIGIT_RUN = re.compile(r"[0-9]+")
+
+MAIL_CHARS = frozenset(string.ascii_letters + string.digits + "._%+-")
 
-MAIL_CHARS = frozenset(string.ascii_letters + string.digits + "._%+-@")
+
+#: Digit to the digit that counts in every other place.
+DOUBLED = str.maketrans("0123456789", "0246813579")
 
 
 def luhn(digits: str) -> bool:
-    total = 0
-    for k, c in enumerate(reversed(digits)):
-        d = ord(c) - 48
-        if k & 1:
-            d = 2 * d - 9 * (d > 4)
-        total += d
-    return total % 10 == 0
+    back = digits[::-1]
+    places = back[::2] + back[1::2].translate(DOUBLED)
+    return sum(k * places.count(str(k)) for k in range(1, 10)) % 10 == 0
 
 
 def _emails(text: str) -> list[tuple[int, int]]:
-    """Matches of EMAIL: each lies in a run of its characters around an @, so only those are searched."""
+    """Mail addresses: an @ with the run of mail characters before it and a dotted name after it."""
     found, done = [], 0
     at = text.find("@")
     while at >= 0:
-        start, end = at, at + 1
+        start = at
         while start > done and text[start - 1] in MAIL_CHARS:
             start -= 1
-        while end < len(text) and text[end] in MAIL_CHARS:
-            end += 1
-        found += [(m.start(), m.end()) for m in EMAIL.finditer(text, start, end)]
-        done = end
-        at = text.find("@", end)
+        done = at + 1
+        if start < at and (m := DOMAIN.match(text, at + 1)):
+            done = m.end()
+            found.append((start, done))
+        at = text.find("@", done)
     return found
 
 
 def _digits(s: str) -> str:
-    return "".join(c for c in s if "0" <= c <= "9")
+    return "".join(DIGIT_RUN.findall(s))
+
+
+def _byte(digits: str) -> bool:
+    """Whether a number of any length is at most 255."""
+    digits = digits.lstrip("0")
+    return len(digits) < 3 or (len(digits) == 3 and digits <= "255")
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end), by kind as listed, then by start."""
     out = [("email", a, b) for a, b in _emails(text)]
-    out += [("ip", m.start(), m.end()) for m in IP.finditer(text) if all(len(x.lstrip("0")) <= 3 and int(x) <= 255 for x in m[0].split("."))]
+    out += [("ip", m.start(), m.end()) for m in IP.finditer(text) if all(map(_byte, m[0].split(".")))]
     for m in CARD.finditer(text):
-        if m.end() - m.start() >= 16:
+        if 16 <= m.end() - m.start() <= CARD_WIDEST:
             d = _digits(m[0])
             if 16 <= len(d) <= 19 and luhn(d):
                 out.append(("card", m.start(), m.end()))
@@ -87,14 +102,14 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
-DIGIT_RUN = re.compile(r"[0-9]+")
 NUMBERS = (
     ("ssn", re.compile(r"[0-9]{3}[- ][0-9]{2}[- ][0-9]{4}")),
     ("phone2", re.compile(r"\(?[0-9]{2,4}\)?[ .-][0-9]{3}[ .-][0-9]{3,4}")),
     ("card2", re.compile(r"(?<![0-9])[0-9](?:[ .-]?[0-9]){12,18}(?![0-9])")),
 )
-IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?")
-MASKED = re.compile(r"[\w.+-]+ ?[\[(] ?at ?[\])] ?[\w-]+(?: ?(?:\.|[\[(] ?dot ?[\])]) ?[\w-]+)+", re.I)
+IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
+#: What stands for the @ of a masked address with the name after it; the name before it is walked back to.
+MASKED = re.compile(r" ?[\[(] ?at ?[\])] ?[\w-]++(?: ?(?:\.|[\[(] ?dot ?[\])]) ?[\w-]++)+", re.I)
 #: Words before a span that speak for a kind.
 CONTEXT = {
     "secret": ("password", "passwd", "pwd", "secret", "token", "key", "credential", "bearer", "auth"),
@@ -106,6 +121,8 @@ CONTEXT = {
 }
 EDGE = "\"'`,;:.!?()[]{}<>"
 AROUND = 32
+HEXES = frozenset("0123456789abcdef")
+IBAN_FORM = re.compile(r"[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}")
 
 
 def candidates(text: str) -> list[tuple[str, int, int]]:
@@ -137,7 +154,14 @@ def candidates(text: str) -> list[tuple[str, int, int]]:
         out += [("iban", *m.span()) for m in IBAN.finditer(text)]
     low = text.lower() if "(" in text or "[" in text else ""
     if "at)" in low or "at]" in low or "at )" in low or "at ]" in low:
-        out += [("email2", *m.span()) for m in MASKED.finditer(text)]
+        done = 0
+        for m in MASKED.finditer(text):
+            a = m.start()
+            while a > done and (text[a - 1].isalnum() or text[a - 1] in "_.+-"):
+                a -= 1
+            if a < m.start():
+                out.append(("email2", a, m.end()))
+            done = m.end()
     return out
 
 
@@ -145,22 +169,23 @@ def features(text: str, kind: str, start: int, end: int) -> list[float]:
     """Format and context of a span."""
     span, before = text[start:end], text[max(0, start - AROUND) : start].lower()
     n, counts = len(span), Counter(span)
-    digits = _digits(span)
+    digits, plain = _digits(span), span.lower()
     entropy = -sum(c / n * math.log2(c / n) for c in counts.values())
     left, right = text[start - 1 : start], text[end : end + 1]
-    groups = [len(x) for x in re.split(r"[^0-9]+", span) if x]
+    groups = [len(x) for x in DIGIT_RUN.findall(span)]
+    switches = 2 * len(groups) - (span[0].isdecimal() and span[0].isascii()) - (span[-1].isdecimal() and span[-1].isascii())
     own = CONTEXT[kind]
     rows = [kind == k for k in MORE_KINDS]
-    rows += [n, len(digits), sum(c.isupper() for c in span), sum(c.islower() for c in span), len(digits) / n, entropy, len(counts)]
-    rows += [bool(digits) and luhn(digits), len(groups), max(groups, default=0), min(groups, default=0), all(c in "0123456789abcdef" for c in span.lower())]
+    rows += [n, len(digits), sum(k for c, k in counts.items() if c.isupper()), sum(k for c, k in counts.items() if c.islower()), len(digits) / n, entropy, len(counts)]
+    rows += [bool(digits) and luhn(digits), len(groups), max(groups, default=0), min(groups, default=0), HEXES.issuperset(plain)]
     rows += [any(w in before for w in own), any(w in before[-12:] for w in own), before.rstrip(" \"'")[-1:] in ("=", ":") and bool(before), left.isalnum(), right.isalnum(), left in "-.+/" and bool(left), right in "-.+/" and bool(right)]
-    rows += [_iban_ok(span), any(c in "/\\._" for c in span), sum(a.isdigit() != b.isdigit() for a, b in zip(span, span[1:], strict=False)) / n, digits[:3] in ("000", "666") or digits[:1] == "9", "-" in span, len(set(digits))]
+    rows += [_iban_ok(span), not counts.keys().isdisjoint("/\\._"), switches / n, digits[:3] in ("000", "666") or digits[:1] == "9", "-" in counts, sum(c in counts for c in string.digits)]
     return [float(x) for x in rows]
 
 
 def _iban_ok(span: str) -> bool:
     s = span.replace(" ", "")
-    if not re.fullmatch(r"[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}", s):
+    if not IBAN_FORM.fullmatch(s):
         return False
     return int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
 
@@ -306,18 +331,38 @@ def train(n: int = EXAMPLES, precision: float = PRECISION, seed: int = SEED) ->
     return model
 
 
+def _apart(found: list[tuple[str, int, int]], spans: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
+    """Those found that overlap none of the spans."""
+    bounds = sorted((a, b) for _, a, b in spans)
+    starts, reach = [a for a, _ in bounds], list(accumulate((b for _, b in bounds), max))
+    out = []
+    for c in found:
+        k = bisect_left(starts, c[2])
+        if not k or reach[k - 1] <= c[1]:
+            out.append(c)
+    return out
+
+
 def more_spans(text: str, base: list[tuple[str, int, int]], model: Trees) -> list[tuple[str, int, int]]:
     """Spans that the trees add; none overlaps a base span or another one."""
     found = candidates(text)
     if base:
-        found = [c for c in found if all(c[2] <= a or c[1] >= b for _, a, b in base)]
+        found = _apart(found, base)
     if not found:
         return []
     p = model.probability(np.array([features(text, *c) for c in found]))
+    limits = np.array([model.thresholds[kind] for kind, _, _ in found])
     taken: list[tuple[str, int, int]] = []
+    starts: list[int] = []
+    ends: list[int] = []  # of the taken spans, which lie apart, so both lists rise
     for k in np.argsort(-p, kind="stable"):
-        kind, a, b = found[k]
-        if p[k] >= model.thresholds[kind] and all(b <= c or a >= d for _, c, d in taken):
+        _, a, b = found[k]
+        if p[k] < limits[k]:
+            continue
+        at = bisect_left(starts, b)
+        if not at or ends[at - 1] <= a:
+            starts.insert(at, a)
+            ends.insert(at, b)
             taken.append(found[k])
     return sorted(taken, key=lambda s: (KINDS.index(s[0]), s[1]))
 
@@ -342,22 +387,23 @@ def redacted(text: str, spans: list[tuple[str, int, int]]) -> str:
 
 
 def find(df: DataFrame, model: Trees | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, base counts and digest, and all spans, base ones and added ones."""
+    """doc_id, base counts and digest, all spans, base ones and added ones, and their number."""
     model = model or train()
 
     def one(text: str) -> tuple:
         base = base_spans(text)
         n = Counter(k for k, _, _ in base)
-        return *(n[k] for k in BASE_KINDS), hashlib.sha256(written(base).encode()).hexdigest(), written(base + more_spans(text, base, model))
+        spans = base + more_spans(text, base, model)
+        return *(n[k] for k in BASE_KINDS), hashlib.sha256(written(base).encode()).hexdigest(), written(spans), len(spans)
 
-    names = ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"]
+    names = ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_spans"]
 
     def run(batches):
         for b in batches:
             rows = [(i, *one(t)) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string() if k > 4 else pa.int64()) for k, c in enumerate(zip(*rows, strict=True))], names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string() if k in (5, 6) else pa.int64()) for k, c in enumerate(zip(*rows, strict=True))], names)
 
-    return texts(df, id_col, text_col).mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return texts(df, id_col, text_col).mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_spans long")
 
 
 def redact(df: DataFrame, model: Trees | None = None, text_col: str = "text") -> DataFrame:

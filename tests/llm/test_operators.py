@@ -2,6 +2,7 @@ import base64
 import random
 import re
 import textwrap
+import time
 import zlib
 
 import numpy as np
@@ -301,6 +302,56 @@ def test_base_spans_of_random_strings(seed):
         assert pii.base_spans(t) == brute.personal(t)
 
 
+def test_base_spans_of_long_runs():
+    """A number of thousands of digits is no crash, and a run is walked once however long it is."""
+    t = "1.1.1." + "0" * 5000 + "1"
+    assert pii.base_spans(t) == [("ip", 0, len(t))]
+    assert pii.base_spans("1.1.1." + "9" * 5000) == []
+    model = pii.train()
+    began = time.monotonic()
+    for t in ("1" * 10**6, "a" * 10**6 + "@", "a@" * 300_000, "1." * 300_000, "x" * 10**6 + " (at) b 1", " ".join(f"a{i}b{i}cdef" for i in range(30_000))):
+        base = pii.base_spans(t)
+        pii.more_spans(t, base, model)
+    assert time.monotonic() - began < 60
+    for n in (10, 40, 300):
+        for t in ("1" * n, "a" * n + "@", "a@" * n + "b.c", "1." * n, "7-" * n + "1", "+" + "1" * n + "(" * n, ("1.1.1 " * n)):
+            assert pii.base_spans(t) == brute.personal(t)
+
+
+def test_added_spans_lie_apart(monkeypatch):
+    r = random.Random(6)
+    model = pii.train()
+    for _ in range(40):
+        spans = [(r.choice(pii.MORE_KINDS), a, a + r.randint(1, 9)) for a in r.choices(range(100), k=30)]
+        base = [("ip", a, a + r.randint(1, 5)) for a in r.choices(range(100), k=4)]
+        score = {s: r.random() for s in spans}
+        monkeypatch.setattr(pii, "candidates", lambda _, spans=spans: spans)
+        monkeypatch.setattr(pii, "features", lambda _, *s, score=score: [score[s]])
+        monkeypatch.setattr(pii.Trees, "probability", lambda _, x: x[:, 0])
+        want = []
+        for s in sorted(spans, key=lambda s: -score[s]):
+            if score[s] >= model.thresholds[s[0]] and all(s[2] <= b[1] or s[1] >= b[2] for b in base + want):
+                want.append(s)
+        assert pii.more_spans("x", base, model) == sorted(want, key=lambda s: (pii.KINDS.index(s[0]), s[1]))
+
+
+def test_added_spans_on_documents():
+    """Of the secrets planted in the test documents all are found, and nothing else is added."""
+    import pyarrow.parquet as pq
+
+    model, planted, found = pii.train(), set(), set()
+    for i, t in zip(*pq.read_table("/root/testdata/sf0.1/documents.parquet", columns=["doc_id", "text"]).to_pydict().values(), strict=True):
+        planted |= {(i, *m.span(1)) for m in re.finditer(r"(?i)token = \"([0-9a-f]{40})\"", t or "")}
+        found |= {(i, a, b) for _, a, b in pii.more_spans(t or "", pii.base_spans(t or ""), model)}
+    assert len(planted) > 100
+    assert len(planted & found) >= 0.97 * len(planted) and len(planted & found) >= 0.97 * len(found)
+
+
+def test_personal_spans_of_null_ids_and_repeated_rows(spark):
+    df = spark.createDataFrame([(None, "a@b.co"), (None, None), (4, "a@b.co"), (4, "a@b.co")], "doc_id long, text string")
+    assert sorted(((r["doc_id"], r["spans"], r["n_spans"]) for r in pii.find(df).collect()), key=str) == [(4, "email:0:6", 1), (4, "email:0:6", 1), (None, "", 0), (None, "email:0:6", 1)]
+
+
 def test_trees_hold_on_new_examples():
     model = pii.train()
     made = pii.examples(2000, 99)
