@@ -42,6 +42,18 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def forget(df: DataFrame) -> None:
+    """Removes the copy that ``checkpoint`` made, once nothing will read it again; of another frame, nothing."""
+    plan = df._jdf.queryExecution().analyzed()
+    if plan.getClass().getSimpleName() != "LogicalRDD":
+        return
+    file = plan.rdd().getCheckpointFile()
+    if file.isDefined():
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(file.get())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """SplitMix64 finaliser on uint64 arrays."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

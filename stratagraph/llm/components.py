@@ -1,21 +1,32 @@
-"""Connected components of an edge table, by alternating large and small stars."""
+"""Connected components of an edge table, by alternating large and small stars.
+
+A star's least neighbour is found and given back by parts of the star (``PARTS`` of a hub's
+neighbours at most), so no task holds or joins all the edges of a hub.
+
+Defined cases: self loops are dropped (a node met only in those has no row), repeated edges count
+once, edges with a null end are dropped, other columns are ignored, no edges give no rows.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint
+from .common import checkpoint, forget
+
+PARTS = 256
 
 
 def _stars(edges: DataFrame, large: bool) -> DataFrame:
-    """One star step on (u, v); minima are pre-aggregated, and hubs are joined, not gathered."""
+    """One star step on (u, v); minima are aggregated by parts of a star, and go back to its parts."""
     if large:
         around = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     else:
         around = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = around.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    joined = around.join(least, "u")
+    around = around.withColumn("part", F.pmod(F.xxhash64("v"), F.lit(PARTS)).cast("int"))
+    by_part = around.groupBy("u", "part").agg(F.min("v").alias("m"))
+    least = by_part.groupBy("u").agg(F.least("u", F.min("m")).alias("m"), F.collect_set("part").alias("parts"))
+    joined = around.join(least.select("u", "m", F.explode("parts").alias("part")), ["u", "part"])
     if large:
         out = joined.where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
@@ -26,16 +37,20 @@ def _stars(edges: DataFrame, large: bool) -> DataFrame:
 def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     """(node, root) of every node of edges (u, v): root is the least node that it reaches.
 
-    Each round is checkpointed, so lost executors cost one round; no link leaves the cluster.
+    Each round is checkpointed, so lost executors cost one round, and the copy of the round
+    before is removed; no link leaves the cluster.
     """
     now = checkpoint(edges.where(F.col("u") != F.col("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     mark = None
     for _ in range(rounds):
-        now = checkpoint(_stars(_stars(now, True), False))
+        after = checkpoint(_stars(_stars(now, True), False))
+        forget(now)
+        now = after
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % (1 << 31))).first()
         if tuple(seen) == mark:
             break
         mark = tuple(seen)
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
-    return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
+    out = now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
+    return out

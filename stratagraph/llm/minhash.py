@@ -4,19 +4,22 @@ Two small collections of ``BANDS`` bands (``ROWS`` minhashes each) are combined:
 bands, one of either collection, is the key of one of BANDS * BANDS tables. So 2 * BANDS * ROWS
 minhashes serve BANDS**2 tables of 2 * ROWS rows: a pair at similarity 0.75 meets nowhere with a
 chance of about 1e-4. Rows are dealt out by the first band; the pairs with the second are
-formed where they meet.
+formed where they meet. The rows of a first band that more than ``MOST_PAIRED`` classes share
+are dealt on by the second band and a salt, and chained there, so no band is one task's.
 
 What meets in a table and agrees in enough minhashes (``AGREE`` of them; a pair at 0.75 has
-fewer with a chance under 1e-6) joins a candidate cluster. In a cluster, full sets are compared
-exactly, with prefix and length filters, until all its links between different components are
-known, so classes are exact though not all pairs are listed. Clusters beyond ``GROUP_SHINGLES``
-are compared in blocks. Texts with equal sets are one node from the start.
+fewer with a chance under 1e-6; chains ask for no agreement and so only add candidates) joins a
+candidate cluster. In a cluster, full sets are compared with prefix and length filters until all
+its links between different components are known, so classes are exact though not all pairs are
+listed. There words and shingles are told apart by their own bytes, not by hashes. Clusters
+beyond ``GROUP_SHINGLES`` are compared in blocks. Texts with the same words in the same order
+(by SHA-256 of them) are one node from the start.
 
 Words: A-Z lower-cased, runs of other than space and \\x09-\\x0D. A set has the distinct
 runs of five words, or all the words as one if there are fewer; no words, no set and no link.
 
-Defined cases: null texts are empty; rows with null ids are kept in the result, never ``kept``,
-and linked only by equal sets (component_id is the smallest id among those, null if there is
+Defined cases: null texts are empty; rows with null ids are kept in the result, linked like
+others, and never ``kept`` (their component_id is the smallest id reached, null if there is
 none); rows with one id are one each; other columns are ignored; empty tables give empty results.
 """
 
@@ -27,37 +30,71 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SpanHash, checkpoint, mix64, texts
+from .common import checkpoint, mix64, texts
 from .components import components
 
 WORDS, BANDS, ROWS, AGREE = 5, 12, 2, 20
-GROUP_SHINGLES, MOST_PAIRED = 4_000_000, 4096
+GROUP_SHINGLES, MOST_PAIRED, SALTS, MOST_BROADCAST = 2_000_000, 4096, 64, 500_000
+#: Words (and their bytes) that a task remembers the hashes of.
+KNOWN_WORDS, KNOWN_BYTES = 400_000, 1 << 24
 _N = 2 * BANDS * ROWS
 _ODD = mix64(np.arange(1, _N + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 _ADD = mix64(np.arange(101, _N + 101, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
-def shingles(text: str, words: int = WORDS) -> np.ndarray:
-    """Sorted distinct 64-bit shingle hashes of a text."""
-    raw = text.encode("utf-8", "surrogatepass").lower()
-    parts = raw.split()  # on \x20 and \x09-\x0D
-    if not parts:
-        return np.zeros(0, np.uint64)
-    sizes = np.fromiter(map(len, parts), np.int64, len(parts))
-    ends = np.cumsum(sizes)
-    w = SpanHash(np.frombuffer(b"".join(parts), np.uint8)).spans(ends - sizes, ends)
-    n = min(words, len(w))
-    h = np.full(len(w) - n + 1, n, np.uint64)
-    for k in range(n):
-        h = mix64(h * np.uint64(0xD6E8FEB86659FD93) + w[k : len(w) - n + 1 + k])
-    return np.unique(h)
+def words_of(text: str) -> list[bytes]:
+    return text.encode("utf-8", "surrogatepass").lower().split()  # on \x20 and \x09-\x0D
+
+
+def class_key(parts: list[bytes]) -> bytes:
+    return hashlib.sha256(b" ".join(parts)).digest()
+
+
+def codes(ids: np.ndarray, n: int, vocabulary: int) -> np.ndarray:
+    """A number for each run of n word numbers; equal numbers, equal runs, whatever their words."""
+    code, size = ids[: len(ids) - n + 1].astype(np.int64), vocabulary
+    for k in range(1, n):
+        if size * vocabulary >= 1 << 63:
+            code = np.unique(code, return_inverse=True)[1].astype(np.int64)
+            size = int(code.max()) + 1
+        code, size = code * vocabulary + ids[k : len(ids) - n + 1 + k], size * vocabulary
+    return code
+
 
+class WordHashes:
+    """64-bit values of words by BLAKE2b; they serve the minhashes alone."""
 
-def class_key(s: np.ndarray) -> bytes:
-    return hashlib.md5(s.tobytes()).digest()
+    def __init__(self):
+        self.known: dict[bytes, int] = {}
+        self.bytes = 0
+
+    def of(self, distinct: dict[bytes, int]) -> np.ndarray:
+        known = self.known
+        if new := [w for w in distinct if w not in known]:
+            if len(known) + len(new) > KNOWN_WORDS or self.bytes > KNOWN_BYTES:
+                known.clear()
+                self.bytes, new = 0, list(distinct)
+            for w in new:
+                known[w] = int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little")
+            self.bytes += sum(map(len, new))
+        return np.fromiter(map(known.__getitem__, distinct), np.uint64, len(distinct))
+
+
+def sketch(parts: list[bytes], hashes: WordHashes, words: int = WORDS) -> tuple[int, np.ndarray | None]:
+    """The number of distinct shingles, and hashes of the shingles at all places (None under ``words`` words)."""
+    if len(parts) < words:
+        return min(1, len(parts)), None
+    distinct = {w: k for k, w in enumerate(dict.fromkeys(parts))}
+    ids = np.fromiter(map(distinct.__getitem__, parts), np.int64, len(parts))
+    w = hashes.of(distinct)[ids]
+    places = len(ids) - words + 1
+    h = np.full(places, words, np.uint64)
+    for k in range(words):
+        h = mix64(h * np.uint64(0xD6E8FEB86659FD93) + w[k : places + k])
+    return len(np.unique(codes(ids, words, len(distinct)))), h
 
 
 def minhashes(s: np.ndarray) -> np.ndarray:
@@ -77,38 +114,37 @@ def bands(s: np.ndarray) -> tuple[np.ndarray, bytes, bytes]:
     return h[:BANDS].astype(np.int64), (h[BANDS:] >> np.uint64(32)).astype(np.uint32).tobytes(), (m & 255).astype(np.uint8).tobytes()
 
 
-def classes(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, n, cls): set size and key of each row's set; cls is null for an empty set."""
+def documents(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(__id, __text, raw) with a digest of the text, by which a row is found again."""
+    return texts(df, id_col, text_col).withColumn("raw", F.unhex(F.sha2("__text", 256)))
 
-    def run(batches):
-        for b in batches:
-            sets = [shingles(t) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([class_key(s) if len(s) else None for s in sets], pa.binary())], ["id", "n", "cls"])
-
-    return texts(df, id_col, text_col).mapInArrow(run, "id long, n long, cls binary")
 
+def classes(docs: DataFrame) -> DataFrame:
+    """(id, raw, n, cls, a, b, sig): set size, class and bands of each row, in one pass.
 
-def banded(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(a, cls, b, sig): a row for each first band of each class that a task meets; copies in a task go out once."""
+    cls is null for an empty set; the bands are null where a class has been met in the task
+    before, and for texts of under five words, which link with nothing outside their class.
+    """
+    names = ["id", "raw", "n", "cls", "a", "b", "sig"]
 
     def run(batches):
-        sent: set[bytes] = set()
+        hashes, sent = WordHashes(), set()
         for batch in batches:
-            a, cls, b, sig = [], [], [], []
-            for t in batch.column(1).to_pylist():
-                s = shingles(t)
-                if len(s) and (key := class_key(s)) not in sent:
-                    if len(sent) < 1_000_000:
+            n, cls, a, b, sig = [], [], [], [], []
+            for t in batch.column(2).to_pylist():
+                parts = words_of(t)
+                key = class_key(parts) if parts else None
+                size, h = sketch(parts, hashes)
+                first, second, small = None, None, None
+                if h is not None and key not in sent:
+                    if len(sent) < 200_000:
                         sent.add(key)
-                    first, second, small = bands(s)
-                    a.append(first)
-                    cls += [key] * BANDS
-                    b += [second] * BANDS
-                    sig += [small] * BANDS
-            if a:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(cls, pa.binary()), pa.array(b, pa.binary()), pa.array(sig, pa.binary())], ["a", "cls", "b", "sig"])
+                    first, second, small = bands(h)
+                for column, x in zip((n, cls, a, b, sig), (size, key, first, second, small), strict=True):
+                    column.append(x)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(cls, pa.binary()), pa.array(a, pa.list_(pa.int64())), pa.array(b, pa.binary()), pa.array(sig, pa.binary())], names)
 
-    return texts(df, id_col, text_col).mapInArrow(run, "a long, cls binary, b binary, sig binary")
+    return docs.select("__id", "raw", "__text").mapInArrow(run, "id long, raw binary, n long, cls binary, a array<long>, b binary, sig binary")
 
 
 def met(cls: list[bytes], second: list[bytes], sig: list[bytes]) -> list[tuple[bytes, bytes]]:
@@ -122,12 +158,6 @@ def met(cls: list[bytes], second: list[bytes], sig: list[bytes]) -> list[tuple[b
     if len(keys) == 2:
         return [(keys[0], keys[1])] if (b[0] == b[1]).any() and (s[0] == s[1]).sum() >= AGREE else []
     out = []
-    if len(keys) > MOST_PAIRED:  # too many to compare: whatever shares a table is a candidate
-        for j in range(BANDS):
-            order = np.argsort(b[:, j], kind="stable")
-            same = np.flatnonzero(b[order[1:], j] == b[order[:-1], j])
-            out += [(keys[order[k]], keys[order[k + 1]]) for k in same]
-        return out
     left = np.arange(len(keys))
     while len(left):
         front, left = [left[0]], left[1:]
@@ -142,8 +172,8 @@ def met(cls: list[bytes], second: list[bytes], sig: list[bytes]) -> list[tuple[b
     return out
 
 
-def candidate_links(rows: DataFrame) -> DataFrame:
-    """(u, v) between classes, from rows dealt out and sorted by their first band."""
+def _light_links(rows: DataFrame) -> DataFrame:
+    """(u, v) between classes, from rows dealt out and sorted by their first band; MOST_PAIRED of one at most."""
 
     def run(batches):
         last, held = None, ([], [], [])
@@ -169,7 +199,29 @@ def candidate_links(rows: DataFrame) -> DataFrame:
     def links(pairs):
         return pa.RecordBatch.from_arrays([pa.array([x[k] for x in pairs], pa.binary()) for k in (0, 1)], ["u", "v"])
 
-    return rows.repartition("a").sortWithinPartitions("a").mapInArrow(run, "u binary, v binary").distinct()
+    return rows.select("a", "cls", "b", "sig").repartition("a").sortWithinPartitions("a").mapInArrow(run, "u binary, v binary")
+
+
+def _heavy_links(rows: DataFrame) -> DataFrame:
+    """(u, v): chains through each table of a heavy first band, by salt, and through the salts' first members."""
+    table = ["a", "j", "second"]
+    dealt = rows.select("a", "cls", "b", F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("j"))
+    dealt = dealt.select("a", "j", F.substr("b", 4 * F.col("j") + 1, F.lit(4)).alias("second"), F.pmod(F.xxhash64("cls"), F.lit(SALTS)).alias("salt"), "cls")
+    within = dealt.select(F.col("cls").alias("u"), F.lag("cls").over(Window.partitionBy(*table, "salt").orderBy("cls")).alias("v"))
+    heads = dealt.groupBy(*table, "salt").agg(F.min("cls").alias("cls"))
+    across = heads.select(F.col("cls").alias("u"), F.lag("cls").over(Window.partitionBy(*table).orderBy("cls")).alias("v"))
+    return within.unionByName(across).where(F.col("v").isNotNull())
+
+
+def candidate_links(nodes: DataFrame) -> DataFrame:
+    """(u, v) between classes that share a table."""
+    rows = nodes.where(F.col("b").isNotNull()).select(F.explode("a").alias("a"), "cls", "b", "sig")
+    heavy = rows.groupBy("a").agg(F.count("*").alias("k")).where(F.col("k") > MOST_PAIRED).select("a")
+    n = heavy.count()
+    if not n:
+        return _light_links(rows).distinct()
+    heavy = F.broadcast(heavy) if n <= MOST_BROADCAST else heavy
+    return _light_links(rows.join(heavy, "a", "left_anti")).unionByName(_heavy_links(rows.join(heavy, "a", "left_semi"))).distinct()
 
 
 def similar_forest(sets: list[np.ndarray]) -> Iterator[tuple[int, int]]:
@@ -228,42 +280,55 @@ def similar_forest(sets: list[np.ndarray]) -> Iterator[tuple[int, int]]:
             posted.setdefault(t, []).append(x)
 
 
-def confirmed_links(df: DataFrame, clusters: DataFrame, nodes: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(u, v) of exact links that join the classes of each candidate cluster into components."""
-    members = clusters.join(nodes, F.col("node") == F.col("cls")).select("cls", "root", "id", "n")
-    blocks = members.groupBy("root").agg(F.greatest(F.lit(1), F.ceil(F.sum("n") / GROUP_SHINGLES)).cast("int").alias("blocks"))
-    wanted = members.join(blocks, "root").select(F.col("id").alias("__id"), "cls", "root", "blocks")
-    full = texts(df, id_col, text_col).join(wanted, "__id")
+def shingle_sets(found: Iterator[str]) -> list[np.ndarray]:
+    """The texts' sets of shingles, by numbers that stand for the same five words in all of them."""
+    vocabulary: dict[bytes, int] = {}
+    ids = []
+    for text in found:
+        parts = words_of(text)
+        ids.append(np.fromiter((vocabulary.setdefault(w, len(vocabulary)) for w in parts), np.int64, len(parts)))
+    starts = np.cumsum([0] + [len(x) for x in ids])
+    code = codes(np.concatenate(ids), WORDS, len(vocabulary))
+    return [np.unique(code[a : b - WORDS + 1]) for a, b in zip(starts[:-1], starts[1:], strict=True)]
 
-    def sets(batches):
-        for b in batches:
-            t, cls, root, blocks = (b.column(n).to_pylist() for n in ("__text", "cls", "root", "blocks"))
-            keep = [(c, r, k, s.tobytes()) for x, c, r, k in zip(t, cls, root, blocks, strict=True) if class_key(s := shingles(x)) == c]
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in keep], kind) for k, kind in enumerate((pa.binary(), pa.binary(), pa.int32(), pa.binary()))], ["cls", "root", "blocks", "shingles"])
 
-    rows = full.select("__text", "cls", "root", "blocks").mapInArrow(sets, "cls binary, root binary, blocks int, shingles binary")
+def confirmed_links(docs: DataFrame, clusters: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(u, v) of exact links that join the classes of each candidate cluster into components."""
+    members = clusters.join(nodes.select("cls", "rep", "n"), F.col("node") == F.col("cls")).select("cls", "root", "rep", "n")
+    blocks = members.groupBy("root").agg(F.greatest(F.lit(1), F.ceil(F.sum("n") / GROUP_SHINGLES)).cast("int").alias("blocks"))
+    wanted = members.join(blocks, "root").select(F.col("rep.id").alias("rep_id"), F.col("rep.raw").alias("rep_raw"), "cls", "root", "blocks")
+    full = docs.join(wanted, F.col("__id").eqNullSafe(F.col("rep_id")) & (F.col("raw") == F.col("rep_raw")))
+    rows = full.groupBy("cls", "root", "blocks").agg(F.first("__text").alias("text"))  # rows that repeat an id and a text
     own = F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")
-    dealt = rows.withColumn("own", own).select("cls", "root", "shingles", F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, F.col("own")).alias("x"), F.greatest(k, F.col("own")).alias("y")))).alias("pair"))
+    dealt = rows.withColumn("own", own).select("cls", "root", "text", F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, F.col("own")).alias("x"), F.greatest(k, F.col("own")).alias("y")))).alias("pair"))
 
     def compare(table: pa.Table) -> pa.Table:
         table = table.sort_by("cls")
-        cls, raw = table.column("cls").to_pylist(), table.column("shingles").to_pylist()
-        first = {c: k for k, c in enumerate(cls)}
-        names = sorted(first)
-        found = list(similar_forest([np.frombuffer(raw[first[c]], np.uint64) for c in names])) if len(names) > 1 else []
+        names, found = table.column("cls").to_pylist(), []
+        if len(names) > 1:
+            found = list(similar_forest(shingle_sets(x.as_py() for x in table.column("text"))))
         return pa.table({"u": pa.array([names[a] for a, _ in found], pa.binary()), "v": pa.array([names[b] for _, b in found], pa.binary())})
 
     return dealt.groupBy("root", "pair.x", "pair.y").applyInArrow(compare, "u binary, v binary")
 
 
+def _rooted(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """(id, raw, n, cls) of each row, and (cls, root, rep, n) of each class; rep: its first row, null ids last."""
+    docs = documents(df, id_col, text_col)
+    own = checkpoint(classes(docs))
+    rep = F.struct(F.col("id").isNull().alias("none"), "id", "raw")
+    nodes = own.where(F.col("cls").isNotNull()).groupBy("cls").agg(F.min(rep).alias("rep"), F.max("n").alias("n"), F.max(F.struct("b", "sig", "a")).alias("band"))
+    nodes = checkpoint(nodes.select("cls", "rep", "n", "band.a", "band.b", "band.sig"))
+    clusters = components(candidate_links(nodes))
+    found = components(confirmed_links(docs, clusters, nodes))
+    rooted = nodes.join(found, nodes["cls"] == found["node"], "left").select("cls", F.coalesce("root", "cls").alias("root"), "rep", "n")
+    return own.select("id", "raw", "n", "cls"), rooted
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), a row for each row."""
-    own = checkpoint(classes(df, id_col, text_col))
-    nodes = own.where(F.col("cls").isNotNull()).groupBy("cls").agg(F.min("id").alias("id"), F.max("n").alias("n"))
-    clusters = components(candidate_links(banded(df, id_col, text_col)))
-    found = components(confirmed_links(df, clusters, nodes, id_col, text_col))
-    rooted = nodes.join(found, nodes["cls"] == found["node"], "left").select("cls", F.coalesce("root", "cls").alias("root"), "id")
-    least = rooted.groupBy("root").agg(F.min("id").alias("component_id"))
+    own, rooted = _rooted(df, id_col, text_col)
+    least = rooted.groupBy("root").agg(F.min("rep.id").alias("component_id"))
     labels = rooted.select("cls", "root").join(least, "root").select("cls", "component_id")
     out = own.where(F.col("cls").isNotNull()).join(labels, "cls").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id")
     alone = own.where(F.col("cls").isNull()).select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("id").alias("component_id"))
@@ -272,6 +337,18 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of one document of each class, the one with the smallest id; rows with null ids stay."""
-    gone = near_duplicates(df, id_col, text_col).where(~F.col("kept") & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("__gone")).distinct()
-    return df.join(gone, df[id_col] == gone["__gone"], "left_anti")
+    """One row of each class, the one with the smallest id (null ids last, then by a digest of the text).
+
+    Of rows that repeat an id and a text one stays, whatever their other columns; rows without words all stay.
+    """
+    clash = {"__gone_id", "__gone_raw", "__raw"}.intersection(df.columns)
+    if clash:
+        raise ValueError(f"reserved column names: {sorted(clash)}")
+    _, rooted = _rooted(df, id_col, text_col)
+    first = rooted.groupBy("root").agg(F.min("rep").alias("rep")).select(F.col("rep.id").alias("__gone_id"), F.col("rep.raw").alias("__gone_raw"))
+    text = F.coalesce(df[text_col].cast("string"), F.lit(""))
+    worded = text.rlike("[^\\x20\\x09-\\x0D]")
+    kept = df.where(worded).withColumn("__raw", F.unhex(F.sha2(text, 256)))
+    kept = kept.join(first, F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("__gone_id")) & (F.col("__raw") == F.col("__gone_raw")))
+    one = kept.groupBy("__gone_id", "__gone_raw").agg(*(F.first(f"`{c}`").alias(c) for c in df.columns))
+    return one.select(*(f"`{c}`" for c in df.columns)).unionByName(df.where(~worded))
