@@ -8,13 +8,19 @@ met, so after any number of slots each source is less than one block from its sh
 source runs out, the others go on in a new phase with their weights scaled up, so every row
 gets a place; the bound holds in each phase from its start.
 
-The schedule is made on the driver, a step a block, and kept as two bytes a block; Spark gets it
-as a table of (source, block, slot), which is broadcast up to ``BROADCAST_BLOCKS`` rows.
+The schedule is made on the driver, a step a block, and kept as two bytes a block; blocks have
+``BLOCK`` rows, or as many more as keep the steps at ``MOST_STEPS``, so the driver's part has a
+bound. Spark gets it as a table of (source, block, slot), which is broadcast up to
+``BROADCAST_BLOCKS`` rows.
+
+The order within a source hashes the id and all other columns, so null ids and repeated ids are
+dealt out like others.
 
 Defined cases: a null source is a source of its own (its weight is that of the key None); null
 ids and texts are kept; rows equal in all columns are interchangeable; empty tables give empty
-results; sources without a weight raise. The number of sources must be at most MOST_SOURCES:
-their counts are kept on the driver, and checked.
+results; sources without a weight raise, and so do columns with reserved names (``__block`` and
+such). The number of sources must be at most MOST_SOURCES: their counts are kept on the driver,
+and checked.
 """
 
 from __future__ import annotations
@@ -26,32 +32,15 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK, PERIOD, SEED, MOST_SOURCES, BUCKET_ROWS = 64, 1000, 17, 2000, 2000
+BLOCK, SEED, MOST_SOURCES, BUCKET_ROWS, MOST_STEPS = 64, 17, 2000, 2000, 4_000_000
 #: Blocks whose slots are broadcast; more are joined by a shuffle.
 BROADCAST_BLOCKS = 200_000
 
 
-def shares(weights: dict, period: int) -> dict:
-    """Whole numbers that sum to the period, at least 1 each, by largest remainders: weights of a short period, not used by mix()."""
-    total = sum(weights.values())
-    exact = {s: w / total * period for s, w in weights.items()}
-    out = {s: max(1, math.floor(x)) for s, x in exact.items()}
-    order = sorted(exact, key=lambda s: (-(exact[s] - math.floor(exact[s])), str(s)))
-    k = 0
-    while (gap := period - sum(out.values())) > 0:
-        out[order[k % len(order)]] += 1
-        k += 1
-    while gap < 0:
-        top = max(out, key=lambda s: (out[s], str(s)))
-        cut = min(-gap, max(1, out[top] // 2))
-        out[top] -= cut
-        gap += cut
-    return out
-
-
 def whole(weights: dict) -> dict:
     """Whole numbers in exactly the ratio of the weights."""
     exact = {s: Fraction(w) for s, w in weights.items()}
@@ -80,16 +69,6 @@ def one_phase(n: list[int], left: list[int], out: array) -> None:
         left[k] -= done
 
 
-def one_period(n: dict, period: int) -> dict[object, list[int]]:
-    """The slots of each source's blocks in one period of whole weights that sum to it."""
-    names = sorted(n, key=str)
-    order = plan(n, n)[1]
-    slots: dict[object, list[int]] = {s: [] for s in n}
-    for t, k in enumerate(order[:period]):
-        slots[names[k]].append(t)
-    return slots
-
-
 def plan(blocks: dict, weights: dict) -> tuple[list, array]:
     """The sources in order, and for every slot the place of its source in them."""
     names = sorted((s for s, b in blocks.items() if b > 0), key=str)
@@ -122,34 +101,42 @@ def tempered(counts: dict, power: float = 0.5) -> dict:
     return {s: max(n, 1) ** power for s, n in counts.items()}
 
 
-def mix(df: DataFrame, weights: dict | None = None, source_col: str = "source", id_col: str = "doc_id", block: int = BLOCK, period: int = PERIOD, seed: int = SEED) -> DataFrame:
+def _hashed(df: DataFrame, source_col: str, id_col: str, seed: int) -> DataFrame:
+    every = F.xxhash64(*(F.col(f"`{c}`") for c in sorted(df.columns)))
+    return df.withColumns({"__source": df[source_col].cast("string"), "__hash": F.xxhash64(F.lit(seed), df[id_col], every)})
+
+
+def mix(df: DataFrame, weights: dict | None = None, source_col: str = "source", id_col: str = "doc_id", block: int | None = None, seed: int = SEED) -> DataFrame:
     """The rows with __block (of their source), __slot and __position; sorting by position mixes them.
 
-    weights: source to target weight; None: the square roots of the row counts. period: no effect,
-    as the schedule follows the exact weights and need not repeat.
+    weights: source to target weight; None: the square roots of the row counts. block: rows of a block.
     """
     spark = df.sparkSession
-    clash = {"__source", "__hash", "__tie", "__bucket", "__row", "__block", "__slot", "__position", "__name", "__of", "__at"}.intersection(df.columns)
+    clash = {"__source", "__hash", "__bucket", "__high", "__row", "__block", "__slot", "__position", "__name", "__of", "__at"}.intersection(df.columns)
     if clash:
         raise ValueError(f"reserved column names: {sorted(clash)}")
-    rows = df.withColumns({"__source": df[source_col].cast("string"), "__hash": F.xxhash64(F.lit(seed), df[id_col])})
+    rows = _hashed(df, source_col, id_col, seed)
     total = {r["__source"]: r["n"] for r in rows.groupBy("__source").agg(F.count("*").alias("n")).limit(MOST_SOURCES + 1).collect()}
     if len(total) > MOST_SOURCES:
         raise ValueError(f"more than {MOST_SOURCES} sources")
     weights = tempered(total) if weights is None else weights
     if missing := [s for s in total if not weights.get(s, 0) > 0]:
         raise ValueError(f"no positive weight for {missing}")
+    block = block or max(BLOCK, -(-sum(total.values()) // MOST_STEPS))
     steps = slots_of(*plan({s: -(-n // block) for s, n in total.items()}, weights))
     few = steps.num_rows <= BROADCAST_BLOCKS
     steps = spark.createDataFrame(steps, "__name string, __of long, __slot long")
-    # A row's number in its source: rows before its hash range, and its place in the range.
+    # A row's number in its source: rows before its hash range, and its place in the range. Ranges
+    # are summed in two steps, so that the sums of a source's ranges are no single task's.
     bits = max(0, math.ceil(math.log2(max(1, max(total.values(), default=0) / BUCKET_ROWS))))
     bucket = F.shiftrightunsigned("__hash", 64 - bits) if bits else F.lit(0).cast("long")
     rows = rows.withColumn("__bucket", bucket)
-    sizes = rows.groupBy("__source", "__bucket").agg(F.count("*").alias("n"))
-    before = sizes.select("__source", "__bucket", (F.sum("n").over(Window.partitionBy("__source").orderBy("__bucket")) - F.col("n")).alias("before"))
-    order = Window.partitionBy("__source", "__bucket").orderBy(F.shiftrightunsigned("__hash", 32), "__hash", id_col, F.xxhash64(*[df[c] for c in df.columns]))
-    rows = rows.withColumn("__row", F.row_number().over(order) - 1)
+    sizes = rows.groupBy("__source", "__bucket").agg(F.count("*").alias("n")).withColumn("__high", F.shiftright("__bucket", bits // 2))
+    ahead = lambda *by: F.sum("n").over(Window.partitionBy("__source", *by[:-1]).orderBy(by[-1])) - F.col("n")
+    high = sizes.groupBy("__source", "__high").agg(F.sum("n").alias("n")).select(F.col("__source").alias("__name"), F.col("__high").alias("__of"), ahead("__high").alias("above"))
+    low = sizes.withColumn("below", ahead("__high", "__bucket"))
+    before = low.join(high, F.col("__source").eqNullSafe(F.col("__name")) & (F.col("__high") == F.col("__of"))).select("__source", "__bucket", (F.col("above") + F.col("below")).alias("before"))
+    rows = rows.withColumn("__row", F.row_number().over(Window.partitionBy("__source", "__bucket").orderBy(F.shiftrightunsigned("__hash", 32), "__hash", id_col)) - 1)
     rows = rows.alias("r").join(before.alias("b"), F.col("r.__source").eqNullSafe(F.col("b.__source")) & (F.col("r.__bucket") == F.col("b.__bucket"))).select("r.*", (F.col("b.before") + F.col("r.__row")).alias("__at"))
     rows = rows.withColumn("__block", F.floor(F.col("__at") / block).cast("long"))
     joined = rows.join(F.broadcast(steps) if few else steps, F.col("__source").eqNullSafe(F.col("__name")) & (F.col("__block") == F.col("__of")))
@@ -158,5 +145,22 @@ def mix(df: DataFrame, weights: dict | None = None, source_col: str = "source",
 
 
 def mixed(df: DataFrame, **options) -> DataFrame:
-    """The rows in mixed order, with their own columns."""
+    """The rows in mixed order, with their own columns; written as files, ``places`` reads the order back."""
     return mix(df, **options).orderBy("__position").drop("__block", "__slot", "__position")
+
+
+def places(df: DataFrame, name: str = "position") -> DataFrame:
+    """The rows of a table of Parquet files with their place (from 0) in the order that they were written in.
+
+    Files are written in order, numbered in their names, and have numbered rows; rows before a
+    file are a sum over files. Rows that come from no file have no place (null).
+    """
+    try:
+        at = df.select("*", F.col("_metadata.file_name").alias("__file"), F.col("_metadata.row_index").alias("__row"))
+    except AnalysisException:
+        return df.withColumn(name, F.lit(None).cast("long"))
+    number = F.regexp_extract("__file", r"part-(\d+)", 1)
+    files = at.groupBy("__file").agg(F.count("*").alias("n"))
+    files = files.select("__file", (F.sum("n").over(Window.orderBy(F.length(number), number, "__file")) - F.col("n")).alias("__before"))
+    small = files.count() <= BROADCAST_BLOCKS
+    return at.join(F.broadcast(files) if small else files, "__file").withColumn(name, F.col("__before") + F.col("__row")).drop("__file", "__row", "__before")
