@@ -2,10 +2,12 @@
 
 Frames are palette indices with a delay, a disposal rule and an optional transparent index.
 ``decode`` reads any GIF stream (local and global palettes, interlace, deferred clear codes);
-``render`` applies palettes, transparency and disposal and gives timed RGB frames.
+``render`` applies palettes, transparency and disposal and gives timed RGB frames. A screen or
+frame of more than ``PIXELS`` pixels is refused before anything of its size is allocated.
 
 ``text_media`` stores texts: the UTF-8 bytes, padded with zeros to a positive multiple of 64,
-are the samples of 64-pixel rows under a grey palette, in frames of at most ROWS rows.
+are the samples of 64-pixel rows under a grey palette, in frames of at most ROWS rows. They are
+read back, like the feature, from what the stored file's frames render to.
 Defined cases: a null text is empty, so its payload is 64 zero bytes; equal texts give equal
 values; null ids and repeated rows are kept; other columns are ignored.
 """
@@ -28,6 +30,8 @@ WIDTH, ROWS = 64, 1024
 #: Levels of a colour in the feature's histogram.
 LEVELS = 16
 CLEAR_ROOM = 4096
+#: Pixels of a screen or frame that are rendered at most, against headers that claim gigabytes.
+PIXELS = 1 << 26
 #: Grey, so that an index is its own colour.
 GREY = np.repeat(np.arange(256, dtype=np.uint8)[:, None], 3, axis=1)
 
@@ -173,6 +177,8 @@ def decode(data: bytes) -> tuple[int, int, np.ndarray | None, list[Frame]]:
     if data[:6] not in (b"GIF87a", b"GIF89a"):
         raise ValueError("not a GIF file")
     width, height, flags, _, _ = struct.unpack_from("<HHBBB", data, 6)
+    if width * height > PIXELS:
+        raise ValueError(f"a screen of {width} x {height}")
     at, common, frames = 13, None, []
 
     def colours(flags: int, at: int):
@@ -198,6 +204,8 @@ def decode(data: bytes) -> tuple[int, int, np.ndarray | None, list[Frame]]:
                 control = (delay, bits >> 2 & 7, see if bits & 1 else None)
             continue
         left, top, columns, rows, bits = struct.unpack_from("<HHHHB", data, at + 1)
+        if columns * rows > PIXELS:
+            raise ValueError(f"a frame of {columns} x {rows}")
         at, own = at + 10, None
         if bits & 0x80:
             own, at = colours(bits, at)
@@ -240,28 +248,36 @@ def timed(width: int, height: int, common: np.ndarray | None, frames: list[Frame
             canvas[box] = before
 
 
-def histogram(rgb: np.ndarray, bins: int = 4) -> list[int]:
+def histogram(rgb: np.ndarray, bins: int = 4) -> np.ndarray:
     """Counts of the bins x bins x bins colour cells."""
     q = rgb.reshape(-1, 3).astype(np.int64) * bins // 256
-    return np.bincount((q[:, 0] * bins + q[:, 1]) * bins + q[:, 2], minlength=bins**3).tolist()
+    return np.bincount((q[:, 0] * bins + q[:, 1]) * bins + q[:, 2], minlength=bins**3)
 
 
 def gif_frames(df: DataFrame, media_col: str, id_col: str) -> DataFrame:
     """A row for each rendered frame: id, frame, start and delay, size, RGB bytes, colour histogram.
 
-    A null or unreadable file has one row, with its error and null columns.
+    A null or unreadable file, or one without frames, has one row, with its error and null
+    columns. Frames go out one by one, so a task holds one canvas of a file.
     """
     schema = "id long, frame int, start_cs long, delay_cs int, width int, height int, rgb binary, histogram array<long>, error string"
 
+    def shots(i, data):
+        none, found = dict.fromkeys(FRAMES.names), False
+        try:
+            for k, (s, d, c) in enumerate(render(data or b"")):
+                found = True
+                yield dict(id=i, frame=k, start_cs=s, delay_cs=d, width=c.shape[1], height=c.shape[0], rgb=c.tobytes(), histogram=histogram(c).tolist(), error=None)
+            if not found:
+                yield none | {"id": i, "error": "no frames"}
+        except (ValueError, IndexError, struct.error) as e:
+            yield none | {"id": i, "error": str(e)}
+
     def run(batches):
         for b in batches:
             for i, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                try:
-                    rows = [dict(id=i, frame=k, start_cs=s, delay_cs=d, width=c.shape[1], height=c.shape[0], rgb=c.tobytes(), histogram=histogram(c), error=None) for k, (s, d, c) in enumerate(render(data or b""))]
-                except (ValueError, IndexError, struct.error) as e:
-                    rows = [dict.fromkeys(("frame", "start_cs", "delay_cs", "width", "height", "rgb", "histogram")) | {"id": i, "error": str(e)}]
-                if rows:
-                    yield pa.RecordBatch.from_pylist(rows, schema=FRAMES)
+                for row in shots(i, data):
+                    yield pa.RecordBatch.from_pylist([row], schema=FRAMES)
 
     return df.select(df[id_col].cast("long").alias("id"), df[media_col].alias("media")).mapInArrow(run, schema)
 
@@ -276,38 +292,35 @@ def store(text: bytes) -> bytes:
     return encode(frames, WIDTH, min(ROWS, len(payload)))
 
 
-def load(media: bytes) -> bytes:
-    """The payload of a file that ``store`` made."""
-    return payload_of(decode(media)[3])
-
-
-def payload_of(frames: list[Frame]) -> bytes:
-    return b"".join(f.indices.tobytes() for f in frames)
-
-
-def feature_of(shots: Iterator[tuple[int, int, np.ndarray]]) -> str:
-    """Rendered frames in a line: their number, delays, and the filled cells of their colour histogram.
+def seen(media: bytes) -> tuple[bytes, str]:
+    """The payload of a file that ``store`` made, and its feature, from its rendered frames.
 
-    Such as ``2:10,10:0=64,273=5``; a cell is (16 red + green) 16 + blue, of 16 levels each.
+    A frame's samples are what the canvas shows in the frame's box, under a palette of greys. The
+    feature is their number, delays, and the filled cells of their colour histogram, such as
+    ``2:10,10:0=64,273=5``; a cell is (16 red + green) 16 + blue, of 16 levels each.
     """
-    delays, cells = [], np.zeros(LEVELS**3, np.int64)
-    for _, delay, canvas in shots:
+    width, height, common, frames = decode(media)
+    samples, delays, cells = [], [], np.zeros(LEVELS**3, np.int64)
+    for f, (_, delay, canvas) in zip(frames, timed(width, height, common, frames), strict=True):
+        rows, columns = f.indices.shape
+        samples.append(canvas[f.top : f.top + rows, f.left : f.left + columns, 0].tobytes())
         delays.append(delay)
-        cells += np.array(histogram(canvas, LEVELS))
-    return f"{len(delays)}:{','.join(map(str, delays))}:{','.join(f'{k}={cells[k]}' for k in np.flatnonzero(cells))}"
+        cells += histogram(canvas, LEVELS)
+    return b"".join(samples), f"{len(delays)}:{','.join(map(str, delays))}:{','.join(f'{k}={cells[k]}' for k in np.flatnonzero(cells))}"
 
 
-def text_media(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_media: bool = True) -> DataFrame:
-    """doc_id, sizes, digests and a feature of each text's GIF, and the file itself if kept.
+def load(media: bytes) -> bytes:
+    """The payload of a file that ``store`` made."""
+    return seen(media)[0]
 
-    The feature is made of the timed frames that the file read back renders.
-    """
+
+def text_media(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_media: bool = True) -> DataFrame:
+    """doc_id, sizes, digests and a feature of each text's GIF, and the file itself if kept."""
     schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string" + ", media binary" * keep_media
 
     def one(text: bytes) -> tuple:
         media = store(text)
-        read = decode(media)
-        payload, feature = payload_of(read[3]), feature_of(timed(*read))
+        payload, feature = seen(media)
         return len(text), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature, media
 
     def run(batches):
