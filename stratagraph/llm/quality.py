@@ -5,17 +5,20 @@ chunks of ``CHUNK`` bytes that overlap by half and together cover the whole docu
 and the maximum over the chunks of each pooled filter go through one logistic layer.
 
 The network is fitted on the driver with a bounded sample of labelled rows (``SAMPLE`` of each
-label at most, smallest hashes of their ids first); every text is scored whole. Rows of the
-hold-out fold never reach the fit. Labels, lang, source and ids are not inputs of a score.
+label at most, smallest hashes of their ids first, also where many rows have one id); it learns
+from all chunks of their whole texts, and every text is scored whole. Rows of the hold-out fold
+never reach the fit. Labels, lang, source and ids are not inputs of a score.
 
 Defined cases: null and empty texts are scored as one chunk of zero bytes; null ids are kept and
-never learnt from; repeated rows are kept; contradicting labels of one id are both learnt from; without
-both labels in the sample the score is the share of label 1 (0.5 without labels).
+never learnt from; repeated rows are kept, and count each in the sample; contradicting labels of
+one id are both learnt from; without both labels in the sample the score is the share of label 1
+(0.5 without labels).
 """
 
 from __future__ import annotations
 
 import zlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +29,6 @@ from .common import texts
 
 FILTERS, SPAN, STRIDE, CHUNK = 16, 4, 2, 256
 SAMPLE, STEPS, BATCH, SEED, FOLDS, THRESHOLD = 600, 400, 32, 11, 5, 0.3
-#: Bytes of a sampled document that the fit takes, from chunks spread over the whole of it.
-FIT_BYTES = 8192
 
 
 class Network:
@@ -98,14 +99,6 @@ class Network:
             setattr(self, name, (getattr(self, name) - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)).astype(np.float32))
 
 
-def _spread(text: bytes, r: np.random.Generator) -> bytes:
-    """Chunks from all over a long text, FIT_BYTES in all; a shorter text whole."""
-    if len(text) <= FIT_BYTES:
-        return text
-    starts = np.sort(r.integers(0, len(text) - 2 * CHUNK, FIT_BYTES // (2 * CHUNK)))
-    return b"".join(text[s : s + 2 * CHUNK] for s in starts)
-
-
 def fit(rows: list[tuple[bytes, int]], seed: int = SEED, steps: int = STEPS) -> Network:
     """Adam on the logistic loss, as many steps for any sample; both labels weigh as much as each other."""
     net, r = Network(seed), np.random.default_rng(seed)
@@ -134,25 +127,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     marked = labels.select(labels[id_col].cast("long").alias("__id"), labels[label_col].cast("int").alias("__y"))
     marked = marked.where(F.col("__id").isNotNull() & F.col("__y").isin(0, 1) & (fold(F.col("__id")) != 0)).distinct()
     order = F.xxhash64(F.lit(SEED), "__id")
-    chosen = None
-    for y in (0, 1):
-        one = marked.where(F.col("__y") == y).orderBy(order, "__id").limit(sample)
-        chosen = one if chosen is None else chosen.unionAll(one)
-    got = {(r["__id"], r["__y"]) for r in chosen.collect()}
-    if not got:
-        return fit([])
-    ids = sorted({i for i, _ in got})
-    keys = F.broadcast(docs.sparkSession.createDataFrame([(i,) for i in ids], "__id long"))
-
-    def taken(batches):
-        for b in batches:
-            cut = [_spread(t.encode(), np.random.default_rng(zlib.crc32(t.encode()))) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cut, pa.binary())], ["id", "bytes"])
-
-    by_id: dict[int, list[bytes]] = {}
-    for r in texts(docs, id_col, text_col).join(keys, "__id").mapInArrow(taken, "id long, bytes binary").toLocalIterator():
-        by_id.setdefault(r["id"], []).append(bytes(r["bytes"]))
-    return fit([(t, y) for i, y in sorted(got) for t in sorted(by_id.get(i, []))])
+    chosen = reduce(DataFrame.unionAll, (marked.where(F.col("__y") == y).orderBy(order, "__id").limit(sample) for y in (0, 1)))
+    rows = texts(docs, id_col, text_col).join(F.broadcast(chosen), "__id").select("__y", order.alias("__order"), "__id", "__text")
+    got = [(r["__text"].encode(), r["__y"]) for y in (0, 1) for r in rows.where(F.col("__y") == y).orderBy("__order", "__id", "__text").limit(sample).collect()]
+    return fit(got)
 
 
 def score(df: DataFrame, net: Network, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
