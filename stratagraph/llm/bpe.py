@@ -3,15 +3,19 @@
 A text is split by the pattern; each distinct piece is encoded once and remembered. Pieces that
 are tokens stand for themselves. The others become token-position rows; a recursive query joins
 neighbouring rows with the merge table and contracts each piece's leftmost pair of least rank
-until no pair is left. Ordered aggregations write the ids of a piece and decode them. The merge table has every split of every token into two tokens,
-because neighbours merge whenever their joined bytes are a token.
+until no pair is left, and an ordered aggregation writes the ids of a piece. Decoding is an
+ordered aggregation over the token-position rows of each document's own ids. The merge table has
+every split of every token into two tokens, because neighbours merge whenever their joined bytes
+are a token.
 
 The rows of a piece are rewritten once a merge, so a piece of n bytes costs n * n; pieces over
 ``LONG`` bytes get the same contraction with a heap instead, in n * log(n).
 
 Defined cases: null texts are empty (no ids); null ids and repeated rows are kept; other columns
-are ignored. The memory of pieces is emptied when it holds ``REMEMBERED`` of them, so a worker's
-memory is bounded whatever it reads.
+are ignored, or carried where asked for. The memory of pieces is emptied when it holds
+``REMEMBERED`` of them or ``REMEMBERED_BYTES``, and queries take ``AT_ONCE`` bytes of pieces or
+``DECODED`` ids at a time, so a worker's memory follows its longest text, not its rows; the
+database never spills to a local folder.
 """
 
 from __future__ import annotations
@@ -26,10 +30,11 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import texts
 
-LONG, REMEMBERED, AT_ONCE = 200, 800_000, 20_000
+LONG, REMEMBERED, REMEMBERED_BYTES, AT_ONCE, DECODED = 200, 800_000, 1 << 25, 1 << 18, 1 << 20
 
 CONTRACT = """
 CREATE OR REPLACE TEMP TABLE done AS
@@ -50,11 +55,10 @@ WITH RECURSIVE steps(done, w, pos, id, right_id, right_pos) AS (
 SELECT w, pos, id FROM steps WHERE done UNION ALL SELECT w, pos, id FROM whole
 """
 WRITE = """
-SELECT w, string_agg(id::VARCHAR, ' ' ORDER BY pos) AS ids, unhex(string_agg(hex, '' ORDER BY pos)) AS bytes
-FROM done JOIN tokens USING (id) GROUP BY w ORDER BY w
+SELECT w, list(id ORDER BY pos) AS ids FROM done GROUP BY w ORDER BY w
 """
 DECODE = """
-SELECT w, unhex(string_agg(hex, '' ORDER BY pos)) AS bytes FROM asked JOIN tokens USING (id) GROUP BY w ORDER BY w
+SELECT w, string_agg(hex, '' ORDER BY pos) AS hex FROM asked JOIN tokens USING (id) GROUP BY w ORDER BY w
 """
 
 
@@ -74,14 +78,15 @@ class Codec:
         self.ranks = ranks
         self.split = regex.compile(_white(pattern)).findall
         self.single = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
         merged = [(ranks[t[:k]], ranks[t[k:]], v) for t, v in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks]
         a = np.array(merged, np.int64).reshape(-1, 3)
         self._table("merges", l=a[:, 0], r=a[:, 1], rank=a[:, 2])
         self._table("tokens", id=np.fromiter(ranks.values(), np.int64), hex=[t.hex() for t in ranks])
-        #: Piece to its ids as text, and to its decoded bytes where those differ from its own.
-        self.text: dict[str, str] = {}
-        self.other: dict[str, bytes] = {}
+        self.names = {v: str(v) for v in ranks.values()}
+        #: Piece to its ids, as bytes of 32-bit numbers.
+        self.known: dict[str, bytes] = {}
+        self.bytes = 0
 
     def _table(self, name: str, **columns) -> None:
         view = pa.table(columns)
@@ -96,8 +101,8 @@ class Codec:
         pos = np.arange(sizes.sum()) - np.repeat(ends - sizes, sizes)
         return {"w": np.repeat(np.array(at, np.int64), sizes), "pos": pos, "id": np.fromiter(chain.from_iterable(lists), np.int64) if ids is None else ids}
 
-    def contract(self, pieces: list[bytes]) -> tuple[list[str], list[bytes]]:
-        """Ids of pieces as text, by the recursive query, and the bytes that they decode to."""
+    def contract(self, pieces: list[bytes]) -> list[bytes]:
+        """Ids of pieces, as bytes of 32-bit numbers, by the recursive query."""
         get = self.ranks.get
         direct = [(get(p),) if p in self.ranks else self._heap(p) if len(p) > LONG else None for p in pieces]
         known = [k for k, x in enumerate(direct) if x is not None]
@@ -106,8 +111,10 @@ class Codec:
         raw = [pieces[k] for k in other]
         self._table("start", **self._rows(raw, other, self.single[np.frombuffer(b"".join(raw), np.uint8)]))
         self.db.execute(CONTRACT)
-        got = self.db.sql(WRITE).to_arrow_table()
-        return got.column("ids").to_pylist(), got.column("bytes").to_pylist()
+        ids = self.db.sql(WRITE).to_arrow_table().column("ids").combine_chunks()
+        flat = ids.values.to_numpy().astype("<i4").tobytes()
+        ends = 4 * ids.offsets.to_numpy()
+        return [flat[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
 
     def _heap(self, piece: bytes) -> list[int]:
         """Ids of a long piece: the same contraction, leftmost pair of least rank first."""
@@ -130,52 +137,65 @@ class Codec:
                 heapq.heappush(heap, (r, prv[k], to))
         return [self.ranks[piece[k : end[k]]] for k in range(n) if alive[k]]
 
-    def decode_ids(self, lists: list[list[int]]) -> list[bytes]:
-        """The bytes of each id list, by ordered aggregation; an empty list is empty bytes."""
-        out = [b""] * len(lists)
-        self._table("asked", **self._rows(lists, list(range(len(lists)))))
-        got = self.db.sql(DECODE).to_arrow_table()
-        for w, x in zip(got.column(0).to_pylist(), got.column(1).to_pylist(), strict=True):
-            out[w] = x
-        return out
+    def decode_ids(self, lists: list[np.ndarray]) -> list[bytes]:
+        """The bytes of each array of ids, by ordered aggregation; no ids are no bytes. Long arrays go in stretches."""
+        out: list[list[bytes]] = [[] for _ in lists]
+        stretches = [(w, x[i : i + DECODED]) for w, x in enumerate(lists) for i in range(0, len(x), DECODED)]
+        at = 0
+        while at < len(stretches):
+            stop, held = at + 1, len(stretches[at][1])
+            while stop < len(stretches) and held + len(stretches[stop][1]) <= DECODED:
+                held += len(stretches[stop][1])
+                stop += 1
+            part = stretches[at:stop]
+            sizes = np.array([len(x) for _, x in part])
+            ends = np.cumsum(sizes)
+            self._table("asked", w=np.repeat(np.arange(len(part)), sizes), pos=np.arange(ends[-1]) - np.repeat(ends - sizes, sizes), id=np.concatenate([x for _, x in part]).astype(np.int64))
+            got = self.db.sql(DECODE).to_arrow_table()
+            for k, x in zip(got.column(0).to_pylist(), got.column(1).to_pylist(), strict=True):
+                out[part[k][0]].append(bytes.fromhex(x))
+            at = stop
+        return [b"".join(x) for x in out]
 
     def learn(self, pieces: set[str]) -> None:
-        """Encodes and decodes the pieces that are not known yet."""
-        new = sorted(pieces.difference(self.text))
-        for i in range(0, len(new), AT_ONCE):
-            part = new[i : i + AT_ONCE]
-            raw = [p.encode("utf-8", "replace") for p in part]
-            ids, decoded = self.contract(raw)
-            self.text.update(zip(part, ids, strict=True))
-            self.other.update((p, b) for p, r, b in zip(part, raw, decoded, strict=True) if r != b)
+        """Encodes the pieces that are not known yet."""
+        part, raw, held = [], [], 0
+        for p in sorted(pieces.difference(self.known)):
+            part.append(p)
+            raw.append(p.encode("utf-8", "replace"))
+            held += len(raw[-1])
+            if held >= AT_ONCE:
+                self.known.update(zip(part, self.contract(raw), strict=True))
+                self.bytes += held
+                part, raw, held = [], [], 0
+        if part:
+            self.known.update(zip(part, self.contract(raw), strict=True))
+            self.bytes += held
 
     def forget(self) -> None:
         """Drops what is remembered, so that an idle worker holds little."""
-        self.text, self.other = {}, {}
+        self.known, self.bytes = {}, 0
         with contextlib.suppress(OSError, AttributeError):  # only where the C library can
             ctypes.CDLL(None).malloc_trim(0)
 
-    def ids_text(self, pieces: list[str]) -> str:
-        """The ids of a text's pieces, joined by spaces."""
-        return " ".join(map(self.text.__getitem__, pieces))
+    def ids(self, pieces: list[str]) -> np.ndarray:
+        """The ids of a text's pieces."""
+        return np.frombuffer(b"".join(map(self.known.__getitem__, pieces)), "<i4")
 
-    def decoded(self, pieces: list[str]) -> bytes:
-        """The bytes that the ids of a text's pieces decode to."""
-        if self.other:
-            return b"".join(self.other.get(p) or p.encode() for p in pieces)
-        return "".join(pieces).encode()
+    def ids_text(self, ids: np.ndarray) -> str:
+        """Ids in decimal, joined by spaces."""
+        return " ".join(map(self.names.__getitem__, ids.tolist()))
 
-    def pieces(self, batch: list[str]) -> list[list[str]]:
-        """The pieces of each text, all of them known afterwards."""
+    def encode(self, batch: list[str]) -> list[np.ndarray]:
+        """The ids of each text."""
         split = [self.split(t) for t in batch]
         own: set[str] = set()
         for s in split:
             own.update(s)
-        if len(self.text) + len(own) > REMEMBERED:
-            self.text.clear()
-            self.other.clear()
+        if len(self.known) + len(own) > REMEMBERED or self.bytes > REMEMBERED_BYTES:
+            self.known, self.bytes = {}, 0
         self.learn(own)
-        return split
+        return [self.ids(s) for s in split]
 
 
 def _white(pattern: str) -> str:
@@ -199,23 +219,32 @@ def public_vocabulary() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
 
-def _mapped(df: DataFrame, names: list[str], kinds: list, schema: str, one, path, pattern, id_col, text_col) -> DataFrame:
-    def run(batches):
-        c = codec(path, pattern)
-        for b in batches:
-            ids, batch = b.column(0).to_pylist(), b.column(1).to_pylist()
-            for i in range(0, len(ids), 1000):
-                rows = [(k, *one(c, s)) for k, s in zip(ids[i : i + 1000], c.pieces(batch[i : i + 1000]), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
-        c.forget()
-
-    return texts(df, id_col, text_col).mapInArrow(run, schema)
+def _batches(batches, first: int):
+    """(columns before ``first``, texts), a thousand rows or some megabytes of text at a time."""
+    for b in batches:
+        rows, held, size = [], [], 0
+        others = [b.column(k).to_pylist() for k in range(b.num_columns) if k != first]
+        for k, t in enumerate(b.column(first).to_pylist()):
+            rows.append(tuple(x[k] for x in others))
+            held.append(t)
+            size += len(t)
+            if len(held) == 1000 or size > 1 << 21:
+                yield rows, held
+                rows, held, size = [], [], 0
+        if held:
+            yield rows, held
 
 
 def encode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, ids) of whole texts."""
-    one = lambda c, s: (list(map(int, c.ids_text(s).split())),)
-    return _mapped(df, ["doc_id", "ids"], [pa.int64(), pa.list_(pa.int64())], "doc_id long, ids array<long>", one, path, pattern, id_col, text_col)
+
+    def run(batches):
+        c = codec(path, pattern)
+        for rows, held in _batches(batches, 1):
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array(c.encode(held), pa.list_(pa.int64()))], ["doc_id", "ids"])
+        c.forget()
+
+    return texts(df, id_col, text_col).mapInArrow(run, "doc_id long, ids array<long>")
 
 
 def decode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -223,21 +252,32 @@ def decode(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", ids_c
 
     def run(batches):
         c = codec(path, pattern)
-        known = set(c.ranks.values())
+        known = np.array(sorted(c.names))
         for b in batches:
-            lists = [x or [] for x in b.column(1).to_pylist()]
-            if any(i not in known for x in lists for i in x):
+            lists = [np.array(x or [], np.int64) for x in b.column(1).to_pylist()]
+            if not all(np.isin(x, known).all() for x in lists):
                 raise ValueError("an id is not in the vocabulary")
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(c.decode_ids(lists), pa.binary())], ["doc_id", "bytes"])
 
     return df.select(df[id_col].cast("long").alias("doc_id"), df[ids_col].cast("array<long>").alias("ids")).mapInArrow(run, "doc_id long, bytes binary")
 
 
-def round_trip(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_tokens and the digests of the ids and of the bytes decoded from them."""
+def round_trip(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", carry: str | None = None) -> DataFrame:
+    """doc_id, n_tokens, the digests of the ids and of the bytes decoded from them, and a long column carried along if named."""
+    more = [carry] if carry else []
+    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *more]
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), *(pa.int64() for _ in more)]
 
-    def one(c: Codec, s: list[str]) -> tuple:
-        ids = c.ids_text(s)
-        return ids.count(" ") + bool(ids), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(c.decoded(s)).hexdigest()
+    def run(batches):
+        c = codec(path, pattern)
+        for rows, held in _batches(batches, 1):
+            ids = c.encode(held)
+            out = [
+                (r[0], len(x), hashlib.sha256(c.ids_text(x).encode()).hexdigest(), hashlib.sha256(decoded).hexdigest(), *r[1:])
+                for r, x, decoded in zip(rows, ids, c.decode_ids(ids), strict=True)
+            ]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)], names)
+        c.forget()
 
-    return _mapped(df, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"], [pa.int64(), pa.int64(), pa.string(), pa.string()], "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", one, path, pattern, id_col, text_col)
+    rows = df.select(df[id_col].cast("long").alias("__id"), F.coalesce(df[text_col].cast("string"), F.lit("")).alias("__text"), *(df[x].cast("long") for x in more))
+    return rows.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + "".join(f", {x} long" for x in more))

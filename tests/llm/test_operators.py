@@ -1,9 +1,12 @@
 import base64
+import math
 import random
 import re
 import textwrap
 import time
 import zlib
+from collections import Counter
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -115,15 +118,54 @@ def test_links_at_the_border_and_in_blocks(spark, monkeypatch):
     assert held(minhash.near_duplicates(df), "n_shingles", "component_id", "kept") == want
 
 
-def test_large_first_band_groups_lose_no_candidate(monkeypatch):
-    r = random.Random(4)
-    one = [f"w{r.randint(0, 99999)}" for _ in range(200)]
-    sets = [minhash.shingles(" ".join(w if r.random() > 0.01 else "q" for w in one)) for _ in range(30)]
-    got = [minhash.bands(s) for s in sets]
-    args = [minhash.class_key(s) for s in sets], [b for _, b, _ in got], [c for _, _, c in got]
-    few = minhash.met(*args)
+def test_heavy_first_bands_lose_no_link(docs, rows, monkeypatch):
     monkeypatch.setattr(minhash, "MOST_PAIRED", 3)
-    assert {x for p in few for x in p} <= {x for p in minhash.met(*args) for x in p}
+    monkeypatch.setattr(minhash, "SALTS", 4)
+    assert held(minhash.near_duplicates(docs), "n_shingles", "component_id", "kept") == brute.near(rows)
+
+
+def test_links_are_confirmed_on_words(spark):
+    """Two words of equal polynomial hash modulo 2**64, whatever its base, are still two words."""
+    one = "".join("ab"[bin(k).count("1") % 2] for k in range(1024))
+    other = one.translate(str.maketrans("ab", "ba"))
+    rows = [(1, f"{one} w x y z"), (2, f"{other} w x y z"), (3, f"{one}  W x\ty z "), (4, "a a a a a"), (5, "a a a a a a"), (6, "a a a a")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = held(minhash.near_duplicates(df), "n_shingles", "component_id", "kept")
+    assert got == brute.near(rows) and got[2] == (1, 2, True) and got[3] == (1, 1, False) and got[5][1] == 4
+    assert sorted(r["doc_id"] for r in minhash.keep_first(df).collect()) == [1, 2, 4, 6]
+
+
+def test_one_row_of_a_class_stays(spark):
+    a, b = "one two three four five six seven eight", "another text that is like nothing else in here"
+    long = " ".join(f"w{k}" for k in range(60))
+    data = [(1, a, "x"), (5, a, "x"), (5, b, "x"), (7, b, "x"), (5, b, "x"), (None, long, "x"), (None, long + " end", "x"), (None, " ", "x"), (9, "", "x"), (9, "", "x"), (9, None, "x")]
+    df = spark.createDataFrame(data, "doc_id long, text string, cls string")
+    got = [tuple(r) for r in minhash.keep_first(df).collect()]
+    assert sorted(x[:2] for x in got if x[0] in (1, 5, 7)) == [(1, a), (5, b)]
+    assert sum(x[0] == 9 for x in got) == 3 and sum(x[0] is None for x in got) == 2
+    links = minhash.near_duplicates(df.unionByName(spark.createDataFrame([(3, long + " end of it", "y")], df.schema))).collect()
+    assert sorted(r["component_id"] for r in links if r["doc_id"] is None and r["n_shingles"]) == [3, 3]
+    assert minhash.keep_first(df.limit(0)).count() == 0
+
+
+def test_codes_tell_runs_apart():
+    r = np.random.default_rng(1)
+    for vocabulary in (3, 9000, 1 << 40):
+        ids = r.integers(0, min(vocabulary, 4), 400) * (vocabulary // 4 or 1) % vocabulary
+        got = minhash.codes(ids, 5, vocabulary)
+        runs = [tuple(ids[i : i + 5]) for i in range(396)]
+        assert len(set(zip(got.tolist(), runs, strict=True))) == len(set(runs)) == len(set(got.tolist()))
+
+
+def test_components_of_hubs_and_chains(spark, monkeypatch):
+    from stratagraph.llm import components
+
+    monkeypatch.setattr(components, "PARTS", 3)
+    edges = [(0, k) for k in range(1, 30)] + [(k, k + 1) for k in range(100, 130)] + [(200, 200), (29, 28), (28, 29)]
+    df = spark.createDataFrame(edges, "u long, v long")
+    got = {r["node"]: r["root"] for r in components.components(df).collect()}
+    assert got == {**dict.fromkeys(range(30), 0), **dict.fromkeys(range(100, 131), 100)}
+    assert components.components(df.limit(0)).count() == 0
 
 
 def lag(order, weights):
@@ -135,16 +177,65 @@ def lag(order, weights):
     return worst
 
 
-def test_schedule_keeps_within_a_block():
-    n = mixing.shares({"a": 5, "b": 3, "c": 0.1, None: 2}, 101)
-    assert sum(n.values()) == 101
-    slots = mixing.one_period(n, 101)
-    order = [s for _, s in sorted(((t, s) for s, ts in slots.items() for t in ts), key=lambda x: x[0])]
-    assert len(order) == 101 and lag(order * 3, n) < 1
+@pytest.mark.parametrize("weights", [{"a": 0.70049, "b": 0.29951}, {"a": 1.0, "b": 1e-6, "c": 0.3}, {"a": 5, "b": 3, "c": 0.1, None: 2}])
+def test_schedule_keeps_within_a_block(weights):
+    """Of the exact weights, over a hundred thousand slots."""
+    names, order = mixing.plan({s: max(1, round(10**5 * w / sum(weights.values()))) for s, w in weights.items()}, weights)
+    order = [names[k] for k in order]
+    last = {s: t for t, s in enumerate(order)}
+    assert len(order) >= 10**5 - 5
+    assert lag(order[: min(last.values()) + 1], weights) < 1
+
+
+def planned(counts, weights, block):
+    """(source, block) of every slot, by earliest deadlines over all waiting blocks at every slot."""
+    left = {s: -(-n // block) for s, n in counts.items()}
+    done, out = dict.fromkeys(left, 0), []
+    while left:
+        total = sum(Fraction(weights[s]) for s in left)
+        share = {s: Fraction(weights[s]) / total for s in left}
+        at, t = dict.fromkeys(left, 0), 0
+        while all(at[s] < left[s] for s in left):
+            may = [s for s in left if at[s] // share[s] <= t]
+            s = min(may, key=lambda s: (math.ceil((at[s] + 1) / share[s]), at[s], str(s)))
+            out.append((s, done[s]))
+            at[s], done[s], t = at[s] + 1, done[s] + 1, t + 1
+        left = {s: n - at[s] for s, n in left.items() if n > at[s]}
+    return out
+
+
+def test_mixing_against_a_plain_schedule(spark):
+    """All rows, with null and repeated ids and repeated rows, a clashing column and weights that don't divide anything."""
+    data = [(None if k % 3 == 0 else k % 50, "abc"[k % 3 if k % 7 else 0] if k % 11 else None, f"t{k % 200}", "x") for k in range(3000)]
+    df = spark.createDataFrame(data, "doc_id long, source string, text string, n string").repartition(7)
+    weights = {"a": 0.70049, "b": 0.2, "c": 1e-6, None: 0.11}
+    counts = Counter(s for _, s, _, _ in data)
+    got = mixing.mix(df, weights, block=7).collect()
+    assert Counter((r["doc_id"], r["source"], r["text"], r["n"]) for r in got) == Counter(data)
+    want = planned(counts, weights, 7)
+    assert {r["__slot"]: (r["source"], r["__block"]) for r in got} == dict(enumerate(want))
+    assert len({r["__position"] for r in got}) == len(data)
+    again = mixing.mix(df.coalesce(1), weights, block=7).collect()
+    assert sorted((r["__position"], str(r["doc_id"]), r["text"]) for r in got) == sorted((r["__position"], str(r["doc_id"]), r["text"]) for r in again)
+    spread = mixing._hashed(df.where("doc_id is null"), "source", "doc_id", 17)
+    assert spread.select("__hash").distinct().count() > 150
+    with pytest.raises(ValueError):
+        mixing.mix(df.withColumn("__slot", df["n"]))
+
+
+def test_mixed_order_is_read_back(spark, tmp_path):
+    df = spark.range(20_000).selectExpr("id as doc_id", "if(id % 3 < 2, 'hot', concat('s', id % 5)) as source", "repeat('x', cast(id % 900 as int)) as text")
+    want = {r["doc_id"]: r["__position"] for r in mixing.mix(df).collect()}
+    mixing.mixed(df).write.parquet(str(tmp_path / "mixed"))
+    read = spark.read.parquet(str(tmp_path / "mixed"))
+    got = [r["doc_id"] for r in mixing.places(read).orderBy("position").collect()]
+    assert got == sorted(want, key=want.get)
+    assert mixing.places(read).agg({"position": "max"}).first()[0] == 19_999
+    assert mixing.places(read.where("doc_id < 0")).count() == 0
 
 
 def test_mixing_keeps_all_rows_in_proportion(docs, rows, empty, spark):
-    got = mixing.mix(docs, block=2, period=50).collect()
+    got = mixing.mix(docs, block=2).collect()
     assert sorted(r["doc_id"] for r in got) == sorted(i for i, _ in rows)
     assert len({r["__position"] for r in got}) == len(got)
     slots: dict = {}
@@ -250,12 +341,44 @@ def test_gif_features_are_of_rendered_frames(spark, monkeypatch):
     pal = np.zeros((256, 3), np.uint8)
     pal[1], pal[2] = (255, 0, 0), (0, 255, 0)
     data = gif.encode([gif.Frame(np.ones((2, 2), np.uint8), delay=5), gif.Frame(np.array([[2, 0]], np.uint8), delay=7, transparent=0)], 2, 2, pal)
-    assert gif.feature_of(gif.render(data)) == f"2:5,7:{15 * 16}=1,{15 * 256}=7"
+    assert gif.seen(data) == (bytes([255] * 4 + [0, 255]), f"2:5,7:{15 * 16}=1,{15 * 256}=7")
     df = spark.createDataFrame([(1, "0" * 64 * 1024 + "A" * 64), (2, None)], "doc_id long, text string")
     got = held(gif.text_media(df), "feature")
     assert got == {1: (f"2:10,10:{3 * 273}={64 * 2047},{4 * 273}=64",), 2: ("1:10:0=64",)}
-    monkeypatch.setattr(gif, "GREY", gif.GREY[::-1])
-    assert gif.feature_of(gif.render(gif.encode([gif.Frame(np.zeros((1, 1), np.uint8))], 1, 1, gif.GREY))) == "1:0:4095=1"
+    assert gif.seen(gif.encode([gif.Frame(np.zeros((1, 1), np.uint8))], 1, 1, gif.GREY[::-1])) == (b"\xff", "1:0:4095=1")
+
+
+def plain_feature(payload):
+    """Of a payload as frames of 64 x 1024 greys, each counted over the whole canvas that it leaves."""
+    shots, canvas = [], bytearray(min(len(payload), 65536))
+    for i in range(0, len(payload), 65536):
+        part = payload[i : i + 65536]
+        canvas[: len(part)] = part
+        shots.append(bytes(canvas))
+    cells = Counter(b // 16 * 273 for s in shots for b in s)
+    return f"{len(shots)}:{','.join(['10'] * len(shots))}:{','.join(f'{k}={cells[k]}' for k in sorted(cells))}"
+
+
+def test_gif_features_of_all_texts(docs, rows):
+    got = held(gif.text_media(docs, keep_media=False), "feature")
+    for i, t in rows:
+        raw = (t or "").encode()
+        assert got[i][0] == plain_feature(raw.ljust(max(64, -(-len(raw) // 64) * 64), b"\0"))
+
+
+def test_gif_oddities(spark):
+    """Files without frames, with a huge screen or frame, cut short; null ids and repeated rows of texts."""
+    empty = gif.encode([], 2, 2)
+    screen = empty[:6] + b"\xff\xff\xff\xff" + empty[10:]
+    one = gif.encode([gif.Frame(np.ones((2, 2), np.uint8))], 2, 2)
+    wide = one.replace(b"\x2c" + bytes(4) + b"\2\0\2\0", b"\x2c" + bytes(4) + b"\xff\xff\xff\xff")
+    assert wide != one
+    df = spark.createDataFrame([(1, empty), (2, screen), (3, wide), (4, one[:-8]), (5, one), (5, one)], "id long, media binary")
+    got = gif.gif_frames(df, "media", "id").collect()
+    assert {r["id"]: r["error"] is None for r in got} == {1: False, 2: False, 3: False, 4: False, 5: True} and len(got) == 6
+    df = spark.createDataFrame([(None, "x"), (None, "x"), (7, "x"), (7, "x")], "doc_id long, text string")
+    got = gif.text_media(df).collect()
+    assert len(got) == 4 and len({r["media_sha256"] for r in got}) == 1 and sum(r["doc_id"] is None for r in got) == 2
 
 
 def test_gif_rendering(spark):
@@ -427,7 +550,25 @@ def test_bpe_like_the_public_library(docs, rows, empty, vocabulary):
     r = random.Random(8)
     for _ in range(300):
         t = "".join(r.choices("abcdeTHE  \t\n\r\x1c\x85 　'stréßñ中0129²½😀!@#._-​", k=r.randint(0, 60)))
-        assert list(map(int, codec.ids_text(codec.pieces([t])[0]).split())) == enc.encode_ordinary(t)
+        assert codec.encode([t])[0].tolist() == enc.encode_ordinary(t)
+    want = [enc.encode_ordinary(t) for t in ("a" * 70_000, "é" * 9000, " " * 5000, "!?" * 3000, "12345" * 900, "xyz" * 66, "q" * 200, "q" * 201)]
+    assert [x.tolist() for x in codec.encode(["a" * 70_000, "é" * 9000, " " * 5000, "!?" * 3000, "12345" * 900, "xyz" * 66, "q" * 200, "q" * 201])] == want
+
+
+def test_decoding_is_of_the_ids(vocabulary, monkeypatch):
+    """What is decoded comes from the ids, in stretches too, not from the text."""
+    codec = bpe.codec(*vocabulary)
+    ids = codec.encode(["one two three", "", "four"])
+    monkeypatch.setattr(bpe, "DECODED", 2)
+    assert codec.decode_ids(ids) == [b"one two three", b"", b"four"]
+    assert codec.decode_ids([ids[0][::-1].copy()])[0] != b"one two three"
+    assert codec.db.sql("SELECT current_setting('temp_directory')").fetchall()[0][0] in ("", None)
+
+
+def test_bpe_of_null_ids_and_carried_columns(spark, vocabulary):
+    df = spark.createDataFrame([(None, "a b", 5), (None, None, 6), (3, "x" * 5000, None), (3, "x" * 5000, None)], "doc_id long, text string, position int")
+    got = sorted(((r["doc_id"], r["n_tokens"] > 0, r["position"]) for r in bpe.round_trip(df, *vocabulary, carry="position").collect()), key=str)
+    assert got == sorted([(None, True, 5), (None, False, 6), (3, True, None), (3, True, None)], key=str)
 
 
 def test_quality_on_the_held_out_fold(spark):
@@ -439,7 +580,7 @@ def test_quality_on_the_held_out_fold(spark):
     assert np.mean([a > b for a in s[y == 1] for b in s[y == 0]]) > 0.97
 
 
-def test_quality_edge_cases(docs, rows, empty, spark):
+def test_quality_edge_cases(docs, rows, empty, spark, monkeypatch):
     none = spark.createDataFrame([], "doc_id long, quality int")
     assert quality.train(docs, none).score(b"x") == 0.5
     some = spark.createDataFrame([(r[0], k % 2, "x") for k, r in enumerate(rows)] + [(None, 1, "x"), (3, None, "y")], "doc_id long, quality int, text string")
@@ -448,8 +589,35 @@ def test_quality_edge_cases(docs, rows, empty, spark):
     assert all(x[0] == (zlib.crc32(str(i).encode()) % 5 == 0) and 0 <= x[1] <= 1 and x[2] == (x[1] >= 0.3) for i, x in got.items())
     assert quality.score(empty, net).count() == 0
     assert quality.keep_good(docs, net).count() == sum(x[2] for x in got.values())
-    long = b"ab" * 200_000
-    assert np.isclose(net.score(long), net.score(long))
+    many = spark.createDataFrame([(k % 2, f"{k % 2} {k}") for k in range(400)], "doc_id long, text string")
+    one = spark.createDataFrame([(0, 1), (1, 0), (1, 0)], "doc_id long, quality int")
+    seen: list = []
+    monkeypatch.setattr(quality, "fit", lambda rows: seen.extend(rows))
+    monkeypatch.setattr(quality, "fold", lambda c: c * 0 + 1)
+    quality.train(many, one, sample=30)
+    assert Counter((t[:1], y) for t, y in seen) == {(b"0", 1): 30, (b"1", 0): 30}
+
+
+def plain_score(net, text):
+    """The network from its description, place by place."""
+    data = text + bytes(-len(text) % 128 if len(text) > 256 else 256 - len(text)) + bytes(8)
+    size = len(data) - 8
+    at = {p: sum(net.tables[k][data[p + k]].astype(float) for k in range(4)) for p in range(0, size, 2)}
+    chunks = [np.max([at[p] for p in range(c, c + 256, 2)], 0) for c in range(0, max(size - 128, 1), 128)]
+    c = np.tanh(np.array(chunks))
+    return 1 / (1 + np.exp(-(np.concatenate([c.mean(0), c.max(0)]) @ net.weights + net.bias)))
+
+
+def test_scores_are_of_all_chunks():
+    r, net = random.Random(9), quality.Network()
+    for n in (0, 1, 255, 256, 257, 384, 385, 1000, 5000):
+        text = bytes(r.choices(range(256), k=n))
+        assert np.isclose(net.score(text), plain_score(net, text), atol=1e-5)
+    batch, net = [(bytes(r.choices(b"abc", k=60_000)) + b"#" * 300, 1, 1.0), (bytes(r.choices(b"abc", k=60_000)), 0, 1.0)], quality.Network()
+    state: dict = {}
+    for _ in range(60):
+        net.step(batch, 0.02, state)
+    assert net.score(batch[0][0]) > 0.8 > 0.3 > net.score(batch[1][0])
 
 
 def test_gradient_follows_the_loss():
