@@ -1,22 +1,25 @@
 """Suffix-array dedup: bytes that a LENGTH-byte string covers which also starts earlier are removed.
 
 A longest-previous-factor array says how long a string at a position also starts earlier;
-previous and next smaller positions in suffix order give it. ``longest_previous_factors`` is
-that array of one byte string. Over a corpus, only windows of LENGTH bytes matter (LPF >= LENGTH),
-and equal windows are brought together first:
+previous and next smaller positions in suffix order give it (``factors``). Over a corpus, only
+windows of LENGTH bytes matter (LPF >= LENGTH), and windows that may be equal are brought
+together first:
 
 1. Equal texts become one, under their smallest id.
 2. Each window is named by the least hash of its GRAM-byte strings, leftmost if tied, so equal
-   windows have equal names. Consecutive windows of one name place form a stretch. Stretches are
-   dealt out by name, packed in columns; equal stretches after the first are repeats outright.
-3. Of a name with different stretches, the first of each is fetched with its bytes. In suffix
-   order (depth LENGTH, by rank doubling) a window with a previous smaller position of the same
-   rank has LPF >= LENGTH, and is a repeat.
+   windows have equal names. Consecutive windows of one name place form a stretch. Of the equal
+   stretches (by a 128-bit BLAKE2b digest) of some megabytes of text all but the first are repeats
+   outright; the others are dealt out by name, packed in columns, and of those that are equal all
+   but the first are repeats.
+3. Of a name with different stretches, the first of each is fetched with its bytes. Their windows
+   are put in suffix order, to the depth LENGTH; common prefixes with the neighbours and the
+   previous and next smaller positions, earlier documents first, give the factors, also to that
+   depth. A window whose factor is LENGTH is a repeat.
 4. The repeats of each text are merged and cut out.
 
-Nothing is compared pairwise, so a passage that a third of all texts share costs a row a text.
-Stretches of one name always meet in one task, 24 bytes each, but their bytes are fetched only
-for different ones.
+Nothing is compared pairwise, so a passage that a third of all texts share costs a row of each
+chunk of texts that has it. Different stretches of one name meet in one task, 36 bytes each, and
+those of a name with several are fetched with their bytes (168 at most each).
 
 Defined cases: null texts are empty; null ids come after all others; texts under LENGTH bytes
 keep all; rows of one id and text are one document, so neither is earlier; other columns are
@@ -36,74 +39,92 @@ from pyspark.sql import functions as F
 
 from .common import SpanHash, texts
 
-LENGTH, GRAM = 100, 32
+#: UNIT: bytes that common prefixes are counted in; it divides LENGTH.
+LENGTH, GRAM, UNIT = 100, 32, 4
 #: Bytes of text hashed at once, and of a long text's pieces (which overlap); bytes of stretches ordered at once.
 CHUNK, PIECE, ORDERED = 1 << 20, 1 << 21, 1 << 22
 _PLACE = np.uint64((1 << 24) - 1)
+DIGEST = np.dtype([("s0", "<u8"), ("s1", "<u8")])
 NO_ID = (1 << 63) - 1
 
 
-def suffix_array(data: bytes) -> np.ndarray:
-    """Starts of the suffixes in order, by prefix doubling."""
-    a = np.frombuffer(data, np.uint8).astype(np.int64) + 1
-    n = len(a)
-    if not n:
-        return np.zeros(0, np.int64)
-    rank, step = np.unique(a, return_inverse=True)[1] + 1, 1
-    while True:
+def suffix_ranks(data: np.ndarray, depth: int | None = None, unit: int = 1) -> list[np.ndarray]:
+    """Ranks of the suffixes in order of their first 1, 2, 4 .. units of bytes, at least ``depth`` bytes or, without one, until all differ."""
+    n = len(data)
+    padded, word = np.append(data, np.zeros(unit, np.uint8)), np.zeros(n, np.int64)
+    for k in range(unit):
+        word = word * 257 + padded[k : k + n] + (np.arange(n) + k < n)  # a byte, or 0 past the end
+    rank = np.unique(word, return_inverse=True)[1].astype(np.int64) + 1
+    out, step = [rank], unit
+    while n and (step < depth if depth else rank.max() < n):
         after = np.zeros(n, np.int64)
-        after[: n - step] = rank[step:] if step < n else 0
-        rank = np.unique(rank * (n + 2) + after, return_inverse=True)[1] + 1
-        if rank.max() == n:
-            return np.argsort(rank)
+        if step < n:
+            after[: n - step] = rank[step:]
+        rank = np.unique(rank * (n + 1) + after, return_inverse=True)[1].astype(np.int64) + 1
+        out.append(rank)
         step *= 2
+    return out
 
 
-def common_prefixes(data: bytes, order: np.ndarray) -> np.ndarray:
-    """LCP of each suffix in the order with the one before it (0 for the first)."""
-    n = len(order)
-    rank, out, h = np.empty(n, np.int64), np.zeros(n, np.int64), 0
-    rank[order] = np.arange(n)
-    for i in range(n):
-        if rank[i]:
-            j = order[rank[i] - 1]
-            while i + h < n and j + h < n and data[i + h] == data[j + h]:
-                h += 1
-            out[rank[i]] = h
-            h = max(0, h - 1)
-        else:
-            h = 0
-    return out
+def common_prefixes(ranks: list[np.ndarray], one: np.ndarray, other: np.ndarray, depth: int, unit: int = 1) -> np.ndarray:
+    """Bytes, in whole units up to ``depth``, that the suffixes at two places share, by halving steps through the ranks."""
+    n, out = len(ranks[0]), np.zeros(len(one), np.int64)
+    for k in range(len(ranks) - 1, -1, -1):
+        a, b = one + out, other + out
+        inside = (a < n) & (b < n) & (out < depth)
+        a, b = np.minimum(a, n - 1), np.minimum(b, n - 1)
+        # Equal ranks stand for equal bytes, or for both suffixes ending alike, which two different ones don't.
+        out += np.where(inside & (ranks[k][a] == ranks[k][b]), unit << k, 0)
+    return np.minimum(out, depth)
 
 
-def longest_previous_factors(data: bytes) -> np.ndarray:
-    """For each position, the longest string there that also starts earlier.
+def smaller(place: np.ndarray, lcp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each entry of a suffix order the last one before it with a smaller place (-1: none), and the bytes shared with it.
 
-    In suffix order only the previous and the next smaller position can share the most; a stack
-    finds both, with the least LCP on the way to each.
+    place: numbers in the order of the text; lcp: bytes shared with the entry before. All
+    entries jump at once, over what earlier jumps have passed, until each meets a smaller place.
     """
-    order = suffix_array(data)
-    lcp, out = common_prefixes(data, order), np.zeros(len(order), np.int64)
-    for direction in (1, -1):
-        stack: list[list[int]] = []  # positions rising; least LCP between each and what stands above it
-        n = len(order)
-        for k in range(n) if direction == 1 else range(n - 1, -1, -1):
-            near = int(lcp[k]) if direction == 1 else int(lcp[k + 1]) if k + 1 < n else 0
-            here, low = int(order[k]), near
-            while stack and stack[-1][0] > here:
-                low = min(low, stack.pop()[1]) if len(stack) > 1 else (stack.pop(), 0)[1]
-                low = min(low, near)
-            if stack:
-                out[here] = max(out[here], low)
-            stack.append([here, low])
+    n = len(place)
+    at, shared = np.arange(-1, n - 1), lcp.copy()
+    if n:
+        shared[0] = 0
+    open_ = np.flatnonzero((at >= 0) & (place[np.maximum(at, 0)] >= place) & (shared > 0))
+    while len(open_):
+        via = at[open_]
+        shared[open_] = np.minimum(shared[open_], shared[via])
+        at[open_] = at[via]
+        open_ = open_[(at[open_] >= 0) & (place[np.maximum(at[open_], 0)] >= place[open_]) & (shared[open_] > 0)]
+    shared[at < 0] = 0
+    return at, shared
+
+
+def factors(place: np.ndarray, lcp: np.ndarray) -> np.ndarray:
+    """For each entry of a suffix order the longest string there that also starts at a smaller place.
+
+    Of all smaller places the previous and the next one in suffix order share the most.
+    """
+    before = smaller(place, lcp)[1]
+    turned = np.append(lcp[1:], 0)[::-1]
+    return np.maximum(before, smaller(place[::-1], turned)[1][::-1])
+
+
+def longest_previous_factors(data: bytes) -> np.ndarray:
+    """For each position of a string, the longest string there that also starts earlier."""
+    a = np.frombuffer(data, np.uint8)
+    ranks = suffix_ranks(a)
+    order = np.argsort(ranks[-1], kind="stable")
+    out = np.zeros(len(a), np.int64)
+    if len(a):
+        lcp = np.append(0, common_prefixes(ranks, order[1:], order[:-1], len(a)))
+        out[order] = factors(order, lcp)
     return out
 
 
 def _stretches(data: np.ndarray, starts: np.ndarray, ends: np.ndarray):
-    """(start, windows, name, content hash) of the stretches of texts laid end to end."""
+    """(start, windows, name, digest) of the stretches of texts laid end to end."""
     n = len(data)
     if n < LENGTH:
-        return (np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.uint64),) * 2
+        return (np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.uint64), np.zeros(0, DIGEST))
     spans, grams = SpanHash(data), n - GRAM + 1
     at = np.arange(grams)
     value = (spans.spans(at, at + GRAM) & ~_PLACE) | at.astype(np.uint64)
@@ -123,7 +144,9 @@ def _stretches(data: np.ndarray, starts: np.ndarray, ends: np.ndarray):
     new[1:] &= (place[1:] != place[:-1]) | ~inside[:-1]
     first = np.flatnonzero(new)
     stop = np.flatnonzero(inside & np.append(~inside[1:] | new[1:], True)) + 1
-    return first, stop - first, value[place[first]] & ~_PLACE, spans.spans(first, stop - 1 + LENGTH)
+    raw, digest = data.tobytes(), hashlib.blake2b
+    same = b"".join([digest(raw[a:b], digest_size=16).digest() for a, b in zip(first.tolist(), (stop - 1 + LENGTH).tolist(), strict=True)])
+    return first, stop - first, value[place[first]] & ~_PLACE, np.frombuffer(same, DIGEST)
 
 
 def _pack(**arrays: np.ndarray) -> bytes:
@@ -208,15 +231,18 @@ def _name_stretches(parts: int):
                 out.append((np.array(owner[cut:stop])[piece], first - starts[piece] + np.array(offset[cut:stop])[piece], n, name, same))
                 cut = stop
             doc, start, n, name, same = (np.concatenate(x) for x in zip(*out, strict=True))
-            part = ((name >> np.uint64(24)) % np.uint64(parts)).astype(np.int64)
-            order = np.argsort(part, kind="stable")
+            again = _repeats(keys["doc"][doc], start, same)[1]
+            # What is first here goes to its name's part, what repeats here is done, and travels by its text.
+            part = np.where(again, keys["k0"][doc] % np.uint64(parts), (name >> np.uint64(24)) % np.uint64(parts)).astype(np.int64)
+            order = np.lexsort((again, part))
             edges = np.searchsorted(part[order], np.arange(parts + 1))
             ids, blobs = [], []
             for p in np.flatnonzero(edges[1:] > edges[:-1]):
                 o = order[edges[p] : edges[p + 1]]
+                first = o[~again[o]]
                 used, doc_at = np.unique(doc[o], return_inverse=True)
                 ids.append(int(p))
-                blobs.append(_pack(keys=keys[used].view("<u8"), doc=doc_at.astype("<u4"), start=start[o].astype("<u4"), n=n[o].astype("<u1"), name=(name[o] >> np.uint64(32)).astype("<u4"), same=same[o]))
+                blobs.append(_pack(keys=keys[used].view("<u8"), doc=doc_at.astype("<u4"), start=start[o].astype("<u4"), n=n[o].astype("<u1"), name=(name[first] >> np.uint64(32)).astype("<u4"), same=same[first].view("<u8")))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(blobs, pa.binary())], ["part", "blob"])
 
     return run
@@ -241,28 +267,50 @@ def _by_text(keys: np.ndarray, ask: np.ndarray, part: int, **arrays):
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.binary(), pa.int32(), pa.bool_(), pa.binary()))], ["key", "part", "ask", "data"])
 
 
+def _repeats(doc: np.ndarray, start: np.ndarray, same: np.ndarray, *names: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Order by (names, digest, document, start); which entries repeat an earlier equal one; which are first of an equal run.
+
+    Not earlier: the same place of the same id (rows that repeat an id with another text). The
+    order's marks are given in the entries' own order.
+    """
+    order = np.lexsort((start, doc, same["s1"], same["s0"], *names))
+    head = np.ones(len(order), bool)
+    head[1:] = same[order][1:] != same[order][:-1]
+    first = order[np.flatnonzero(head)[np.cumsum(head) - 1]]
+    again, heads = np.zeros(len(order), bool), np.zeros(len(order), bool)
+    again[order] = ~head & ((doc[order] != doc[first]) | (start[order] != start[first]))
+    heads[order] = head
+    return order, again, heads
+
+
 def _first_stretches(batches):
     """Blobs to FOUND: repeated stretches (ask false), and first ones whose name has others (ask true)."""
-    by_part: dict[int, list[dict]] = {}
+    by_part: dict[int, list[bytes]] = {}
     for b in batches:
         for p, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            by_part.setdefault(p, []).append(_unpack(blob))
+            by_part.setdefault(p, []).append(blob)
     for p in sorted(by_part):
-        got = by_part.pop(p)
-        keys = np.concatenate([g["keys"].view(KEY)[g["doc"]] for g in got])
-        start, n, name, same = (np.concatenate([g[x] for g in got]) for x in ("start", "n", "name", "same"))
-        order = np.lexsort((start, keys["doc"], same, name))
-        keys, start, n, name, same = keys[order], start[order], n[order], name[order], same[order]
-        head = np.ones(len(order), bool)
-        head[1:] = (same[1:] != same[:-1]) | (name[1:] != name[:-1])
-        first = np.flatnonzero(head)[np.cumsum(head) - 1]
-        # Not earlier: the same place of the same id (rows that repeat an id with another text).
-        repeat = ~head & ((keys["doc"] != keys["doc"][first]) | (start != start[first]))
+        got = [_unpack(x) for x in by_part.pop(p)]
+        fresh = [len(g["name"]) for g in got]  # those that are first in their chunk stand before its repeats
+        keys, done = [], []
+        for g, k in zip(got, fresh, strict=True):
+            own = g["keys"].view(KEY)[g["doc"]]
+            keys.append(own[:k])
+            done.append(own[k:])
+        rest = np.concatenate(done)
+        out = _by_text(rest, np.zeros(len(rest), bool), p, start=np.concatenate([g["start"][k:] for g, k in zip(got, fresh, strict=True)]), n=np.concatenate([g["n"][k:] for g, k in zip(got, fresh, strict=True)]), name=np.zeros(len(rest), "<u4"))
+        if out is not None:
+            yield out
+        keys = np.concatenate(keys)
+        start, n = (np.concatenate([g[x][:k] for g, k in zip(got, fresh, strict=True)]) for x in ("start", "n"))
+        name, same = np.concatenate([g["name"] for g in got]), np.concatenate([g["same"].view(DIGEST) for g in got])
+        del got
+        order, repeat, head = _repeats(keys["doc"], start, same, name)
         group = np.ones(len(order), bool)
-        group[1:] = name[1:] != name[:-1]
-        which = np.cumsum(group) - 1
-        several = np.bincount(which, head)[which] > 1
-        ask = head & several
+        group[1:] = name[order][1:] != name[order][:-1]
+        which = np.empty(len(order), np.int64)
+        which[order] = np.cumsum(group) - 1
+        ask = head & (np.bincount(which, head)[which] > 1) if len(order) else head
         take = repeat | ask
         out = _by_text(keys[take], ask[take], p, start=start[take], n=n[take], name=name[take])
         if out is not None:
@@ -296,22 +344,6 @@ def _fetch(batches):
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(blobs, pa.binary())], ["part", "blob"])
 
 
-def window_ranks(data: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Ranks, in suffix order to the depth LENGTH, of the windows that start at the places."""
-    padded = np.concatenate([data, np.zeros(LENGTH + 8, np.uint8)])
-    n = len(data) + LENGTH
-    word = np.zeros(n, np.uint64)
-    for k in range(8):
-        word = word << np.uint64(8) | padded[k : k + n].astype(np.uint64)
-    rank, depth = np.unique(word, return_inverse=True)[1].astype(np.int64), 8
-    while depth * 2 <= LENGTH:
-        after = np.zeros(n, np.int64)
-        after[: n - depth] = rank[depth:]
-        rank = np.unique(rank * n + after, return_inverse=True)[1]
-        depth *= 2
-    return rank[at] * n + rank[at + LENGTH - depth]
-
-
 def repeated_windows(stretches: list[bytes], doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(stretch, window start in its text) of windows with LPF >= LENGTH; order is by (doc, start)."""
     sizes = np.array([len(s) for s in stretches])
@@ -319,14 +351,20 @@ def repeated_windows(stretches: list[bytes], doc: np.ndarray, start: np.ndarray)
     ends = np.cumsum(sizes)
     which = np.repeat(np.arange(len(n)), n)
     inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    rank = window_ranks(np.frombuffer(b"".join(stretches), np.uint8), (ends - sizes)[which] + inside)
     where, who = start[which].astype(np.int64) + inside, doc[which]
-    order = np.lexsort((where, who, rank))  # suffix order; equal ranks have their smaller positions before
-    head = np.ones(len(order), bool)
-    head[1:] = rank[order][1:] != rank[order][:-1]
-    first = order[np.flatnonzero(head)[np.cumsum(head) - 1]]
-    again = order[(who[order] != who[first]) | (where[order] != where[first])]
-    again.sort()
+    text = (ends - sizes)[which] + inside  # places in the stretches laid end to end
+    ranks = suffix_ranks(np.frombuffer(b"".join(stretches), np.uint8), (LENGTH + 1) // 2, UNIT)
+    step = UNIT << (len(ranks) - 1)  # half of LENGTH at least, and under it
+    # Suffix order to the depth LENGTH: by the first bytes, then by the last ones, which overlap them.
+    order = np.lexsort((ranks[-1][text + LENGTH - step], ranks[-1][text]))
+    lcp = np.append(0, common_prefixes(ranks, text[order][1:], text[order][:-1], LENGTH, UNIT))
+    # Equal windows at one place of one id (rows that repeat an id with another text) have one place.
+    by_place = np.lexsort((where, who))
+    new = np.ones(len(by_place), bool)
+    new[1:] = (who[by_place][1:] != who[by_place][:-1]) | (where[by_place][1:] != where[by_place][:-1])
+    place = np.empty(len(by_place), np.int64)
+    place[by_place] = np.cumsum(new)
+    again = np.sort(order[factors(place[order], lcp) >= LENGTH])
     return which[again], where[again]
 
 
