@@ -8,7 +8,7 @@ for JSON strings of mixed layouts.
 
 Defined cases: a null role or text is empty; null turn numbers come last; equal turn numbers
 are ordered by role, then text; repeated rows stay as repeated turns; a null conversation id
-is a conversation of its own; other columns are ignored; unknown layouts raise (columns) or
+is a conversation of its own; other columns are ignored; unknown or mixed layouts raise (columns) or
 give null turns and the layout ``unmapped`` (JSON rows); empty tables give empty results.
 A conversation is one output row, so its turns do meet in one task: its text is the result.
 """
@@ -65,9 +65,19 @@ def _asked(ask: str, answer: str, more: str | None = None) -> Callable:
     return mapping
 
 
-#: Layout: (its paths, its mapping). Rows by turn are grouped, so they have no mapping here.
+def _numbered(turn: str, role: str, text: str) -> Callable:
+    """A row's one turn behind its number: rows are grouped by their conversation, then put in order."""
+
+    def mapping(get):
+        n, said = get(turn, "long"), [F.coalesce(get(x, "string").cast("string"), F.lit("")).alias(y) for x, y in ((role, "role"), (text, "text"))]
+        return F.struct(n.isNull().alias("last"), n.alias("turn"), *said)
+
+    return mapping
+
+
+#: Layout: (its paths, its mapping to turns, or of GROUPED layouts to one turn of a row).
 LAYOUTS = {
-    "rows": (("conv_id", "turn", "role", "text"), None),
+    "rows": (("conv_id", "turn", "role", "text"), _numbered("turn", "role", "text")),
     "messages": (("messages[].role", "messages[].content"), _listed("messages", "role", "content")),
     "shared": (("conversations[].from", "conversations[].value"), _listed("conversations", "from", "value")),
     "completion": (("prompt", "completion"), _asked("prompt", "completion")),
@@ -75,33 +85,36 @@ LAYOUTS = {
     "instruction": (("instruction", "output"), _asked("instruction", "output")),
     "instruction_input": (("instruction", "input", "output"), _asked("instruction", "output", "input")),
 }
+GROUPED = frozenset({"rows"})
+#: Paths that number conversations and turns, and may stand beside any layout.
+NUMBERS = frozenset({"conv_id", "turn"})
 KNOWN = frozenset(p for paths, _ in LAYOUTS.values() for p in paths)
 BY_FINGERPRINT = {fingerprint(paths): name for name, (paths, _) in LAYOUTS.items()}
 
 
 def layout_of(schema: T.StructType) -> str:
-    """The layout that a schema's fingerprint names; paths outside all layouts don't count."""
+    """The layout that a schema's fingerprint names; paths outside all layouts don't count.
+
+    Rows by turn may have any other columns. Another schema that also has paths of a second layout
+    raises, as their text would be lost.
+    """
     paths = KNOWN.intersection(field_paths(schema))
-    if found := BY_FINGERPRINT.get(fingerprint(paths)):
-        return found
-    inside = [(len(need), name) for name, (need, _) in LAYOUTS.items() if paths.issuperset(need)]
-    if not inside:
-        raise ValueError(f"no chat layout has the paths {sorted(field_paths(schema))}")
-    return max(inside)[1]
+    if paths.issuperset(LAYOUTS["rows"][0]):
+        return "rows"
+    for extra in (frozenset(), NUMBERS):
+        if found := BY_FINGERPRINT.get(fingerprint(paths - extra)):
+            return found
+    raise ValueError(f"no single chat layout has the paths {sorted(field_paths(schema))}")
 
 
 def canonical_turns(df: DataFrame, key: str = "conv_id") -> DataFrame:
     """(key, turns): the rows of any known layout as canonical turns."""
     name = layout_of(df.schema)
-    if name == "rows":
-        row = F.struct(
-            F.col("turn").isNull().alias("last"), F.col("turn").alias("turn"),
-            F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"),
-            F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
-        )
-        rows = df.select(F.col(key), row.alias("__row")).groupBy(key).agg(F.array_sort(F.collect_list("__row")).alias("__rows"))
-        return rows.select(key, F.transform("__rows", lambda r: F.struct(r["role"].alias("role"), r["text"].alias("text"))).alias("turns"))
-    return df.select(key, _filled(LAYOUTS[name][1](lambda field, kind: F.col(field))).alias("turns"))
+    made = LAYOUTS[name][1](lambda field, kind: F.col(field))
+    if name not in GROUPED:
+        return df.select(key, _filled(made).alias("turns"))
+    rows = df.select(F.col(key), made.alias("__row")).groupBy(key).agg(F.array_sort(F.collect_list("__row")).alias("__rows"))
+    return rows.select(key, F.transform("__rows", lambda r: F.struct(r["role"].alias("role"), r["text"].alias("text"))).alias("turns"))
 
 
 def _filled(turns: Column) -> Column:
@@ -147,7 +160,7 @@ def canonical_json(df: DataFrame, json_col: str, key: str) -> DataFrame:
     get = lambda field, kind: F.try_variant_get(F.col("__v"), f"$.{field}", kind)
     turns = F.lit(None).cast(TURNS)
     for name, (_, mapping) in LAYOUTS.items():
-        if mapping:
+        if name not in GROUPED:
             turns = F.when(F.col("layout") == name, _filled(mapping(get))).otherwise(turns)
     return out.select(key, "layout", turns.alias("turns"))
 
