@@ -102,7 +102,7 @@ SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id
 
 
 def _license_sql() -> str:
-    rows = ", ".join(f"('{label}', {list(dict.fromkeys(w.decode() for w in license.words_of(text)))})" for label, text in license.TEMPLATES.items())
+    rows = ", ".join(f"('{label}', {list(dict.fromkeys(w.decode() for w in license.words_of(text)))}, {len(license.words_of(text))})" for label, text in license.TEMPLATES.items())
     places = " UNION ALL ".join(
         f"SELECT doc_id, i - 1 AS i, '{label}' AS label FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM w WHERE list_contains(w, '{phrase.split()[0]}')) WHERE w[i:i + {len(phrase.split()) - 1}] = {phrase.split()}"
         for phrase, label in license.PHRASES.items()
@@ -110,12 +110,14 @@ def _license_sql() -> str:
     words = "regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
     return f"""
 WITH w AS (SELECT doc_id, {words.format("coalesce(text, '')")} AS w FROM documents),
-lines AS (SELECT doc_id, {words.format("line")} AS w FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents)),
-t(label, words) AS (VALUES {rows}),
+t(label, words, n) AS (VALUES {rows}),
+near AS (SELECT doc_id, w, label, words, n FROM w, t WHERE len(list_intersect(w, words)) >= ceil({license.THRESHOLD} * len(words) - 1e-9)),
 places AS ({places}),
 base AS (SELECT doc_id, count(*) AS n, min(i) AS a, max(i) AS b, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM places GROUP BY doc_id),
 found AS (
-  SELECT doc_id, label, max(k / m) AS score FROM (SELECT doc_id, label, len(list_intersect(w, words)) AS k, len(words) AS m FROM lines, t WHERE list_has_any(w, words))
+  SELECT doc_id, label, max(k / m) AS score FROM (
+    SELECT doc_id, label, len(list_intersect(w[i:i + n - 1], words)) AS k, len(words) AS m
+    FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM near) WHERE list_contains(words, w[i]))
   WHERE k >= ceil({license.THRESHOLD} * m - 1e-9) GROUP BY doc_id, label),
 every AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT doc_id, label FROM places UNION ALL SELECT doc_id, label FROM found) GROUP BY doc_id),
 best AS (SELECT doc_id, max(score) AS score FROM found GROUP BY doc_id)
