@@ -6,12 +6,14 @@ spark-submit stratagraph/cli.py --dataset SWISSROLL --sampling HUBS --connection
 from __future__ import annotations
 
 import argparse
+import inspect
 from dataclasses import asdict
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from stratagraph.functions.features import add_noise
+from stratagraph.functions.session import checkpoint
 from stratagraph.operators.connecting import CONNECTORS, Connecting
 from stratagraph.operators.hierarchy import build, embed
 from stratagraph.operators.sampling import SAMPLERS, Sampling
@@ -22,15 +24,15 @@ SPARSE_FROM, SPARSE_THRESHOLD = 20_000, 1e-4
 
 def options() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(description=__doc__)
-    p.add_argument("--dataset", default="SWISSROLL", choices=sorted(DATASETS))
+    p.add_argument("--dataset", default="SWISSROLL", choices=sorted(set(DATASETS) - {"GAUSSIANS"}))
     p.add_argument("--sampling", default="RANDOM", choices=sorted(SAMPLERS))
-    p.add_argument("--connection", default="EXACT", choices=sorted(CONNECTORS))
+    p.add_argument("--connection", default="CON", choices=sorted(CONNECTORS))
     p.add_argument("--seed", type=int, default=42)
-    p.add_argument("--output", required=True)
+    p.add_argument("--output", default=".")
     p.add_argument("--noise", type=float, default=0.0)
     p.add_argument("--reduction", type=float, default=0.2)
-    p.add_argument("--directed", action=argparse.BooleanOptionalAction, default=True)
-    p.add_argument("--weighted", action=argparse.BooleanOptionalAction, default=False)
+    p.add_argument("--directed", action=argparse.BooleanOptionalAction, default=False)
+    p.add_argument("--weighted", action=argparse.BooleanOptionalAction, default=True)
     p.add_argument("--directory", default=None)
     p.add_argument("--k", type=int, default=10)
     p.add_argument("--level", type=int, default=1, choices=(1, 2, 3))
@@ -41,12 +43,13 @@ def options() -> argparse.ArgumentParser:
 def run(spark: SparkSession, argv: list[str]) -> None:
     """Levels, their embeddings and the run's configuration, under the output folder."""
     a = options().parse_args(argv)
-    points = load_dataset(spark, a.dataset, **({"directory": a.directory} if a.directory else {}))
-    points = add_noise(points.select("node", "features"), a.noise, a.seed, a.dataset)
+    needs = "directory" in inspect.signature(DATASETS[a.dataset]).parameters
+    points = load_dataset(spark, a.dataset, **({"directory": a.directory or "."} if needs else {}))
+    points = checkpoint(add_noise(points.select("node", "features"), a.noise, a.seed, a.dataset))
     threshold = SPARSE_THRESHOLD if a.connection == "EXACT" and points.count() > SPARSE_FROM else 0.0
     sampling = Sampling(a.sampling, a.reduction, a.seed, a.k)
     connecting = Connecting(a.connection, a.k, seed=a.seed, threshold_i=threshold, threshold_t=threshold)
-    levels = build(points, sampling, connecting, a.level, a.k, a.directed)
+    levels = build(points, sampling, connecting, a.level, a.k, a.directed, a.weighted)
     save_levels(levels, a.output)
     for x in levels:
         embed(x, points, a.random_init, a.seed).drop("level").write.mode("overwrite").parquet(f"{a.output}/embedding/level={x.level}")

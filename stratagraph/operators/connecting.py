@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import key, uniform
 from ..functions.session import checkpoint
-from .graph import drop_loops, gram, normalise, sparsify, strong_components, walk_table
+from .graph import drop_loops, gram, normalise, sparsify, strong_components, walk_table, weak_components
 
 CONNECTORS: dict[str, Callable] = {}
 MAX_STEPS = 1000
@@ -38,6 +38,10 @@ class Connecting:
     threshold_t: float = 0.0
     tolerance: float = 1e-9
     max_steps: int = MAX_STEPS
+    solver: str = "best"  # of EXACT: "direct", "iterative", or direct up to MOST_DIRECT states
+    use_gambler: bool = True  # of EXACT: gambler's ruin, or the linear system of the unknown rows; they agree
+    max_nodes: int | None = None  # of the BFS connectors: nodes that a search takes from its queue at most
+    weight_order: str = "asc"  # of CON: of the edges that claim a node, the lightest wins, or "desc"
 
     def with_(self, **changes) -> Connecting:
         return replace(self, **changes)
@@ -54,6 +58,7 @@ class Coarse:
     landmarks: DataFrame
     influence: DataFrame | None = None
     weights: DataFrame | None = None
+    adjacency: DataFrame | None = None  # counts before scaling, where the connector counts edges
 
 
 def connector(name: str):
@@ -69,17 +74,26 @@ def connector(name: str):
 # Breadth-first search.
 
 
-def hops(edges: DataFrame, starts: DataFrame, landmarks: DataFrame, k: int, max_hops: int = MAX_STEPS) -> DataFrame:
+def hops(edges: DataFrame, starts: DataFrame, landmarks: DataFrame, k: int, max_hops: int = MAX_STEPS, max_nodes: int | None = None) -> DataFrame:
     """(state, lm, h): each start's k hop-nearest landmarks other than itself, ties to the smaller one.
 
-    All starts search together; a start stops once it has k, or nothing new is reached.
+    All starts search together; a start stops once it has k, or nothing new is reached, or with
+    max_nodes once it has taken so many nodes from its queue, its own first, nearer and then
+    smaller ones before others.
     """
     out_edges = drop_loops(edges).select("src", "dst").distinct()
     seen = front = starts.select(F.col("node").alias("state"), "node")
     found = None
+    if max_nodes is not None and max_nodes <= 1:
+        return starts.select(F.col("node").alias("state"), F.col("node").alias("lm"), F.lit(0).alias("h")).limit(0)
     for h in range(1, max_hops + 1):
         front = front.join(out_edges, front["node"] == out_edges["src"]).select("state", F.col("dst").alias("node")).distinct()
-        front = checkpoint(front.join(seen, ["state", "node"], "left_anti"))
+        front = front.join(seen, ["state", "node"], "left_anti")
+        if max_nodes is not None:
+            place = F.row_number().over(Window.partitionBy("state").orderBy("node"))
+            count = seen.groupBy("state").agg(F.count("*").alias("__had"))
+            front = front.withColumn("__place", place).join(count, "state").where(F.col("__had") + F.col("__place") <= max_nodes).select("state", "node")
+        front = checkpoint(front)
         hit = front.join(landmarks, "node", "left_semi").select("state", F.col("node").alias("lm"), F.lit(h).alias("h"))
         found = checkpoint(hit if found is None else found.unionByName(hit))
         enough = found.groupBy("state").agg(F.count("*").alias("n")).where(F.col("n") >= k)
@@ -91,13 +105,15 @@ def hops(edges: DataFrame, starts: DataFrame, landmarks: DataFrame, k: int, max_
     return found.withColumn("r", rank).where(F.col("r") <= k).drop("r")
 
 
-def _influence_to_coarse(c: Connecting, influence: DataFrame, landmarks: DataFrame, weights: DataFrame | None) -> Coarse:
-    """T = norm(I' diag(W) I); landmarks that nothing leads to are dropped everywhere."""
+def _influence_to_coarse(c: Connecting, influence: DataFrame, landmarks: DataFrame, weights: DataFrame | None, prune: bool = True) -> Coarse:
+    """T = norm(I' diag(W) I); with ``prune`` landmarks that nothing leads to are dropped everywhere."""
     influence = checkpoint(influence)
     t = normalise(gram(influence, weights))
     if c.threshold_t > 0:
         t = normalise(sparsify(t, c.threshold_t))
     t = checkpoint(t)
+    if not prune:
+        return Coarse(t, landmarks, influence, next_weights(influence, weights))
     alive = t.select(F.col("src").alias("node")).distinct()
     kept = influence.join(alive, influence["lm"] == alive["node"], "left_semi")
     return Coarse(t, landmarks.join(alive, "node", "left_semi"), kept, next_weights(kept, weights))
@@ -109,21 +125,21 @@ def next_weights(influence: DataFrame, weights: DataFrame | None) -> DataFrame:
     return w.groupBy(F.col("lm").alias("state")).agg(F.sum("p").alias("w"))
 
 
-def hop_influence(edges: DataFrame, nodes: DataFrame, landmarks: DataFrame, k: int) -> DataFrame:
+def hop_influence(edges: DataFrame, nodes: DataFrame, landmarks: DataFrame, k: int, max_nodes: int | None = None) -> DataFrame:
     """(state, lm, p): equal shares of each state's k nearest landmarks."""
-    near = hops(edges, nodes, landmarks, k)
+    near = checkpoint(hops(edges, nodes, landmarks, k, max_nodes=max_nodes))
     n = near.groupBy("state").agg(F.count("*").alias("n"))
     return near.join(n, "state").select("state", "lm", (F.lit(1.0) / F.col("n")).alias("p"))
 
 
 @connector("SL-BFS")
 def state_bfs(c: Connecting, graph: DataFrame, landmarks: DataFrame, weights: DataFrame | None) -> Coarse:
-    return _influence_to_coarse(c, hop_influence(graph, nodes_of(graph), landmarks, c.k), landmarks, weights)
+    return _influence_to_coarse(c, hop_influence(graph, nodes_of(graph), landmarks, c.k, c.max_nodes), landmarks, weights)
 
 
 @connector("LL-BFS")
 def landmark_bfs(c: Connecting, graph: DataFrame, landmarks: DataFrame, weights: DataFrame | None) -> Coarse:
-    near = checkpoint(hops(graph, landmarks, landmarks, c.k))
+    near = checkpoint(hops(graph, landmarks, landmarks, c.k, max_nodes=c.max_nodes))
     if c.use_distances:
         far = near.agg(F.max("h")).first()[0] or 0
         w = (F.lit(far + 1) - F.col("h")).cast("double")
@@ -158,32 +174,37 @@ def walks(table: DataFrame, starts: DataFrame, n_walks: int, stops: DataFrame, s
     """(state, walk, node, steps) of walks that reach a stop; each takes a step at least.
 
     starts: (node[, own]); stops: (node[, own]). With ``own``, a walk stops where own differs from
-    its start's. All walks step together by a range lookup in the walk table; a walk that meets a
-    dead end or takes more than max_steps is dropped.
+    its start's. All walks step together by a range lookup in the walk table, ``cut`` steps a job;
+    a walk that meets a dead end or takes more than max_steps is dropped.
     """
     by_cluster = "own" in starts.columns
-    on = starts.select(F.col("node").alias("state"), "node", *(["own"] if by_cluster else []), F.explode(F.sequence(F.lit(0), F.lit(n_walks - 1))).alias("walk"))
+    own = ["own"] if by_cluster else []
     ends = stops.select(F.col("node").alias("__n"), *([F.col("own").alias("__own")] if by_cluster else [F.lit(True).alias("__own")]))
-    done = None
     table, wide = _stretched(table)
-    for step in range(1, max_steps + 1):
-        drawn = on.withColumn("u", uniform(seed, F.col("state"), F.col("walk"), F.lit(step)))
-        same = F.col("node") == F.col("src")
-        if wide is not None:
-            drawn = drawn.join(wide, F.col("node") == F.col("__s"), "left").withColumn("__at", F.floor(F.col("u") * F.coalesce("__parts", F.lit(1))))
-            same &= F.col("__at") == F.col("stretch")
-        moved = drawn.join(table, same & (F.col("u") >= F.col("lo")) & (F.col("u") < F.col("hi")))
-        moved = moved.select("state", "walk", F.col("dst").alias("node"), *(["own"] if by_cluster else []))
-        at = moved.join(ends, moved["node"] == ends["__n"], "left")
-        if by_cluster:
-            stop = F.col("__own").isNotNull() & (F.col("__own") != F.col("own"))
-        else:
-            stop = F.col("__own").isNotNull() & (F.lit(allow_start) | (F.col("node") != F.col("state")))
-        at = checkpoint(at.withColumn("__stop", stop).drop("__n", "__own"))
-        over = at.where("__stop").select("state", "walk", "node", F.lit(step).alias("steps"))
+    table = table.withColumnsRenamed({"src": "__src", "dst": "__dst"})
+    on = starts.select(F.col("node").alias("state"), "node", *own, F.explode(F.sequence(F.lit(0), F.lit(n_walks - 1))).alias("walk"))
+    done = None
+    for first in range(1, max_steps + 1, cut):
+        now = on.withColumn("steps", F.lit(None).cast("int"))  # null while a walk goes on
+        for step in range(first, min(first + cut, max_steps + 1)):
+            goes = F.col("steps").isNull()
+            now = now.withColumn("__u", F.when(goes, uniform(seed, F.col("state"), F.col("walk"), F.lit(step))))
+            meets = (F.col("node") == F.col("__src")) & (F.col("__u") >= F.col("lo")) & (F.col("__u") < F.col("hi"))
+            if wide is not None:
+                now = now.join(wide, F.col("node") == F.col("__s"), "left").withColumn("__at", F.floor(F.col("__u") * F.coalesce("__parts", F.lit(1)))).drop("__s", "__parts")
+                meets &= F.col("__at") == F.col("stretch")
+            now = now.join(table, meets, "left").where(~goes | F.col("__dst").isNotNull()).withColumn("node", F.when(goes, F.col("__dst")).otherwise(F.col("node")))
+            now = now.join(ends, goes & (F.col("node") == F.col("__n")), "left")
+            if by_cluster:
+                stop = F.col("__own").isNotNull() & (F.col("__own") != F.col("own"))
+            else:
+                stop = F.col("__own").isNotNull() & (F.lit(allow_start) | (F.col("node") != F.col("state")))
+            now = now.select("state", "walk", "node", *own, F.when(goes & stop, F.lit(step)).otherwise(F.col("steps")).alias("steps"))
+        now = checkpoint(now)
+        over = now.where(F.col("steps").isNotNull()).select("state", "walk", "node", "steps")
         done = over if done is None else done.unionByName(over)
-        on = at.where(~F.col("__stop")).drop("__stop")
-        if step % cut == 0:
+        on = now.where(F.col("steps").isNull()).drop("steps")
+        if (first // cut) % cut == cut - 1:
             done = checkpoint(done)
         if not on.limit(1).count():
             break
@@ -211,34 +232,82 @@ def state_walks(c: Connecting, graph: DataFrame, landmarks: DataFrame, weights:
 # Absorption.
 
 
-def absorption(transition: DataFrame, landmarks: DataFrame, steps: int = MAX_STEPS, tolerance: float = 1e-9, cut: int = 5) -> DataFrame:
-    """(state, lm, p): where walks are absorbed, by X <- T_UU X + T_UL; landmarks absorb themselves.
+#: States of a system that one task solves; their matrix is square.
+MOST_DIRECT = 3000
 
-    Both the absorption reading and the linear system of the unknown rows have this fixed point.
+
+def absorption(transition: DataFrame, landmarks: DataFrame, steps: int = MAX_STEPS, tolerance: float = 1e-9, cut: int = 5, solver: str = "best") -> DataFrame:
+    """(state, lm, p): where walks are absorbed; landmarks absorb themselves.
+
+    Gambler's ruin reads the rows as absorption, the linear system of the unknown rows gives the
+    same ones. Up to MOST_DIRECT states that reach a landmark one task solves (I - T_UU) X = T_UL.
+    Beyond, X <- T_UU X + T_UL is iterated until in no state more than ``tolerance`` of the walks
+    is still under way, which bounds the error of every entry; after ``steps`` rounds without
+    that it raises. States that reach no landmark have no row.
     """
+    if solver not in ("best", "direct", "iterative"):
+        raise ValueError("solver is best, direct or iterative")
     t = checkpoint(transition.join(landmarks.select(F.col("node").alias("src")), "src", "left_anti"))
     own = landmarks.select(F.col("node").alias("state"), F.col("node").alias("lm"), F.lit(1.0).alias("p"))
-    into = t.join(landmarks.select(F.col("node").alias("dst")), "dst", "left_semi").select(F.col("src").alias("state"), F.col("dst").alias("lm"), F.col("w").alias("p"))
-    inner = checkpoint(t.join(landmarks.select(F.col("node").alias("dst")), "dst", "left_anti"))
-    x, before = into, 0.0
+    into = t.join(landmarks.select(F.col("node").alias("dst")), "dst", "left_semi").select(F.col("src").alias("state"), F.col("dst").alias("lm"), F.col("w").alias("p")).where("p != 0")
+    inner = t.join(landmarks.select(F.col("node").alias("dst")), "dst", "left_anti").where("w != 0")
+    reach = checkpoint(_reaching(inner, into.select(F.col("state").alias("node")).distinct()))
+    inner = inner.join(reach.select(F.col("node").alias("src")), "src", "left_semi").join(reach.select(F.col("node").alias("dst")), "dst", "left_semi")
+    inner, into = checkpoint(inner.select("src", "dst", "w")), checkpoint(into)
+    states = reach.count()
+    if solver == "direct" and states > MOST_DIRECT:
+        raise ValueError(f"{states} states: a direct solution takes {MOST_DIRECT} at most")
+    if solver == "direct" or (solver == "best" and states <= MOST_DIRECT):
+        return _solved(inner, into).unionByName(own)
+    x, going = into, reach.select("node", F.lit(1.0).alias("u"))
     for step in range(1, steps):
         spread = inner.join(x, inner["dst"] == x["state"]).select(F.col("src").alias("state"), "lm", (F.col("w") * F.col("p")).alias("p"))
         x = spread.unionByName(into).groupBy("state", "lm").agg(F.sum("p").alias("p"))
+        going = inner.join(going, inner["dst"] == going["node"]).groupBy(F.col("src").alias("node")).agg(F.sum(F.col("w") * F.col("u")).alias("u"))
         if step % cut == 0:
-            x = checkpoint(x)
-            mass = x.agg(F.sum("p")).first()[0] or 0.0  # absorbed so far: it only rises
-            if mass - before <= tolerance * max(mass, 1.0):
-                break
-            before = mass
-    return x.unionByName(own)
+            x, going = checkpoint(x), checkpoint(going)
+            if (going.agg(F.max("u")).first()[0] or 0.0) <= tolerance:
+                return x.unionByName(own)
+    if (going.agg(F.max("u")).first()[0] or 0.0) <= tolerance:
+        return x.unionByName(own)
+    raise RuntimeError(f"absorption has not converged to {tolerance} in {steps} rounds")
+
+
+def _reaching(edges: DataFrame, ends: DataFrame) -> DataFrame:
+    """(node) of the ends and of all that leads to them."""
+    done = front = checkpoint(ends)
+    back = checkpoint(edges.select("src", "dst").distinct())
+    while True:
+        front = back.join(front.select(F.col("node").alias("dst")), "dst").select(F.col("src").alias("node")).distinct()
+        front = checkpoint(front.join(done, "node", "left_anti"))
+        if not front.limit(1).count():
+            return done
+        done = checkpoint(done.unionByName(front))
+
+
+def _solved(inner: DataFrame, into: DataFrame) -> DataFrame:
+    """(state, lm, p) of (I - T_UU) X = T_UL, where every state reaches a landmark; in one task, on a checked size."""
+
+    def run(a: pa.Table, b: pa.Table) -> pa.Table:
+        ids = np.unique(np.concatenate([a["src"].to_numpy(), a["dst"].to_numpy(), b["state"].to_numpy()]))
+        marks, to = np.unique(b["lm"].to_numpy(), return_inverse=True)
+        m, right = np.eye(len(ids)), np.zeros((len(ids), len(marks)))
+        np.subtract.at(m, (np.searchsorted(ids, a["src"].to_numpy()), np.searchsorted(ids, a["dst"].to_numpy())), a["w"].to_numpy())
+        np.add.at(right, (np.searchsorted(ids, b["state"].to_numpy()), to), b["p"].to_numpy())
+        x = np.linalg.solve(m, right) if len(ids) else right
+        i, j = np.nonzero(x > 0)
+        return pa.table({"state": pa.array(ids[i], pa.int64()), "lm": pa.array(marks[j], pa.int64()), "p": pa.array(x[i, j], pa.float64())})
+
+    one = F.lit(0).alias("g")
+    return inner.select("src", "dst", "w", one).groupBy("g").cogroup(into.select("state", "lm", "p", one).groupBy("g")).applyInArrow(run, "state long, lm long, p double")
 
 
 @connector("EXACT")
 def exact(c: Connecting, graph: DataFrame, landmarks: DataFrame, weights: DataFrame | None) -> Coarse:
-    i = absorption(normalise(graph), landmarks, c.max_steps, c.tolerance)
+    i = absorption(normalise(graph), landmarks, c.max_steps, c.tolerance, solver=c.solver)
     if c.threshold_i > 0:
         i = i.where(F.col("p") >= c.threshold_i)
-    return _influence_to_coarse(c, i, landmarks, weights)
+    return _influence_to_coarse(c, i, landmarks, weights, prune=False)
 
 
 # Clusters.
@@ -254,22 +323,42 @@ def connectivity(edges: DataFrame, clusters: DataFrame, mode: str = "all") -> Da
     return pairs.groupBy("src", "dst").agg(F.count("*").cast("double").alias("w"))
 
 
-def grow_clusters(edges: DataFrame, seeds: DataFrame, seed: int) -> DataFrame:
-    """(node, cluster): clusters grow from seeds along edges, a hop a round; of several, the least key
-    of round and cluster wins. Nodes that no seed reaches stay out."""
-    near = drop_loops(edges).select("src", "dst").distinct()
-    done = front = seeds.select("node", F.col("node").alias("cluster"))
+def grow_clusters(edges: DataFrame, seeds: DataFrame, seed: int, mode: str = "all", order: str = "asc") -> DataFrame:
+    """(node, cluster): clusters grow from seeds along edges, in both directions or outward, a hop a round.
+
+    Of the edges that claim a node in a round the lightest wins (or the heaviest), of equal ones
+    the least key of round and cluster. Nodes that no seed reaches stay out.
+    """
+    near = drop_loops(edges).select("src", "dst", "w")
+    near = near.unionByName(near.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w")) if mode == "all" else near
+    best = F.min("w") if order == "asc" else F.max("w")
+    near = checkpoint(near.groupBy("src", "dst").agg((best if order == "asc" else -best).alias("w")))
+    done = front = seeds.select("node", F.col("node").alias("cluster")) if "cluster" not in seeds.columns else seeds.select("node", "cluster")
     step = 0
     while True:
         step += 1
-        claims = front.join(near, front["node"] == near["src"]).select(F.col("dst").alias("node"), "cluster").distinct()
-        claims = claims.join(done, "node", "left_anti").withColumn("h", key(seed, F.lit(step), F.col("cluster")))
-        front = checkpoint(claims.groupBy("node").agg(F.min_by("cluster", F.struct("h", "cluster")).alias("cluster")))
+        claims = near.join(front, near["src"] == front["node"]).select(F.col("dst").alias("node"), "cluster", "w")
+        claims = claims.join(done, "node", "left_anti").groupBy("node", "cluster").agg(F.min("w").alias("w")).withColumn("h", key(seed, F.lit(step), F.col("cluster")))
+        front = checkpoint(claims.groupBy("node").agg(F.min_by("cluster", F.struct("w", "h", "cluster")).alias("cluster")))
         if not front.limit(1).count():
             return done
         done = checkpoint(done.unionByName(front))
 
 
+def cover_clusters(edges: DataFrame, marks: DataFrame, seed: int) -> tuple[DataFrame, DataFrame]:
+    """(node, cluster) of all nodes, and the landmarks: clusters grow outward; what they don't reach is
+    reached in both directions, and each component that is left gets its least node as a landmark."""
+    own = grow_clusters(edges, marks, seed, mode="out")
+    every = nodes_of(edges)
+    if not every.join(own, "node", "left_anti").limit(1).count():
+        return own, marks
+    own = grow_clusters(edges, own, seed, mode="all")
+    left = checkpoint(every.join(own, "node", "left_anti"))
+    inside = edges.select("src", "dst", "w").join(left.select(F.col("node").alias("src")), "src", "left_semi")
+    parts = checkpoint(weak_components(inside.select("src", "dst"), left).select("node", F.col("component").alias("cluster")))
+    return checkpoint(own.unionByName(parts)), marks.unionByName(parts.select(F.col("cluster").alias("node")).distinct())
+
+
 def covered(edges: DataFrame, landmarks: DataFrame) -> DataFrame:
     """Landmarks, and the least node of each strong component without one."""
     every = nodes_of(edges).union(landmarks.select("node")).distinct()
@@ -282,13 +371,14 @@ def covered(edges: DataFrame, landmarks: DataFrame) -> DataFrame:
 @connector("CON")
 def cluster_connectivity(c: Connecting, graph: DataFrame, landmarks: DataFrame, weights: DataFrame | None) -> Coarse:
     marks = checkpoint(covered(graph, landmarks))
-    return Coarse(normalise(connectivity(graph, grow_clusters(graph, marks, c.seed))), marks)
+    counts = checkpoint(connectivity(graph, grow_clusters(graph, marks, c.seed, order=c.weight_order)))
+    return Coarse(normalise(counts), marks, adjacency=counts)
 
 
 @connector("CLUSTERRW")
 def cluster_walks(c: Connecting, graph: DataFrame, landmarks: DataFrame, weights: DataFrame | None) -> Coarse:
-    marks = checkpoint(covered(graph, landmarks))
-    own = grow_clusters(graph, marks, c.seed).withColumnRenamed("cluster", "own")
+    own, marks = cover_clusters(graph, checkpoint(landmarks.select("node")), c.seed)
+    own = own.withColumnRenamed("cluster", "own")
     found = walks(checkpoint(walk_table(graph)), own, c.n_walks, own, c.seed, c.max_steps)
     a = own.select(F.col("node").alias("state"), F.col("own").alias("src"))
     b = own.select("node", F.col("own").alias("dst"))
@@ -307,135 +397,3 @@ def pick_columns(c: DataFrame, rows: DataFrame, seed: int) -> DataFrame:
     if rows.join(full.select(F.col("src").alias("row")), "row", "left_anti").limit(1).count():
         raise ValueError("a row of the coarsening matrix is empty")
     return full.groupBy(F.col("src").alias("row")).agg(F.min_by("dst", F.struct(key(seed, F.col("src"), F.col("dst")), "dst")).alias("node"))
-
-
-# Community baselines: their merges depend on each other, so one task runs them, on a checked size.
-
-MOST_NODES = 5000
-
-
-def _local(edges: DataFrame, kernel: Callable[[np.ndarray, np.ndarray], np.ndarray], most: int = MOST_NODES) -> DataFrame:
-    """(node, cluster) by a kernel(ids, dense symmetric weights) -> labels."""
-    if (n := nodes_of(edges).count()) > most:
-        raise ValueError(f"{n} nodes: this baseline takes {most} at most")
-
-    def run(t: pa.Table) -> pa.Table:
-        ids, at = np.unique(np.concatenate([t["src"].to_numpy(), t["dst"].to_numpy()]), return_inverse=True)
-        a = np.zeros((len(ids), len(ids)))
-        half = len(at) // 2
-        np.maximum.at(a, (at[:half], at[half:]), t["w"].to_numpy())
-        a = np.maximum(a, a.T)
-        np.fill_diagonal(a, 0)
-        label = kernel(ids, a)
-        first = {c: ids[label == c].min() for c in np.unique(label)}
-        return pa.table({"node": pa.array(ids, pa.int64()), "cluster": pa.array([first[c] for c in label], pa.int64())})
-
-    return edges.select("src", "dst", "w", F.lit(0).alias("g")).groupBy("g").applyInArrow(run, "node long, cluster long")
-
-
-def walktrap(edges: DataFrame, n_clusters: int, steps: int = 3) -> DataFrame:
-    """Agglomeration by distances of short walks: neighbours whose merge costs least are merged first."""
-
-    def kernel(ids, a):
-        a = a + np.eye(len(a))
-        d = a.sum(1)
-        p = np.linalg.matrix_power(a / d[:, None], steps) / np.sqrt(d)
-        label, size = np.arange(len(a)), np.ones(len(a))
-        alive, near = np.ones(len(a), bool), (a > 0) & ~np.eye(len(a), dtype=bool)
-        cost = np.full(a.shape, np.inf)
-        for i in range(len(a)):
-            j = np.flatnonzero(near[i])
-            cost[i, j] = ((p[i] - p[j]) ** 2).sum(1) / 2
-        while alive.sum() > n_clusters:
-            i, j = np.unravel_index(np.argmin(cost), cost.shape)
-            if not np.isfinite(cost[i, j]):
-                break
-            p[i] = (size[i] * p[i] + size[j] * p[j]) / (size[i] + size[j])
-            size[i] += size[j]
-            label[label == j] = i
-            alive[j] = False
-            near[i] |= near[j]
-            near[:, i] |= near[:, j]
-            near[i, i] = near[j] = near[:, j] = False
-            cost[j] = cost[:, j] = cost[i] = cost[:, i] = np.inf
-            k = np.flatnonzero(near[i])
-            if len(k):
-                c = size[i] * size[k] / (size[i] + size[k]) * ((p[i] - p[k]) ** 2).sum(1)
-                cost[i, k] = cost[k, i] = c
-        return label
-
-    return _local(edges, kernel)
-
-
-def leiden(edges: DataFrame, resolution: float = 1.0, seed: int = 42, rounds: int = 20) -> DataFrame:
-    """Modularity communities: local moves, communities kept connected, then merged and moved again."""
-
-    def kernel(ids, a):
-        r = np.random.default_rng(seed)
-        whole = np.arange(len(a))
-        while True:
-            d, total = a.sum(1), a.sum()
-            label, degree = np.arange(len(a)), a.sum(1).copy()
-            for _ in range(rounds):
-                moved = False
-                for i in r.permutation(len(a)):
-                    links = np.bincount(label, a[i] * (np.arange(len(a)) != i), len(a))
-                    degree[label[i]] -= d[i]
-                    gain = links - resolution * d[i] * degree / max(total, 1e-300)
-                    gain[(links == 0) & (np.arange(len(a)) != label[i])] = -np.inf
-                    best = int(np.argmax(gain))
-                    if gain[best] <= gain[label[i]] + 1e-12:
-                        best = label[i]
-                    moved |= best != label[i]
-                    label[i] = best
-                    degree[best] += d[i]
-                if not moved:
-                    break
-            for c in np.unique(label):  # a community that falls apart is split
-                left = set(np.flatnonzero(label == c).tolist())
-                part = c
-                while left:
-                    front = [left.pop()]
-                    group = list(front)
-                    while front:
-                        near = [j for j in np.flatnonzero(a[front.pop()]) if j in left]
-                        left.difference_update(near)
-                        front += near
-                        group += near
-                    label[group] = part if part == c else label.max() + 1
-                    part = -1
-            _, label = np.unique(label, return_inverse=True)
-            if label.max() + 1 == len(a):
-                return whole
-            one = np.eye(label.max() + 1)[label]
-            whole, a = label[whole], one.T @ a @ one
-
-    return _local(edges, kernel)
-
-
-def local_variation(edges: DataFrame, reduction: float = 0.5, k: int = 3) -> DataFrame:
-    """Edge contraction: in each pass the edges of least local variation of the k smoothest vectors are merged."""
-
-    def kernel(ids, a):
-        whole, target = np.arange(len(a)), max(1, round(len(a) * (1 - reduction)))
-        while len(a) > target:
-            d = a.sum(1)
-            values, vectors = np.linalg.eigh(np.diag(d) - a)
-            b = vectors[:, 1 : k + 1] / np.sqrt(np.maximum(values[1 : k + 1], 1e-9))
-            i, j = np.nonzero(np.triu(a))
-            if not len(i):
-                return whole
-            cost = (d[i] + d[j]) / 2 * ((b[i] - b[j]) ** 2).sum(1)
-            label, free, merges = np.arange(len(a)), np.ones(len(a), bool), len(a) - target
-            for e in np.argsort(cost, kind="stable"):
-                if merges and free[i[e]] and free[j[e]]:
-                    free[[i[e], j[e]]] = False
-                    label[j[e]] = i[e]
-                    merges -= 1
-            _, label = np.unique(label, return_inverse=True)
-            one = np.eye(label.max() + 1)[label]
-            whole, a = label[whole], one.T @ a @ one
-            np.fill_diagonal(a, 0)
-        return whole
-
-    return _local(edges, kernel)

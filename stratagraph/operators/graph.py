@@ -10,9 +10,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.hashing import key
 from ..functions.session import checkpoint
 
 BLOCK = 4096
+#: Stretches of the node numbers that a row's walk table is summed by.
+STRETCHES = 64
 
 
 def _rows(column) -> np.ndarray:
@@ -20,45 +23,85 @@ def _rows(column) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(column), -1)
 
 
+def _nearest_kernel(k: int):
+    """f(points, others) -> (src, dst, d): the k nearest others of each point, ties to the smaller node."""
+
+    def near(x: pa.Table, y: pa.Table) -> pa.Table:
+        out = [(np.zeros(0, np.int64),) * 2 + (np.zeros(0),)]
+        if x.num_rows and y.num_rows:
+            y = y.sort_by("other")
+            ids, other, p, q = x["node"].to_numpy(), y["other"].to_numpy(), _rows(x["features"]), _rows(y["f"])
+            norms, take = (q * q).sum(1), min(len(other), k + 9)  # some to spare, for the rough distances' rounding and the point itself
+            for i in range(0, len(ids), 512):
+                who, mine = ids[i : i + 512], p[i : i + 512]
+                rough = norms[None, :] - 2 * mine @ q.T
+                edge = np.partition(rough, take - 1, 1)[:, take - 1]
+                r, c = np.nonzero(rough <= (edge + 1e-9 * np.maximum(1.0, np.abs(edge)))[:, None])
+                keep = other[c] != who[r]
+                r, c = r[keep], c[keep]
+                d = ((q[c] - mine[r]) ** 2).sum(1)
+                order = np.lexsort((other[c], d, r))
+                r, c, d = r[order], c[order], d[order]
+                place = np.arange(len(r)) - np.searchsorted(r, r)
+                best = place < k
+                out.append((who[r[best]], other[c[best]], np.sqrt(d[best])))
+        src, dst, d = (np.concatenate(c) for c in zip(*out, strict=True))
+        return pa.table({"src": pa.array(src, pa.int64()), "dst": pa.array(dst, pa.int64()), "d": pa.array(d, pa.float64())})
+
+    return near
+
+
+def _best(met: DataFrame, k: int) -> DataFrame:
+    rank = F.row_number().over(Window.partitionBy("src").orderBy("d", "dst"))
+    return met.withColumn("rank", rank).where(F.col("rank") <= k).select("src", "dst", "d")
+
+
 def knn(points: DataFrame, k: int = 10, block: int = BLOCK) -> DataFrame:
     """(src, dst, d): the k nearest other points by Euclidean distance, ties to the smaller node.
 
     Points are dealt into blocks, and each pair of blocks is one task that keeps k rows a point;
-    so memory is bounded by two blocks, and only k rows a point and block are ranked again.
+    so memory is bounded by two blocks, and only k rows a point and block are ranked again. There
+    are at least as many pairs as cores. All pairs are compared: see ``knn_near`` for many points.
     """
-    n = -(-points.count() // block) or 1
+    rows = points.count()
+    cores = points.sparkSession.sparkContext.defaultParallelism
+    n = max(-(-rows // block), min(int(np.ceil(cores**0.5)), -(-rows // 256))) or 1
     own = F.pmod(F.xxhash64("node"), F.lit(n)).cast("int")
     every = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = points.select(F.col("node").alias("node"), F.col("features").alias("features"), own.alias("a")).withColumn("b", every)
     right = points.select(F.col("node").alias("other"), F.col("features").alias("f"), own.alias("b2")).withColumn("a2", every)
+    left, right = left.repartition(n * n, "a", "b"), right.repartition(n * n, "a2", "b2")  # small rows would be packed into one task
+    return _best(left.groupBy("a", "b").cogroup(right.groupBy("a2", "b2")).applyInArrow(_nearest_kernel(k), "src long, dst long, d double"), k)
 
-    def near(x: pa.Table, y: pa.Table) -> pa.Table:
-        out = ([], [], [])
-        if x.num_rows and y.num_rows:
-            y = y.sort_by("other")
-            ids, other, p, q = x["node"].to_numpy(), y["other"].to_numpy(), _rows(x["features"]), _rows(y["f"])
-            norms = (q * q).sum(1)
-            for i in range(0, len(ids), 512):
-                rough = norms[None, :] - 2 * p[i : i + 512] @ q.T
-                for r, who in enumerate(ids[i : i + 512]):
-                    row = rough[r]
-                    row[other == who] = np.inf
-                    take = min(len(other) - int((other == who).sum()), k + 8)
-                    if take <= 0:
-                        continue
-                    edge = np.partition(row, take - 1)[take - 1]
-                    some = np.flatnonzero(row <= edge + 1e-9 * max(1.0, abs(edge)))
-                    d = ((q[some] - p[i + r]) ** 2).sum(1)
-                    best = np.lexsort((other[some], d))[:k]
-                    out[0].append(np.full(len(best), who))
-                    out[1].append(other[some][best])
-                    out[2].append(np.sqrt(d[best]))
-        join = lambda c, t: pa.array(np.concatenate(c) if c else np.zeros(0), t)
-        return pa.table({"src": join(out[0], pa.int64()), "dst": join(out[1], pa.int64()), "d": join(out[2], pa.float64())})
-
-    met = left.groupBy("a", "b").cogroup(right.groupBy("a2", "b2")).applyInArrow(near, "src long, dst long, d double")
-    rank = F.row_number().over(Window.partitionBy("src").orderBy("d", "dst"))
-    return met.withColumn("rank", rank).where(F.col("rank") <= k).select("src", "dst", "d")
+
+def knn_near(points: DataFrame, k: int = 10, probes: int = 8, cell: int = 1024, seed: int = 42, most: int = 4096) -> DataFrame:
+    """(src, dst, d): nearest points found in the cells around each point, instead of among all points.
+
+    Cells belong to pivots, points of smallest seeded keys, one for ``cell`` points (``most`` at
+    most). A point lies in its nearest pivot's cell and meets the cells of its ``probes`` nearest
+    pivots; a cell of many points is dealt to several tasks. The cost is that of probes cells a
+    point; recall depends on the data (tests measure it), and all points are in the result.
+    """
+    rows = points.count()
+    n = int(min(most, max(1, rows // cell)))
+    if n <= probes:
+        return knn(points, k)
+    pivots = np.array([r["features"] for r in points.orderBy(key(seed, F.col("node")), "node").limit(n).select("features").collect()], float)
+    norms = (pivots * pivots).sum(1)
+
+    def cells(batches):
+        for b in batches:
+            if b.num_rows:
+                rough = norms[None, :] - 2 * _rows(pa.chunked_array([b.column(1)])) @ pivots.T
+                order = np.argsort(rough, 1, kind="stable")[:, :probes].astype(np.int32)
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(order.tolist(), pa.list_(pa.int32()))], ["node", "features", "cells"])
+
+    placed = checkpoint(points.select(F.col("node").cast("long"), F.col("features").cast("array<double>")).mapInArrow(cells, "node long, features array<double>, cells array<int>"))
+    parts = placed.groupBy(F.col("cells")[0].alias("c")).agg(F.ceil(F.count("*") / (4 * cell)).cast("int").alias("parts"))  # a row a pivot
+    right = placed.select(F.col("node").alias("other"), F.col("features").alias("f"), F.col("cells")[0].alias("c")).join(F.broadcast(parts), "c")
+    right = right.select("other", "f", F.col("c").alias("c2"), F.pmod(F.xxhash64("other"), F.col("parts")).cast("int").alias("part2"))
+    left = placed.select("node", "features", F.explode("cells").alias("c")).join(F.broadcast(parts), "c").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    return _best(left.groupBy("c", "part").cogroup(right.groupBy("c2", "part2")).applyInArrow(_nearest_kernel(k), "src long, dst long, d double"), k)
 
 
 def knn_graph(points: DataFrame, k: int = 10, directed: bool = True) -> DataFrame:
@@ -111,14 +154,27 @@ def undirected_edges(edges: DataFrame) -> DataFrame:
 
 
 def walk_table(edges: DataFrame, uniform_weights: bool = False, close: bool = False) -> DataFrame:
-    """(src, dst, lo, hi): each row's distribution as bounds, by dst; ``close`` sets the last bound to 1."""
+    """(src, dst, lo, hi): each row's distribution as bounds, by dst; ``close`` sets the last bound to 1.
+
+    Rows are summed by stretches of the node numbers first, so a hub's edges are no single task's.
+    """
     edges = drop_loops(edges)
-    t = normalise(edges.withColumn("w", F.lit(1.0)) if uniform_weights else edges)
-    by = Window.partitionBy("src").orderBy("dst")
-    out = t.withColumn("hi", F.sum("w").over(by)).withColumn("lo", F.coalesce(F.lag("hi").over(by), F.lit(0.0)))
+    t = checkpoint(normalise(edges.withColumn("w", F.lit(1.0)) if uniform_weights else edges))
+    low, high = t.agg(F.min("dst"), F.max("dst")).first()
+    if low is None:
+        return t.select("src", "dst", F.col("w").alias("lo"), F.col("w").alias("hi"))
+    width = (high - low) // STRETCHES + 1
+    t = t.withColumn("__s", F.floor((F.col("dst") - low) / width).cast("int"))
+    sums = t.groupBy("src", "__s").agg(F.sum("w").alias("__w"))
+    by = Window.partitionBy("src").orderBy("__s")
+    ahead = sums.select("src", "__s", F.coalesce(F.lag("__w").over(by), F.lit(0.0)).alias("__b"), F.lead("__s").over(by).isNull().alias("__end"))
+    ahead = ahead.select("src", "__s", F.sum("__b").over(by).alias("__before"), "__end")
+    inside = Window.partitionBy("src", "__s").orderBy("dst")
+    out = t.join(ahead, ["src", "__s"]).withColumn("__sum", F.sum("w").over(inside))
+    hi, lo = F.col("__before") + F.col("__sum"), F.col("__before") + F.coalesce(F.lag("__sum").over(inside), F.lit(0.0))
     if close:
-        out = out.withColumn("hi", F.when(F.lead("dst").over(by).isNull(), F.lit(1.0)).otherwise(F.col("hi")))
-    return out.select("src", "dst", "lo", "hi")
+        hi = F.when(F.col("__end") & F.lead("dst").over(inside).isNull(), F.lit(1.0)).otherwise(hi)
+    return out.select("src", "dst", lo.alias("lo"), hi.alias("hi"))
 
 
 def laplacian(edges: DataFrame) -> DataFrame:

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.session import checkpoint, numbered
+from .communities import Communities
 from .connecting import Coarse, Connecting
 from .embedding import affinity, principal_components, random_start, tsne
-from .graph import knn_graph, normalise
+from .graph import graph, knn_graph, normalise
 from .sampling import Sampling
 
 
@@ -21,6 +23,8 @@ class Level:
     level: int
     parent: DataFrame  # edges that were coarsened
     coarse: Coarse
+    directed: bool = True
+    weighted: bool = False
 
     @property
     def transition(self) -> DataFrame:
@@ -31,23 +35,49 @@ class Level:
         return self.coarse.landmarks
 
 
-def _level(number: int, edges: DataFrame, nodes: DataFrame, sampling: Sampling, connecting: Connecting, weights: DataFrame | None) -> Level:
+def connected_graph(name: str, edges: DataFrame, adjacency: DataFrame, directed: bool, weighted: bool) -> DataFrame:
+    """The graph that a connector meets: searches and clusters meet edges without loops, symmetric if the
+    hierarchy is undirected, and CON those of the adjacency with row length 1; the others the transitions."""
+    if name in ("SL-BFS", "LL-BFS"):
+        return graph(edges, directed, weighted)
+    if name == "CON":
+        return graph(adjacency, directed, True)
+    return edges
+
+
+def _level(number: int, edges: DataFrame, adjacency: DataFrame, nodes: DataFrame, sampling: Sampling, connecting: Connecting, weights: DataFrame | None, directed: bool, weighted: bool) -> Level:
     landmarks = checkpoint(sampling.sample(normalise(edges), nodes))
-    coarse = connecting.connect(edges, landmarks, weights)
-    return Level(number, edges, Coarse(checkpoint(coarse.transition), checkpoint(coarse.landmarks), coarse.influence, coarse.weights))
+    seen = connected_graph(connecting.name, edges, adjacency, directed, weighted)
+    coarse = connecting.connect(seen if seen is edges else checkpoint(seen), landmarks, weights)
+    coarse = replace(coarse, transition=checkpoint(coarse.transition), landmarks=checkpoint(coarse.landmarks))
+    return Level(number, edges, coarse, directed, weighted)
 
 
-def build(points: DataFrame, sampling: Sampling, connecting: Connecting, levels: int = 1, k: int = 10, directed: bool = True) -> list[Level]:
+def build(points: DataFrame, sampling: Sampling, connecting: Connecting, levels: int = 1, k: int = 10, directed: bool = True, weighted: bool = False) -> list[Level]:
     """The k-NN graph of the points and its levels; each is sampled and connected like the first."""
     edges = checkpoint(knn_graph(points, k, directed))
-    out = [_level(1, edges, points.select("node"), sampling, connecting, None)]
-    for number in range(2, levels + 1):
+    out = [_level(1, edges, edges, points.select("node"), sampling, connecting, None, directed, weighted)]
+    for _ in range(1, levels):
         out.append(next_level(out[-1], sampling, connecting))
     return out
 
 
 def next_level(level: Level, sampling: Sampling, connecting: Connecting) -> Level:
-    return _level(level.level + 1, level.transition, level.landmarks, sampling, connecting, level.coarse.weights)
+    """One level more, from a level's transitions; CON meets its counted edges, or transitions where none were counted."""
+    adjacency = level.transition if level.coarse.adjacency is None else level.coarse.adjacency
+    return _level(level.level + 1, level.transition, adjacency, level.landmarks, sampling, connecting, level.coarse.weights, level.directed, level.weighted)
+
+
+def transitions_of(levels: list[Level]) -> DataFrame:
+    """(level, src, dst, w) of all levels."""
+    return reduce(DataFrame.unionByName, (x.transition.select(F.lit(x.level).alias("level"), "src", "dst", "w") for x in levels))
+
+
+def describe(levels: list[Level]) -> DataFrame:
+    """(level, nodes, edges, directed, weighted): what each level has."""
+    spark = levels[0].transition.sparkSession
+    rows = [(x.level, x.landmarks.count(), x.transition.count(), x.directed, x.weighted) for x in levels]
+    return spark.createDataFrame(rows, "level int, nodes long, edges long, directed boolean, weighted boolean")
 
 
 def landmarks_of(levels: list[Level]) -> DataFrame:
@@ -87,7 +117,12 @@ def embed(level: Level, points: DataFrame, random: bool = False, seed: int = 42,
     """(level, node, x, y, cost): t-SNE of a level, from components of its points or at random."""
     own = checkpoint(level.landmarks.select("node"))
     start = random_start(own, seed) if random else principal_components(gather(own, points))
-    p = affinity(level.transition, own.count())
-    return tsne(p, start, **options).withColumn("level", F.lit(level.level))
+    return tsne(affinity(level.transition, own.count()), start, **options).withColumn("level", F.lit(level.level))
 
 
+def embed_communities(level: Communities, points: DataFrame, **options) -> DataFrame:
+    """(level, node, cluster, x, y, cost): t-SNE of clusters, each placed at first by its member's components."""
+    own = level.members
+    start = principal_components(gather(own, points)).join(own, "node").select(F.col("cluster").alias("node"), "features")
+    out = tsne(affinity(level.transition, own.count()), checkpoint(start), **options).withColumnRenamed("node", "cluster")
+    return out.join(own, "cluster").withColumn("level", F.lit(level.level))

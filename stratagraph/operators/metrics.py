@@ -39,7 +39,7 @@ def long_table(values: dict[str, DataFrame], **tags) -> DataFrame:
     return out
 
 
-# Centralities: shortest paths from sampled sources, a source a row; the graph goes to each task.
+# Centralities: shortest paths from each node, a row a node; the graph goes to each task.
 
 
 def sample_nodes(nodes: DataFrame, k: int, seed: int) -> DataFrame:
@@ -58,9 +58,9 @@ def _adjacency(edges: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
     return ids, np.searchsorted(a[order], np.arange(len(ids) + 1)), b[order], w[order].astype(float)
 
 
-def _paths(start: int, rows: np.ndarray, cols: np.ndarray, weights: np.ndarray):
-    """Dijkstra: nodes in order of distance, distances, path counts, predecessors."""
-    n = len(rows) - 1
+def _paths(start: int, rows: np.ndarray, cols: np.ndarray, weights: np.ndarray, cutoff: float | None = None):
+    """Dijkstra: nodes in order of distance, distances, path counts, predecessors; no path is longer than a cutoff."""
+    n, limit = len(rows) - 1, np.inf if cutoff is None else cutoff + 1e-12
     dist, count, back = np.full(n, np.inf), np.zeros(n), [[] for _ in range(n)]
     dist[start], count[start], order, done, heap = 0.0, 1.0, [], np.zeros(n, bool), [(0.0, start)]
     while heap:
@@ -71,6 +71,8 @@ def _paths(start: int, rows: np.ndarray, cols: np.ndarray, weights: np.ndarray):
         order.append(v)
         for e in range(rows[v], rows[v + 1]):
             u, far = cols[e], d + weights[e]
+            if far > limit:
+                continue
             if far < dist[u] - 1e-12:
                 dist[u], count[u], back[u] = far, count[v], [v]
                 heapq.heappush(heap, (far, u))
@@ -80,8 +82,8 @@ def _paths(start: int, rows: np.ndarray, cols: np.ndarray, weights: np.ndarray):
     return order, dist, count, back
 
 
-def harmonic_centrality(edges: DataFrame, sources: DataFrame) -> DataFrame:
-    """(node, value): mean inverse distance from all other nodes to each source; weights are lengths."""
+def harmonic_centrality(edges: DataFrame, sources: DataFrame, cutoff: float | None = None) -> DataFrame:
+    """(node, value): mean inverse distance from all other nodes to each source; weights are lengths, a cutoff bounds paths."""
     ids, rows, cols, weights = _adjacency(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w"))
 
     def run(batches):
@@ -92,7 +94,7 @@ def harmonic_centrality(edges: DataFrame, sources: DataFrame) -> DataFrame:
                 if at >= len(ids) or ids[at] != v:
                     out.append(0.0)
                     continue
-                d = _paths(at, rows, cols, weights)[1]
+                d = _paths(at, rows, cols, weights, cutoff)[1]
                 d = d[np.isfinite(d) & (d > 0)]
                 out.append(float((1 / d).sum() / max(len(ids) - 1, 1)))
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(out, pa.float64())], ["node", "value"])
@@ -100,9 +102,16 @@ def harmonic_centrality(edges: DataFrame, sources: DataFrame) -> DataFrame:
     return sources.select("node").repartition(16).mapInArrow(run, "node long, value double")
 
 
-def betweenness_centrality(edges: DataFrame, sources: DataFrame, directed: bool = True) -> DataFrame:
-    """(node, value): shortest paths from the sources that pass each node, by back-propagated shares."""
+def betweenness_centrality(edges: DataFrame, targets: DataFrame, directed: bool = True, cutoff: float | None = None, sources: DataFrame | None = None) -> DataFrame:
+    """(node, value) of the target nodes: the shares of shortest paths between all pairs of nodes that pass them.
+
+    Shares are propagated back from every node of the graph, also where few nodes are asked for.
+    sources: some nodes (node) whose paths stand for all, scaled up; an estimate, by choice only.
+    """
     ids, rows, cols, weights = _adjacency(edges)
+    spark = edges.sparkSession
+    every = spark.createDataFrame(pa.table({"node": pa.array(ids, pa.int64())})) if sources is None else sources.select("node").distinct()
+    scale = 1.0 if sources is None else len(ids) / max(every.count(), 1)
 
     def run(batches):
         total = np.zeros(len(ids))
@@ -111,7 +120,7 @@ def betweenness_centrality(edges: DataFrame, sources: DataFrame, directed: bool
                 at = int(np.searchsorted(ids, v))
                 if at >= len(ids) or ids[at] != v:
                     continue
-                order, _, count, back = _paths(at, rows, cols, weights)
+                order, _, count, back = _paths(at, rows, cols, weights, cutoff)
                 share = np.zeros(len(ids))
                 for u in reversed(order):
                     for p in back[u]:
@@ -120,13 +129,14 @@ def betweenness_centrality(edges: DataFrame, sources: DataFrame, directed: bool
                 total += share
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(total, pa.float64())], ["node", "value"])
 
-    parts = sources.select("node").repartition(16).mapInArrow(run, "node long, value double")
-    return parts.groupBy("node").agg((F.sum("value") / (1 if directed else 2)).alias("value"))
+    parts = every.repartition(16).mapInArrow(run, "node long, value double")
+    found = parts.groupBy("node").agg((F.sum("value") * (scale if directed else scale / 2)).alias("value"))
+    return targets.select("node").distinct().join(found, "node", "left").select("node", F.coalesce("value", F.lit(0.0)).alias("value"))
 
 
 @metric("kl")
-def histogram_divergence(p: DataFrame, q: DataFrame) -> DataFrame:
-    """KL(P || Q) of (value) tables: equal numbers of bins, each over its own range, densities clipped at 1e-10."""
+def histogram_divergence(p: DataFrame, q: DataFrame, shared_bins: bool = False) -> DataFrame:
+    """KL(P || Q) of (value) tables: equal numbers of bins, each over its own range (or both over one), densities clipped at 1e-10."""
     ends = {}
     for name, df in (("p", p), ("q", q)):
         ends[name] = df.agg(F.count("value").alias("n"), F.min("value").cast("double").alias("lo"), F.max("value").cast("double").alias("hi")).first()
@@ -134,8 +144,10 @@ def histogram_divergence(p: DataFrame, q: DataFrame) -> DataFrame:
     if not bins:
         return p.sparkSession.createDataFrame([(None,)], "value double")
 
+    span = min(e["lo"] for e in ends.values()), max(e["hi"] for e in ends.values())
+
     def counted(df, e):
-        lo, hi = (e["lo"], e["hi"]) if e["hi"] > e["lo"] else (e["lo"] - 0.5, e["hi"] + 0.5)
+        lo, hi = span if shared_bins and span[1] > span[0] else (e["lo"], e["hi"]) if e["hi"] > e["lo"] else (e["lo"] - 0.5, e["hi"] + 0.5)
         b = F.least(F.floor((F.col("value") - lo) / (hi - lo) * bins), F.lit(bins - 1))
         width = (hi - lo) / bins
         return df.where(F.col("value").isNotNull()).groupBy(b.alias("b")).agg((F.count("*") / (e["n"] * width)).alias("v"))
@@ -242,6 +254,13 @@ def _matrix(column) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(column), -1)
 
 
+def distances(p: np.ndarray, q: np.ndarray, at_once: int = 1 << 22):
+    """The distances of each row of p to all rows of q, row by row; computed by differences, some rows at once."""
+    step = max(1, at_once // max(q.size, 1))
+    for i in range(0, len(p), step):
+        yield from np.sqrt(((p[i : i + step, None, :] - q[None, :, :]) ** 2).sum(2))
+
+
 @metric("trust")
 def trustworthiness(points: DataFrame, embedding: DataFrame, k: int = 10) -> DataFrame:
     """1 less the scaled excess of the ranks, among all points, of those that are near in the embedding only."""
@@ -249,6 +268,8 @@ def trustworthiness(points: DataFrame, embedding: DataFrame, k: int = 10) -> Dat
     k = min(k, n // 2)
     if k < 1:
         return points.sparkSession.createDataFrame([(None,)], "value double")
+    if 2 * n - 3 * k - 1 <= 0:  # so few points that each is near every other
+        return points.sparkSession.createDataFrame([(1.0,)], "value double")
     near = knn(embedding, k).groupBy("src").agg(F.collect_list("dst").alias("near"))  # k at most
     asked = points.join(near, points["node"] == near["src"]).select("node", "features", "near")
     lookup = points.select(F.col("node").alias("dst"), F.col("features").alias("f"))
@@ -258,16 +279,22 @@ def trustworthiness(points: DataFrame, embedding: DataFrame, k: int = 10) -> Dat
     asked = points.join(marks, "node").select("node", "features", "marks")
 
     def ranks(x: pa.Table, y: pa.Table) -> pa.Table:
-        out: list[tuple[int, int, int]] = []
+        out = [(np.zeros(0, np.int64),) * 3]
         if x.num_rows and y.num_rows:
-            other, q = y["other_node"].to_numpy(), _matrix(y["other_features"])
-            for i, p, marks in zip(x["node"].to_pylist(), _matrix(x["features"]), x["marks"].to_pylist(), strict=True):
-                d = np.sqrt(((q - p) ** 2).sum(1))
-                for m in marks:
-                    same = np.abs(d - m["d"]) <= 1e-12
-                    before = ((d < m["d"]) & ~same | same & (other < m["dst"])) & (other != i)
-                    out.append((i, m["dst"], int(before.sum())))
-        return pa.table({c: pa.array([r[j] for r in out], pa.int64()) for j, c in enumerate(("src", "dst", "before"))})
+            y = y.sort_by("other_node")
+            other, q, ids, p = y["other_node"].to_numpy(), _matrix(y["other_features"]), x["node"].to_numpy(), _matrix(x["features"])
+            marks = x["marks"].combine_chunks()
+            first, who, far = marks.offsets.to_numpy(), marks.values.field("dst").to_numpy(), marks.values.field("d").to_numpy()
+            for i, d in enumerate(distances(p, q)):
+                own, sorted_d = slice(first[i], first[i + 1]), np.sort(d)
+                low, high = np.searchsorted(sorted_d, far[own] - 1e-12, "left"), np.searchsorted(sorted_d, far[own] + 1e-12, "right")
+                # Among (nearly) equal distances the smaller nodes come first; the point itself does not count.
+                tied = [int((np.abs(d[: np.searchsorted(other, m)] - f) <= 1e-12).sum()) if h > at + 1 or other[np.searchsorted(other, m) % len(other)] != m else 0 for m, f, at, h in zip(who[own], far[own], low, high, strict=True)]
+                here = np.searchsorted(other, ids[i])
+                self_before = (d[here] < far[own] - 1e-12) | ((np.abs(d[here] - far[own]) <= 1e-12) & (ids[i] < who[own])) if here < len(other) and other[here] == ids[i] else 0
+                out.append((np.full(len(who[own]), ids[i]), who[own], low + np.array(tied, np.int64) - self_before))
+        columns = [np.concatenate(c) for c in zip(*out, strict=True)]
+        return pa.table({c: pa.array(x, pa.int64()) for c, x in zip(("src", "dst", "before"), columns, strict=True)})
 
     rank = _blocks(asked, points.select("node", "features"), ranks, "src long, dst long, before long").groupBy("src", "dst").agg((F.sum("before") + 1).alias("rank"))
     excess = rank.agg(F.coalesce(F.sum(F.greatest(F.col("rank") - k, F.lit(0))), F.lit(0)).alias("e"))
@@ -294,14 +321,12 @@ def silhouette_samples(points: DataFrame, labels: DataFrame) -> DataFrame:
     p = points.join(labels.select("node", F.col("label").cast("string").alias("label")), "node").select("node", "features", "label")
 
     def sums(x: pa.Table, y: pa.Table) -> pa.Table:
-        out: list[tuple[int, str, float]] = []
+        ids, names, total = np.zeros(0, np.int64), np.zeros(0, object), np.zeros((0, 0))
         if x.num_rows and y.num_rows:
             names, code = np.unique(np.array(y["other_label"].to_pylist(), object), return_inverse=True)
-            q = _matrix(y["other_features"])
-            for i, r in zip(x["node"].to_pylist(), _matrix(x["features"]), strict=True):
-                s = np.bincount(code, np.sqrt(((q - r) ** 2).sum(1)), len(names))
-                out += [(i, str(a), float(b)) for a, b in zip(names, s, strict=True)]
-        return pa.table({"node": pa.array([r[0] for r in out], pa.int64()), "other": pa.array([r[1] for r in out], pa.string()), "s": pa.array([r[2] for r in out], pa.float64())})
+            ids, one = x["node"].to_numpy(), np.eye(len(names))[code]
+            total = np.array([d @ one for d in distances(_matrix(x["features"]), _matrix(y["other_features"]))])
+        return pa.table({"node": pa.array(np.repeat(ids, len(names)), pa.int64()), "other": pa.array(np.tile(names, len(ids)), pa.string()), "s": pa.array(total.ravel(), pa.float64())})
 
     size = p.groupBy(F.col("label").alias("other")).agg(F.count("*").alias("n"))
     total = _blocks(p.select("node", "features"), p, sums, "node long, other string, s double").groupBy("node", "other").agg(F.sum("s").alias("s"))
@@ -352,6 +377,14 @@ def label_distribution(levels: DataFrame, labels: DataFrame) -> DataFrame:
     return n.join(total, "level").select("level", "label", "n", (F.col("n") / F.col("t")).alias("share"))
 
 
+def label_spread(levels: DataFrame, labels: DataFrame) -> DataFrame:
+    """(level, std) of the label counts of each level, over all labels that any level has (population std)."""
+    n = label_distribution(levels, labels)
+    every = n.select("level").distinct().crossJoin(F.broadcast(n.select("label").distinct()))  # levels x labels: a report's size
+    full = every.join(n, ["level", "label"], "left").select("level", F.coalesce("n", F.lit(0)).alias("n"))
+    return full.groupBy("level").agg(F.stddev_pop("n").alias("std"))
+
+
 def report(metrics: DataFrame) -> DataFrame:
     """(metric, max, mean, min, std) of a long table."""
     v = F.col("value")

@@ -28,10 +28,13 @@ class Sampling:
     n_steps: int = 50
     use_share: bool = True
     walks_threshold: float = 1.5
+    order: str = "asc"  # of HUBSNN: smallest degrees first, or "desc"
 
     def __post_init__(self):
         if not 0 < self.share < 1:
             raise ValueError("share must lie between 0 and 1")
+        if self.order not in ("asc", "desc"):
+            raise ValueError("order is asc or desc")
 
     def with_(self, **changes) -> Sampling:
         return replace(self, **changes)
@@ -138,8 +141,8 @@ def _ranked(df: DataFrame, *by) -> DataFrame:
 
 @sampler("HUBSNN")
 def hubs_apart(s: Sampling, transition: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Greedy by in-degree, smallest first; each taken node excludes its k heaviest out-neighbours."""
-    d = in_degree(transition, nodes).withColumn("d", F.round("degree", 9))
+    """Greedy by in-degree, smallest first (or largest); each taken node excludes its k heaviest out-neighbours."""
+    d = in_degree(transition, nodes).withColumn("d", F.round("degree", 9) * (1 if s.order == "asc" else -1))
     return greedy_exclusion(_ranked(d, "d", "node"), top_neighbours(drop_loops(transition), s.k), wanted(s, nodes))
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,8 +11,10 @@ from pyspark.sql import functions as F
 from ..functions import features as feats
 from ..functions.hashing import sql_uniform
 from ..functions.session import checkpoint, numbered, table
+from ..operators import communities as X
 from ..operators import connecting as C
 from ..operators import embedding as E
+from ..operators import experiments as EX
 from ..operators import graph as G
 from ..operators import hierarchy as H
 from ..operators import metrics as M
@@ -209,11 +212,27 @@ def g18_submatrix(spark, sf):
     return tidy(G.submatrix(G.normalise(und(spark, sf)), S.delete_landmarks(nodes(spark, sf), lm), lm))
 
 
-@query()
+_FIT = (
+    ", g AS (SELECT src, dst, d * d - min(d * d) OVER (PARTITION BY src) AS e FROM near), "
+    "fit(src, step, beta, lo, hi, gap) AS (SELECT DISTINCT src, 0, 1.0::DOUBLE, 0.0::DOUBLE, 'inf'::DOUBLE, NULL::DOUBLE FROM g UNION ALL "
+    "SELECT src, step + 1, CASE WHEN abs(gap) < 1e-4 THEN beta WHEN (CASE WHEN gap > 0 THEN hi ELSE beta END) = 'inf'::DOUBLE THEN beta * 2 ELSE ((CASE WHEN gap > 0 THEN beta ELSE lo END) + (CASE WHEN gap > 0 THEN hi ELSE beta END)) / 2 END, "
+    "CASE WHEN gap > 0 THEN beta ELSE lo END, CASE WHEN gap > 0 THEN hi ELSE beta END, gap FROM ("
+    "SELECT f.src, f.step, f.beta, f.lo, f.hi, ln(sum(exp(-e * beta))) + beta * sum(e * exp(-e * beta)) / sum(exp(-e * beta)) - ln(10.0) AS gap FROM fit f JOIN g USING (src) WHERE f.step < 100 AND coalesce(abs(f.gap), 1) >= 1e-4 GROUP BY f.src, f.step, f.beta, f.lo, f.hi)), "
+    "best AS (SELECT src, arg_max(beta, step) AS beta FROM fit GROUP BY src)"
+)
+
+
+@query(w(PTS, sql_knn("near", 30)) + _FIT + f" SELECT src, dst, {R('exp(-e * beta) / sum(exp(-e * beta)) OVER (PARTITION BY src)', 'w')} FROM g JOIN best USING (src)")
 def g19_perplexity_graph(spark, sf):
     return tidy(G.perplexity_graph(knn(spark, sf, 30), 10.0))
 
 
+@query()
+def g1_knn_near(spark, sf):
+    """Nearest points among cells of pivots: what g1_knn finds among all, mostly; tests measure the share."""
+    return tidy(G.knn_near(points(spark, sf).select("node", "features"), K, probes=4, cell=64))
+
+
 # Samplers.
 
 
@@ -227,25 +246,21 @@ def l2_hubs(spark, sf):
     return S.Sampling("HUBS").sample(G.normalise(und(spark, sf)), nodes(spark, sf))
 
 
-_PI = ", ".join(["p0 AS (SELECT node, 1.0::DOUBLE / (SELECT count(*) FROM pts) AS w FROM pts)"] + [f"p{k} AS (SELECT dst AS node, sum(p.w * t.w) AS w FROM p{k - 1} p JOIN t ON t.src = p.node GROUP BY dst)" for k in range(1, 6)])
-_PI += ", pi AS (SELECT node, w / (SELECT sum(w) FROM p5) AS w FROM p5)"
+def sql_pi(steps: int) -> str:
+    out = ", ".join(["p0 AS (SELECT node, 1.0::DOUBLE / (SELECT count(*) FROM pts) AS w FROM pts)"] + [f"p{k} AS (SELECT dst AS node, sum(p.w * t.w) AS w FROM p{k - 1} p JOIN t ON t.src = p.node GROUP BY dst)" for k in range(1, steps + 1)])
+    return out + f", pi AS MATERIALIZED (SELECT node, w / sum(w) OVER () AS w FROM p{steps})"
 
 
-@query(w(TRANS, _PI) + f"SELECT node, {R('w')} FROM pi")
+@query(w(TRANS, sql_pi(50)) + f"SELECT node, {R('w')} FROM pi")
 def l3_walk_distribution(spark, sf):
-    return tidy(S.walk_distribution(checkpoint(G.normalise(und(spark, sf))), nodes(spark, sf), 5))
+    return tidy(S.walk_distribution(checkpoint(G.normalise(und(spark, sf))), nodes(spark, sf), 50))
 
 
-_VISITS = f", spans AS (SELECT node, sum(w) OVER (ORDER BY node % 256, node) AS hi, w FROM pi), draws AS (SELECT {sql_uniform(f"'{SEED}:' || i")} AS u FROM range((SELECT count(*) * 10 FROM pts)) x(i)), visits AS (SELECT node, count(*) AS visits FROM draws JOIN spans ON u >= hi - w AND u < hi GROUP BY node)"
+_VISITS = f", spans AS (SELECT node, sum(w) OVER (ORDER BY node % 256, node) AS hi, w FROM pi), draws AS (SELECT {sql_uniform(f"'{SEED}:' || i")} AS u FROM range((SELECT count(*) * 100 FROM pts)) x(i)), visits AS (SELECT node, count(*) AS visits FROM draws JOIN spans ON u >= hi - w AND u < hi GROUP BY node)"
 
 
-@query(w(TRANS, _PI) + _VISITS + " SELECT node FROM visits ORDER BY visits DESC, node LIMIT (SELECT floor(0.1 * count(*))::BIGINT FROM pts)")
+@query(w(TRANS, sql_pi(50)) + _VISITS + " SELECT node FROM visits ORDER BY visits DESC, node LIMIT (SELECT floor(0.1 * count(*))::BIGINT FROM pts)")
 def l3_random_walks(spark, sf):
-    return S.Sampling("RW", n_walks=10, n_steps=5).sample(checkpoint(G.normalise(und(spark, sf))), nodes(spark, sf))
-
-
-@query()
-def l3_random_walks_whole(spark, sf):
     return S.Sampling("RW").sample(checkpoint(G.normalise(und(spark, sf))), nodes(spark, sf))
 
 
@@ -264,6 +279,11 @@ def l4_hubs_apart(spark, sf):
     return S.Sampling("HUBSNN", k=3).sample(checkpoint(G.normalise(und(spark, sf))), nodes(spark, sf))
 
 
+@query(_sql_greedy("SELECT node, row_number() OVER (ORDER BY -round(degree, 9), node) AS r FROM deg", DEGREE))
+def l4_hubs_apart_largest_first(spark, sf):
+    return S.Sampling("HUBSNN", k=3, order="desc").sample(checkpoint(G.normalise(und(spark, sf))), nodes(spark, sf))
+
+
 @query(_sql_greedy(f"SELECT node, row_number() OVER (ORDER BY md5('{SEED}:' || node), node) AS r FROM pts", TRANS))
 def l5_random_apart(spark, sf):
     return S.Sampling("RANDOMNN", k=3).sample(checkpoint(G.normalise(und(spark, sf))), nodes(spark, sf))
@@ -316,7 +336,7 @@ def c3_landmark_bfs(spark, sf):
 _TABLE = ", wt AS (SELECT src, dst, sum(w) OVER (PARTITION BY src ORDER BY dst) AS hi, sum(w) OVER (PARTITION BY src ORDER BY dst) - w AS lo FROM t), wtab AS (SELECT src, dst, hi, coalesce(lag(hi) OVER (PARTITION BY src ORDER BY dst), 0) AS lo FROM wt)"
 
 
-def sql_walks(starts: str, n: int, stop: str, deep: int = 12, own: str = "0", own_from: str = "") -> str:
+def sql_walks(starts: str, n: int, stop: str, deep: int = 1000, own: str = "0", own_from: str = "") -> str:
     u = sql_uniform(f"'{SEED}:' || x.state || ':' || x.walk || ':' || (x.steps + 1)")
     return _TABLE + (
         f", walk(state, walk, node, steps, own, stop) AS (SELECT s.node, i, s.node, 0, {own}, false FROM {starts} s, range({n}) r(i) UNION ALL "
@@ -328,65 +348,44 @@ def sql_walks(starts: str, n: int, stop: str, deep: int = 12, own: str = "0", ow
 _IN_LM = "wtab.dst IN (SELECT node FROM lm)"
 
 
-@query(w(TRANS, sql_random(0.2)) + sql_walks("lm", 3, _IN_LM + " AND wtab.dst <> x.state") + " SELECT state, walk, node, steps FROM ended")
+@query(w(TRANS, sql_random(0.2)) + sql_walks("lm", 100, _IN_LM + " AND wtab.dst <> x.state") + " SELECT state, walk, node, steps FROM ended")
 def c5_walks(spark, sf):
-    lm = checkpoint(random_landmarks(spark, sf, 0.2))
-    out = C.walks(checkpoint(G.walk_table(und(spark, sf))), lm, 3, lm, SEED, 12, allow_start=False)
-    return out.select("state", F.col("walk").cast("long").alias("walk"), "node", "steps")
-
-
-@query()
-def c5_walks_whole(spark, sf):
-    """The connectors' default walks and steps; c5 to c10 have few, and drop walks of over 12 steps, for their SQL."""
     lm, c = checkpoint(random_landmarks(spark, sf, 0.2)), C.Connecting()
     out = C.walks(checkpoint(G.walk_table(und(spark, sf))), lm, c.n_walks, lm, SEED, c.max_steps, allow_start=False)
     return out.select("state", F.col("walk").cast("long").alias("walk"), "node", "steps")
 
 
-@query(w(TRANS, sql_random(0.2)) + sql_walks("lm", 3, _IN_LM + " AND wtab.dst <> x.state") + f" SELECT state AS src, node AS dst, {R('count(*) * 1.0::DOUBLE / sum(count(*)) OVER (PARTITION BY state)', 'w')} FROM ended GROUP BY state, node")
+@query(w(TRANS, sql_random(0.2)) + sql_walks("lm", 100, _IN_LM + " AND wtab.dst <> x.state") + f" SELECT state AS src, node AS dst, round(count(*) * 1.0::DOUBLE / sum(count(*)) OVER (PARTITION BY state), 9) + 0.0 AS w FROM ended GROUP BY state, node")
 def c6_landmark_walks(spark, sf):
-    return tidy(C.Connecting("LL-RW", n_walks=3, max_steps=12).connect(und(spark, sf), checkpoint(random_landmarks(spark, sf, 0.2))).transition)
+    return tidy(C.Connecting("LL-RW").connect(und(spark, sf), checkpoint(random_landmarks(spark, sf, 0.2))).transition, digits=9)
 
 
-@query()
-def c6_landmark_walks_whole(spark, sf):
-    return tidy(C.Connecting("LL-RW").connect(und(spark, sf), checkpoint(random_landmarks(spark, sf, 0.2))).transition)
-
-
-@query(w(TRANS, sql_random(0.2)) + sql_walks("pts", 2, _IN_LM) + ", infl AS (SELECT state, node AS lm, count(*) * 1.0::DOUBLE / sum(count(*)) OVER (PARTITION BY state) AS p FROM ended GROUP BY state, node)" + _GRAM + f" SELECT src, dst, {R('w')} FROM tc")
+@query(w(TRANS, sql_random(0.2)) + sql_walks("pts", 100, _IN_LM) + ", infl AS (SELECT state, node AS lm, count(*) * 1.0::DOUBLE / sum(count(*)) OVER (PARTITION BY state) AS p FROM ended GROUP BY state, node)" + _GRAM + f" SELECT src, dst, round(w, 9) + 0.0 AS w FROM tc")
 def c7_state_walks(spark, sf):
-    return tidy(C.Connecting("SL-RW", n_walks=2, max_steps=12).connect(und(spark, sf), checkpoint(random_landmarks(spark, sf, 0.2))).transition)
+    return tidy(C.Connecting("SL-RW").connect(und(spark, sf), checkpoint(random_landmarks(spark, sf, 0.2))).transition, digits=9)
 
 
-@query()
-def c7_state_walks_whole(spark, sf):
-    return tidy(C.Connecting("SL-RW").connect(und(spark, sf), checkpoint(random_landmarks(spark, sf, 0.2))).transition)
-
-
-_INTO = "into_lm AS (SELECT src AS state, dst AS lm, w AS p FROM t WHERE src NOT IN (SELECT node FROM lm) AND dst IN (SELECT node FROM lm)), inner_t AS (SELECT * FROM t WHERE src NOT IN (SELECT node FROM lm) AND dst NOT IN (SELECT node FROM lm)), x1 AS (SELECT * FROM into_lm)"
-_ABSORB = ", ".join([_INTO] + [f"x{k} AS (SELECT state, lm, sum(p) AS p FROM (SELECT i.src AS state, x.lm, i.w * x.p AS p FROM inner_t i JOIN x{k - 1} x ON x.state = i.dst UNION ALL SELECT * FROM into_lm) GROUP BY state, lm)" for k in range(2, 7)])
-_ABSORB += ", infl AS (SELECT * FROM x6 UNION ALL SELECT node, node, 1.0 FROM lm)"
+_ABSORB = (
+    "into_lm AS (SELECT src AS state, dst AS lm, w AS p FROM t WHERE src NOT IN (SELECT node FROM lm) AND dst IN (SELECT node FROM lm)), inner_t AS MATERIALIZED (SELECT * FROM t WHERE src NOT IN (SELECT node FROM lm) AND dst NOT IN (SELECT node FROM lm)), "
+    "part(state, lm, p) AS (SELECT state, lm, p FROM into_lm UNION ALL SELECT i.src, x.lm, sum(i.w * x.p) FROM part x JOIN inner_t i ON x.state = i.dst GROUP BY i.src, x.lm HAVING sum(i.w * x.p) > 1e-13), "
+    "infl AS (SELECT state, lm, sum(p) AS p FROM part GROUP BY state, lm UNION ALL SELECT node, node, 1.0 FROM lm)"
+)
 
 
 @query(w(TRANS, sql_random(), _ABSORB) + f"SELECT state, lm, {R('p')} FROM infl")
 def c8_absorption(spark, sf):
-    lm = checkpoint(random_landmarks(spark, sf))
-    return tidy(C.absorption(G.normalise(und(spark, sf)), lm, steps=6, tolerance=-1.0))
-
-
-@query(w(TRANS, sql_random(), _ABSORB) + _GRAM + f" SELECT src, dst, {R('w')} FROM tc")
-def c8_exact(spark, sf):
-    return tidy(C.Connecting("EXACT", max_steps=6, tolerance=-1.0).connect(und(spark, sf), checkpoint(random_landmarks(spark, sf))).transition)
+    """The fixed point: a linear solution here, rounds until nothing is left under way in SQL."""
+    return tidy(C.absorption(G.normalise(und(spark, sf)), checkpoint(random_landmarks(spark, sf))))
 
 
-@query()
-def c8_absorption_whole(spark, sf):
-    """Until convergence; c8_absorption is cut to the six rounds that its SQL unrolls."""
-    return tidy(C.absorption(G.normalise(und(spark, sf)), checkpoint(random_landmarks(spark, sf))))
+@query(w(TRANS, sql_random(0.5), _ABSORB) + f"SELECT state, lm, {R('p')} FROM infl")
+def c8_absorption_rounds(spark, sf):
+    """The same by rounds of joins until it has converged, the way beyond MOST_DIRECT states; with more landmarks, as each round is a job."""
+    return tidy(C.absorption(G.normalise(und(spark, sf)), checkpoint(random_landmarks(spark, sf, 0.5)), solver="iterative"))
 
 
-@query()
-def c8_exact_whole(spark, sf):
+@query(w(TRANS, sql_random(), _ABSORB) + _GRAM + f" SELECT src, dst, {R('w')} FROM tc")
+def c8_exact(spark, sf):
     return tidy(C.Connecting("EXACT").connect(und(spark, sf), checkpoint(random_landmarks(spark, sf))).transition)
 
 
@@ -408,6 +407,21 @@ def c9_cluster_connectivity(spark, sf):
     return tidy(C.Connecting("CON", seed=SEED).connect(und(spark, sf), checkpoint(random_landmarks(spark, sf))).transition)
 
 
+_GROW_WEIGHTED = (
+    ", lm AS (SELECT node FROM pts ORDER BY md5('42:' || node), node LIMIT (SELECT floor(0.1 * count(*))::BIGINT FROM pts)), e AS (SELECT src, dst, max(w) AS w FROM (SELECT src, dst, w FROM wk UNION ALL SELECT dst, src, w FROM wk) GROUP BY ALL), "
+    "grow(step, node, cluster) AS (SELECT 0, node, node FROM lm UNION ALL (WITH claims AS ("
+    f"SELECT e.dst AS node, (list(g.cluster ORDER BY e.w DESC, md5('{SEED}:' || (g.step + 1) || ':' || g.cluster)))[1] AS cluster, max(g.step) AS step FROM grow g JOIN e ON e.src = g.node WHERE e.dst NOT IN (SELECT node FROM grow) "
+    "GROUP BY e.dst) SELECT step + 1, node, cluster FROM claims UNION ALL SELECT step + 1, node, cluster FROM grow WHERE EXISTS (SELECT 1 FROM claims))) "
+    "SELECT node, cluster FROM grow WHERE step = (SELECT max(step) FROM grow)"
+)
+
+
+@query(w(WK) + _GROW_WEIGHTED)
+def c9_grow_by_weight(spark, sf):
+    """On directed edges, met in both directions; the heaviest edge to a node wins it."""
+    return C.grow_clusters(checkpoint(weighted(spark, sf)), checkpoint(random_landmarks(spark, sf)), SEED, order="desc")
+
+
 @query("SELECT s.s_nationkey::BIGINT AS src, 100 + p_size AS dst, count(*)::DOUBLE AS w FROM (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem) l JOIN supplier s ON s.s_suppkey = l_suppkey JOIN part ON p_partkey = l_partkey GROUP BY ALL")
 def c9_connectivity_out(spark, sf):
     e = table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("src"), (F.col("l_partkey") + 10_000_000).alias("dst")).distinct().withColumn("w", F.lit(1.0))
@@ -417,29 +431,36 @@ def c9_connectivity_out(spark, sf):
     return out.select("src", F.col("dst").cast("int").alias("dst"), "w")
 
 
-@query(w(TRANS, sql_random()) + _GROW + sql_walks("own", 1, "o.cluster <> x.own", own="s.cluster", own_from=" JOIN own o ON o.node = wtab.dst") + f", cc AS (SELECT a.cluster AS src, b.cluster AS dst, count(*) * 1.0::DOUBLE AS w FROM ended JOIN own a ON a.node = ended.state JOIN own b ON b.node = ended.node GROUP BY ALL) SELECT src, dst, {R('w / sum(w) OVER (PARTITION BY src)', 'w')} FROM cc")
+@query(w(TRANS, sql_random()) + _GROW + sql_walks("own", 100, "o.cluster <> x.own", own="s.cluster", own_from=" JOIN own o ON o.node = wtab.dst") + f", cc AS (SELECT a.cluster AS src, b.cluster AS dst, count(*) * 1.0::DOUBLE AS w FROM ended JOIN own a ON a.node = ended.state JOIN own b ON b.node = ended.node GROUP BY ALL) SELECT src, dst, round(w / sum(w) OVER (PARTITION BY src), 9) + 0.0 AS w FROM cc")
 def c10_cluster_walks(spark, sf):
-    return tidy(C.Connecting("CLUSTERRW", n_walks=1, seed=SEED, max_steps=12).connect(und(spark, sf), checkpoint(random_landmarks(spark, sf))).transition)
+    return tidy(C.Connecting("CLUSTERRW", seed=SEED).connect(und(spark, sf), checkpoint(random_landmarks(spark, sf))).transition, digits=9)
 
 
-@query()
-def c10_cluster_walks_whole(spark, sf):
-    return tidy(C.Connecting("CLUSTERRW", seed=SEED).connect(und(spark, sf), checkpoint(random_landmarks(spark, sf))).transition)
+def _communities(levels) -> DataFrame:
+    """(level, src, dst, w) of coarse graphs of clusters."""
+    return tidy(H.transitions_of(levels))
 
 
 @query()
 def c12_walktrap(spark, sf):
-    return C.walktrap(und(spark, sf), 50)
+    e = und(spark, sf)
+    n = C.nodes_of(e).count()
+    return _communities(X.community_levels(e, lambda g, level: X.walktrap(g, max(2, n // 10**level)), 2))
 
 
 @query()
 def c13_leiden(spark, sf):
-    return C.leiden(und(spark, sf), 2.0)
+    return _communities(X.community_levels(und(spark, sf), lambda g, level: X.leiden(g, (8.0, 2.0)[level - 1]), 2))
 
 
 @query()
 def c14_local_variation(spark, sf):
-    return C.local_variation(und(spark, sf), 0.5)
+    return _communities(X.community_levels(und(spark, sf), lambda g, level: X.local_variation(g, 0.5, method="edges"), 2))
+
+
+@query()
+def c14_local_variation_neighbourhoods(spark, sf):
+    return _communities(X.community_levels(und(spark, sf), lambda g, level: X.local_variation(g, 0.5, method="neighborhood"), 2))
 
 
 @query(f"SELECT c_nationkey::BIGINT AS cluster, arg_min(c_custkey, md5('{SEED}:' || c_custkey)) AS node FROM customer GROUP BY c_nationkey")
@@ -456,8 +477,34 @@ def c16_pick_columns(spark, sf):
 # Hierarchies and embeddings.
 
 
-@query(w(PTS, sql_random(), sql_random(0.1, "lm2", "lm")) + "SELECT 1 AS level, row_number() OVER (ORDER BY node) - 1 AS lm_idx, node FROM lm UNION ALL SELECT 2, row_number() OVER (ORDER BY node) - 1, node FROM lm2")
+def sql_coarse(level: int, edges: str, states: str, weights: str | None, k: int) -> str:
+    """CTEs of a level by hops: lm{level} of states, influence i, coarse graph c and its next weights v."""
+    share = f"JOIN {weights} q ON q.state = a.state" if weights else ""
+    by = " * q.w" if weights else ""
+    return (
+        sql_random(0.1, f"lm{level}", states) + f", f{level}(state, node, h) AS (SELECT node, node, 0 FROM {states} UNION SELECT state, dst, h + 1 FROM f{level} JOIN {edges} ON src = f{level}.node WHERE src <> dst AND h < 5), "
+        f"n{level} AS (SELECT state, node AS lm, min(h) AS h FROM f{level} WHERE node IN (SELECT node FROM lm{level}) AND node <> state GROUP BY state, node QUALIFY row_number() OVER (PARTITION BY state ORDER BY min(h), node) <= {k}), "
+        f"i{level} AS (SELECT state, lm, 1.0::DOUBLE / count(*) OVER (PARTITION BY state) AS p FROM n{level}), m{level} AS (SELECT a.lm AS src, b.lm AS dst, sum(a.p * b.p{by}) AS w FROM i{level} a JOIN i{level} b ON a.state = b.state {share} GROUP BY a.lm, b.lm), "
+        f"c{level} AS (SELECT src, dst, w / sum(w) OVER (PARTITION BY src) AS w FROM m{level}), v{level} AS (SELECT lm AS state, sum(p{by}) AS w FROM i{level} a {share} GROUP BY lm)"
+    )
+
+
+_LEVELS = w(UND, sql_coarse(1, "und", "pts", None, 3)) + ", und2 AS (SELECT src, dst FROM c1 WHERE src <> dst UNION SELECT dst, src FROM c1 WHERE src <> dst), s2 AS (SELECT DISTINCT src AS node FROM c1), " + sql_coarse(2, "und2", "s2", "v1", 2)
+_LEVELS += " SELECT * FROM (" + " UNION ALL ".join(f"SELECT {x} AS level, 'edge' AS part, src, dst, {R('w')} FROM c{x} UNION ALL SELECT {x}, 'weight', state, state, {R('w')} FROM v{x} WHERE state IN (SELECT src FROM c{x})" for x in (1, 2)) + ")"
+
+
+@query(_LEVELS)
 def h2_levels(spark, sf):
+    """Two levels by hops: their coarse transitions, and the weights that the next level counts its states with."""
+    first = H.build(points(spark, sf).select("node", "features"), S.Sampling("RANDOM", 0.1, SEED), C.Connecting("SL-BFS", k=3), k=K, directed=False)[0]
+    levels = [first, H.next_level(first, S.Sampling("RANDOM", 0.1, SEED), C.Connecting("SL-BFS", k=2))]
+    parts = [x.transition.select(F.lit(x.level).alias("level"), F.lit("edge").alias("part"), "src", "dst", "w") for x in levels]
+    parts += [x.coarse.weights.select(F.lit(x.level).alias("level"), F.lit("weight").alias("part"), F.col("state").alias("src"), F.col("state").alias("dst"), "w") for x in levels]
+    return tidy(reduce(DataFrame.unionByName, parts))
+
+
+@query(w(PTS, sql_random(), sql_random(0.1, "lm2", "lm")) + "SELECT 1 AS level, row_number() OVER (ORDER BY node) - 1 AS lm_idx, node FROM lm UNION ALL SELECT 2, row_number() OVER (ORDER BY node) - 1, node FROM lm2")
+def h4_landmarks(spark, sf):
     levels = H.build(points(spark, sf).select("node", "features"), S.Sampling("RANDOM", 0.1, SEED), C.Connecting("LL-BFS", k=3), levels=2, k=K, directed=False)
     return H.landmarks_of(levels)
 
@@ -507,6 +554,13 @@ def e5_level_embedding(spark, sf):
     return H.embed(level, p)
 
 
+@query()
+def e5_community_embedding(spark, sf):
+    p, e = points(spark, sf).select("node", "features"), und(spark, sf)
+    n = p.count()
+    return H.embed_communities(X.community_levels(e, lambda g, level: X.walktrap(g, n // 5), 1)[0], p)
+
+
 # Features.
 
 
@@ -552,19 +606,34 @@ def plane(spark, sf):
 PLANE = f"{PTS}, xy AS (SELECT node, f[1:2] AS f, label FROM pts)"
 
 
-@query(w(UND) + f", s AS (SELECT node FROM pts ORDER BY md5('{SEED}:' || node), node LIMIT 20), bfs(state, node, h) AS (SELECT node, node, 0 FROM s UNION SELECT state, dst, h + 1 FROM bfs JOIN und ON src = bfs.node WHERE h < 8), near AS (SELECT state, node, min(h) AS h FROM bfs GROUP BY ALL) SELECT state AS node, {R('sum(1.0 / h) / ((SELECT count(*) FROM pts) - 1)', 'value')} FROM near WHERE h > 0 GROUP BY state")
-def m1_harmonic(spark, sf):
-    return tidy(M.harmonic_centrality(und(spark, sf), M.sample_nodes(nodes(spark, sf), 20, SEED)))
+_HOPS = ", far(state, node, h) AS (SELECT node, node, 0 FROM pts UNION SELECT state, dst, h + 1 FROM far JOIN und ON src = far.node WHERE h < 10), dist AS MATERIALIZED (SELECT state, node, min(h) AS h FROM far GROUP BY ALL)"
 
 
-@query()
-def m1_harmonic_whole(spark, sf):
-    """Of all nodes; m1_harmonic has 20, as its SQL does."""
+@query(w(UND) + _HOPS + f" SELECT state AS node, {R('sum(1.0 / h) / ((SELECT count(*) FROM pts) - 1)', 'value')} FROM dist WHERE h > 0 GROUP BY state")
+def m1_harmonic(spark, sf):
     return tidy(M.harmonic_centrality(und(spark, sf), nodes(spark, sf)))
 
 
-@query()
+@query(w(UND) + _HOPS + f" SELECT state AS node, {R('sum(CASE WHEN h <= 2 THEN 1.0 / h ELSE 0 END) / ((SELECT count(*) FROM pts) - 1)', 'value')} FROM dist WHERE h > 0 GROUP BY state")
+def m1_harmonic_cutoff(spark, sf):
+    return tidy(M.harmonic_centrality(und(spark, sf), nodes(spark, sf), cutoff=2.0))
+
+
+_PATHS = (
+    ", ways(state, node, h, c) AS (SELECT node, node, 0, 1.0::DOUBLE FROM pts UNION ALL SELECT x.state, u.dst, x.h + 1, sum(x.c) FROM ways x JOIN und u ON u.src = x.node JOIN dist d ON d.state = x.state AND d.node = u.dst AND d.h = x.h + 1 GROUP BY x.state, u.dst, x.h), "
+    f"few AS (SELECT node FROM pts ORDER BY md5('{SEED}:' || node), node LIMIT 50)"
+)
+
+
+@query(w(UND) + _HOPS + _PATHS + f" SELECT few.node, {R('coalesce(sum(a.c * b.c / st.c), 0)', 'value')} FROM few LEFT JOIN ways a ON a.node = few.node AND a.h > 0 LEFT JOIN ways b ON b.state = few.node AND b.h > 0 LEFT JOIN ways st ON st.state = a.state AND st.node = b.node WHERE st.h = a.h + b.h GROUP BY few.node")
 def m2_betweenness(spark, sf):
+    """Of fifty sampled nodes, from paths between all pairs of nodes; hops are the lengths."""
+    return tidy(M.betweenness_centrality(und(spark, sf), M.sample_nodes(nodes(spark, sf), 50, SEED)))
+
+
+@query()
+def m2_betweenness_weighted(spark, sf):
+    """Of all nodes of the directed graph, with weights as lengths."""
     return tidy(M.betweenness_centrality(weighted(spark, sf), nodes(spark, sf)))
 
 
@@ -589,26 +658,37 @@ def m4_eigenvalues(spark, sf):
     return tidy(M.eigenvalues(G.walk_laplacian(t, nodes(spark, sf)), nodes(spark, sf), 20))
 
 
-def _spectra(spark, sf):
-    out = []
-    for name, col in (("supplier", "s_acctbal"), ("customer", "c_acctbal")):
-        t = table(spark, sf, name)
-        own = t.select(F.col(t.columns[0]).alias("k"), F.col(col).alias("value"))
-        out.append(numbered(own, "k", "rank").select("rank", "value"))
-    return out
+def _ring(spark, sf, name: str, col: str) -> tuple[DataFrame, DataFrame]:
+    """The walk Laplacian of a ring through a table's rows, and its nodes; its spectrum is known in closed form."""
+    own = checkpoint(numbered(table(spark, sf, name).select(F.col(col).cast("long").alias("k")), "k", "node").select("node"))
+    n = own.count()
+    step = lambda by: own.select(F.col("node").alias("src"), F.pmod(F.col("node") + by, F.lit(n)).alias("dst"), F.lit(0.5).alias("w"))
+    return G.walk_laplacian(step(1).unionByName(step(-1)), own), own
 
 
-_SPECTRA = "WITH a AS (SELECT row_number() OVER (ORDER BY s_suppkey) - 1 AS rank, s_acctbal AS value FROM supplier), b AS (SELECT row_number() OVER (ORDER BY c_custkey) - 1 AS rank, c_acctbal AS value FROM customer)"
+def _sql_ring(name: str, of: str, k: int) -> str:
+    return f"{name} AS (SELECT row_number() OVER (ORDER BY x) - 1 AS rank, x AS value FROM (SELECT 1 - cos(2 * pi() * i / n) AS x FROM (SELECT count(*) AS n FROM {of}) s, range((SELECT count(*) FROM {of})) r(i)) QUALIFY row_number() OVER (ORDER BY x) <= {k})"
 
 
-@query(_SPECTRA + ", x AS (SELECT row_number() OVER (ORDER BY value) AS r, value FROM a WHERE rank < 50), y AS (SELECT row_number() OVER (ORDER BY value) AS r, value FROM b WHERE rank < 50) SELECT round(sqrt(sum((x.value - y.value) * (x.value - y.value))), 4) + 0.0 AS value FROM x JOIN y USING (r)")
+@query("WITH " + _sql_ring("a", "embeddings", 20) + f" SELECT rank, {R('value')} FROM a")
+def m4_ring_eigenvalues(spark, sf):
+    return tidy(M.eigenvalues(*_ring(spark, sf, "embeddings", "vec_id"), 20))
+
+
+_RINGS = "WITH " + _sql_ring("a", "embeddings", 10) + ", " + _sql_ring("b", "supplier", 10)
+
+
+@query(_RINGS + " SELECT round(sqrt(sum((a.value - b.value) ** 2)), 6) + 0.0 AS value FROM a JOIN b USING (rank)")
 def m5_spectral_distance(spark, sf):
-    return tidy(M.spectral_distance(*_spectra(spark, sf), 50), digits=4)
+    a, b = (M.eigenvalues(*_ring(spark, sf, *x), 10) for x in (("embeddings", "vec_id"), ("supplier", "s_suppkey")))
+    return tidy(M.spectral_distance(a, b, 10))
 
 
-@query(_SPECTRA + f" SELECT {R('avg(abs(a.value - b.value) / (abs(b.value) + 1e-6))', 'value')} FROM a JOIN b USING (rank) WHERE rank < 50")
+@query(_RINGS + " SELECT round(avg(abs(a.value - b.value) / (abs(b.value) + 1e-6)), 6) + 0.0 AS value FROM a JOIN b USING (rank) WHERE rank > 0")
 def m6_relative_error(spark, sf):
-    return tidy(M.relative_eigenvalue_error(*_spectra(spark, sf), 50))
+    """Without the zero that every connected graph has, whose rounding would be divided by next to nothing."""
+    a, b = (M.eigenvalues(*_ring(spark, sf, *x), 10).where("rank > 0") for x in (("embeddings", "vec_id"), ("supplier", "s_suppkey")))
+    return tidy(M.relative_eigenvalue_error(a, b, 10))
 
 
 @query(w(PLANE, sql_knn("ka"), sql_knn("kb", K, "xy")) + f"SELECT {R('count(*) / (10.0 * (SELECT count(*) FROM pts))', 'value')} FROM ka JOIN kb ON ka.src = kb.src AND ka.dst = kb.dst")
@@ -657,15 +737,35 @@ def m12_label_distribution(spark, sf):
     return tidy(M.label_distribution(levels, p))
 
 
-@query(w(PTS) + ", " + ", ".join(f"s{s} AS (SELECT node, f FROM pts ORDER BY md5('{s}:' || node), node LIMIT (SELECT floor(0.1 * count(*))::BIGINT FROM pts)), {sql_knn(f'k{s}', 5, f's{s}')}" for s in range(3)) + " " + " UNION ALL ".join(f"SELECT {s} AS seed, src, dst, {R('d')} FROM k{s}" for s in range(3)))
-def m13_random_baseline(spark, sf):
+@query(w(PTS, sql_random()) + ", l AS (SELECT 1 AS level, node FROM lm UNION ALL SELECT 0, node FROM pts), c AS (SELECT level, label, count(*) AS n FROM l JOIN pts USING (node) GROUP BY ALL), e AS (SELECT level, label, coalesce(c.n, 0) AS n FROM (SELECT DISTINCT level FROM c) CROSS JOIN (SELECT DISTINCT label FROM c) LEFT JOIN c USING (level, label)) SELECT level, " + R("stddev_pop(n)", "std") + " FROM e GROUP BY level")
+def m12_label_spread(spark, sf):
+    p = points(spark, sf).select("node", "label")
+    levels = random_landmarks(spark, sf).select(F.lit(1).alias("level"), "node").unionByName(p.select(F.lit(0).alias("level"), "node"))
+    return tidy(M.label_spread(levels, p))
+
+
+def _sql_subset(seed: int, name: str, of: str) -> str:
+    return f"{name} AS (SELECT node, f FROM {of} ORDER BY md5('{seed}:' || node), node LIMIT (SELECT floor(0.1 * count(*))::BIGINT FROM {of}))"
+
+
+@query(
+    w(PTS, *(x for s in range(5) for x in (_sql_subset(s, f"s{s}", "pts"), _sql_subset(s, f"u{s}", f"s{s}"), sql_knn(f"k{s}", 3, f"s{s}"), sql_knn(f"l{s}", 3, f"u{s}"))))
+    + " UNION ALL ".join(f"SELECT {s} AS seed, {level} AS level, src, dst, {R('1.0 / count(*) OVER (PARTITION BY src)', 'w')} FROM {t}{s}" for s in range(5) for level, t in ((1, "k"), (2, "l")))
+)
+def m13_random_graphs(spark, sf):
+    """The graphs of the random baseline: five seeds, two nested levels, transitions of each subset's own neighbours."""
     p = points(spark, sf).select("node", "features")
-    out = None
-    for seed in range(3):
-        own = H.gather(S.Sampling("RANDOM", 0.1, seed).sample(None, p), p)
-        rows = G.knn(own, 5).select(F.lit(seed).alias("seed"), "src", "dst", "d")
-        out = rows if out is None else out.unionByName(rows)
-    return tidy(out)
+    out = []
+    for seed in range(5):
+        for level, own in enumerate(EX.random_subsets(p, seed, 0.1, 2), 1):
+            out.append(G.normalise(G.knn_graph(own, 3)).select(F.lit(seed).alias("seed"), F.lit(level).alias("level"), "src", "dst", "w"))
+    return tidy(reduce(DataFrame.unionByName, out))
+
+
+@query()
+def m13_random_baseline(spark, sf):
+    p = points(spark, sf)
+    return tidy(EX.random_baseline(p.select("node", "features"), p.select("node", "label"), seeds=(0,), share=0.3, directed=(False,), k=5, kinds=("embedding", "spectral")))
 
 
 @query('SELECT event_type AS metric, round(max(value), 6) + 0.0 AS "max", round(avg(value), 6) + 0.0 AS mean, round(min(value), 6) + 0.0 AS "min", round(stddev_samp(value), 6) + 0.0 AS std FROM events GROUP BY event_type')
@@ -673,19 +773,42 @@ def m14_report(spark, sf):
     return tidy(M.report(table(spark, sf, "events").select(F.col("event_type").alias("metric"), "value")))
 
 
-@query("WITH " + PTS + " " + " UNION ALL ".join(f"SELECT {s / 10}::DOUBLE AS reduction, count(*) AS n, {R('avg(label)', 'value')} FROM (SELECT label FROM pts ORDER BY md5('{SEED}:' || node), node LIMIT (SELECT floor({s / 10} * count(*))::BIGINT FROM pts))" for s in range(1, 6)))
+_REDUCTIONS = (0.5, 0.3, 0.1)
+
+
+def _sql_reduction(share: float) -> str:
+    n = int(share * 10)
+    own = f"h{n} AS (SELECT p.node, f, label FROM pts p JOIN deg USING (node) ORDER BY round(degree, 9) DESC, p.node LIMIT (SELECT floor({share} * count(*))::BIGINT FROM pts)), x{n} AS (SELECT node, f[1:2] AS f, label FROM h{n})"
+    dbi = f"z{n} AS (SELECT label, avg(f[1]) AS x, avg(f[2]) AS y FROM x{n} GROUP BY label), q{n} AS (SELECT z.label, any_value(z.x) AS x, any_value(z.y) AS y, avg(sqrt((f[1] - z.x) ** 2 + (f[2] - z.y) ** 2)) AS s FROM x{n} JOIN z{n} z USING (label) GROUP BY z.label), r{n} AS (SELECT max((a.s + b.s) / sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2)) AS r FROM q{n} a JOIN q{n} b ON a.label <> b.label GROUP BY a.label)"
+    return f"{own}, {sql_knn(f'a{n}', 5, f'h{n}')}, {sql_knn(f'b{n}', 5, f'x{n}')}, {dbi}"
+
+
+@query(
+    w(DEGREE, *(_sql_reduction(s) for s in _REDUCTIONS))
+    + " UNION ALL ".join(
+        f"SELECT {s}::DOUBLE AS reduction, 'kNN-acc' AS metric, {R(f'count(*) / (5.0 * (SELECT count(*) FROM h{int(s * 10)}))', 'value')} FROM a{int(s * 10)} a JOIN b{int(s * 10)} b ON a.src = b.src AND a.dst = b.dst UNION ALL SELECT {s}::DOUBLE, 'dbi', {R('avg(r)', 'value')} FROM r{int(s * 10)}" for s in _REDUCTIONS
+    )
+)
 def m15_reduction_sweep(spark, sf):
-    p, out = points(spark, sf).select("node", "label"), None
-    for s in range(1, 6):
-        row = p.join(S.Sampling("RANDOM", s / 10, SEED).sample(None, p), "node").agg(F.count("*").alias("n"), F.avg("label").alias("value")).select(F.lit(s / 10).alias("reduction"), "n", "value")
-        out = row if out is None else out.unionByName(row)
-    return tidy(out)
+    """Levels of several reductions; their points' first two dimensions stand for the embedding that is measured."""
+    p = points(spark, sf)
+    place = lambda level, own: H.gather(level.landmarks, own).select("node", F.element_at("features", 1).alias("x"), F.element_at("features", 2).alias("y"))
+    out = EX.sweep(p.select("node", "features"), p.select("node", "label"), [C.Connecting("LL-BFS", k=3)], _REDUCTIONS, k=K, kinds=("embedding",), place=place, measured=5)
+    return tidy(out.where(F.col("metric").isin("kNN-acc", "dbi")).select("reduction", "metric", "value"))
+
+
+@query()
+def m15_connector_sweep(spark, sf):
+    """Two connectors over two levels, noise and without, with their t-SNE embeddings and spectra."""
+    p = points(spark, sf)
+    return tidy(EX.sweep(p.select("node", "features"), p.select("node", "label"), [C.Connecting("SL-BFS", k=5), C.Connecting("CON")], (0.3,), (0.0, 0.2), levels=2, k=5, kinds=("embedding", "spectral")))
 
 
-@query("SELECT c_custkey AS node, c_nationkey::BIGINT AS cluster FROM customer")
+@query("SELECT c_nationkey::BIGINT AS cluster, string_agg(c_custkey::VARCHAR, ',' ORDER BY c_custkey) AS nodes FROM customer GROUP BY c_nationkey")
 def u1_cluster_lists(spark, sf):
     clusters = table(spark, sf, "customer").select(F.col("c_custkey").alias("node"), F.col("c_nationkey").cast("long").alias("cluster"))
-    return feats.lists_to_clusters(feats.clusters_to_lists(clusters))
+    lists = feats.clusters_to_lists(feats.lists_to_clusters(feats.clusters_to_lists(clusters)))
+    return lists.select("cluster", F.array_join(F.transform("nodes", lambda x: x.cast("string")), ",").alias("nodes"))
 
 
 @query(w(UND) + "SELECT round(a.f[1], 6) + 0.0 AS x1, round(a.f[2], 6) + 0.0 AS y1, round(b.f[1], 6) + 0.0 AS x2, round(b.f[2], 6) + 0.0 AS y2, w FROM und JOIN pts a ON a.node = src JOIN pts b ON b.node = dst WHERE src < dst")

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from ..functions.features import tfidf
 from ..functions.hashing import normal, uniform
+from ..functions.session import numbered
 
 DATASETS: dict[str, Callable] = {}
 POINTS = "node long, features array<double>, label double"
@@ -137,8 +138,9 @@ def cifar(spark: SparkSession, directory: str) -> DataFrame:
 
 
 @dataset("TASIC")
-def tasic(spark: SparkSession, points: str, types: str, colors: str) -> DataFrame:
-    """Three .npy files; also the class name, its code among the sorted names and its first colour."""
+def tasic(spark: SparkSession, directory: str | None = None, points: str = "tasic-pca50.npy", types: str = "tasic-ttypes.npy", colors: str = "tasic-colors.npy") -> DataFrame:
+    """Three .npy files, of a directory if it is named; also the class name, its code among the sorted names and its first colour."""
+    points, types, colors = (f"{directory}/{x}" if directory else x for x in (points, types, colors))
 
     def run(batches):
         for b in batches:
@@ -155,9 +157,32 @@ def tasic(spark: SparkSession, points: str, types: str, colors: str) -> DataFram
 
 
 @dataset("20NEWSGROUP")
-def newsgroups(spark: SparkSession, documents: str) -> DataFrame:
-    """(doc, term, weight): TF-IDF of a Parquet table (doc_id, text)."""
-    return tfidf(spark.read.parquet(documents).select(F.col("doc_id").alias("doc"), "text"))
+def newsgroups(spark: SparkSession, directory: str, dims: int = 1024) -> DataFrame:
+    """(node, features, label, type) of text files in a folder for each group, numbered by path; labels by sorted group.
+
+    features: TF-IDF weights added up, with a sign, in ``dims`` places that the terms' hashes name;
+    products of documents keep their values on average. ``newsgroup_terms`` has the terms themselves.
+    """
+    docs = _posts(spark, directory)
+    place = F.xxhash64("term")
+    cells = newsgroup_terms(spark, directory).groupBy(F.col("doc").alias("node"), F.pmod(place, F.lit(dims)).cast("int").alias("i")).agg(F.sum(F.when(F.shiftright(place, 40) % 2 == 0, F.col("weight")).otherwise(-F.col("weight"))).alias("x"))
+    held = cells.groupBy("node").agg(F.map_from_entries(F.collect_list(F.struct("i", "x"))).alias("m"))
+    zeros = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)))
+    features = F.when(F.col("m").isNull(), F.array_repeat(F.lit(0.0), dims)).otherwise(zeros)
+    return docs.join(held, "node", "left").select("node", features.alias("features"), "label", "type")
+
+
+def newsgroup_terms(spark: SparkSession, directory: str) -> DataFrame:
+    """(doc, term, weight): the sparse TF-IDF of the same documents."""
+    return tfidf(_posts(spark, directory).select(F.col("node").alias("doc"), "text"))
+
+
+def _posts(spark: SparkSession, directory: str) -> DataFrame:
+    """(node, text, label, type) of directory/group/file; bytes are read as Latin-1, as posts have no common encoding."""
+    files = spark.read.format("binaryFile").load(f"{directory}/*/*").select("path", F.decode("content", F.lit("ISO-8859-1")).alias("text"))
+    files = numbered(files, "path", "node").withColumn("type", F.element_at(F.split("path", "/"), -2))
+    groups = files.select("type").distinct()
+    return files.join(F.broadcast(numbered(groups, "type", "label")), "type").select("node", "text", F.col("label").cast("double").alias("label"), "type")
 
 
 @dataset("SWISSROLL")
@@ -170,10 +195,10 @@ def swissroll(spark: SparkSession, n_circles: float = 2.5, n: int = 5000, noise:
     return rows.select("node", F.array(*[c + s for c, s in zip(xyz, shake, strict=True)]).alias("features"), F.col("t").alias("label"))
 
 
-def _helix(spark: SparkSession, n: int) -> DataFrame:
-    """(strand, i, t, x, y, z) of two strands with n points each, t in [0, 4 pi]."""
+def _helix(spark: SparkSession, n: int, n_circles: int = 2) -> DataFrame:
+    """(strand, i, t, x, y, z) of two strands with n points each, t in [0, 2 pi n_circles]."""
     i = spark.range(n).withColumnRenamed("id", "i")
-    rows = i.select("i", (F.col("i") * (4 * pi) / max(n - 1, 1)).alias("t"), F.explode(F.sequence(F.lit(0), F.lit(1))).alias("strand"))
+    rows = i.select("i", (F.col("i") * (2 * pi * n_circles) / max(n - 1, 1)).alias("t"), F.explode(F.sequence(F.lit(0), F.lit(1))).alias("strand"))
     angle = F.col("t") + F.col("strand") * pi
     return rows.select("strand", "i", "t", F.cos(angle).alias("x"), F.sin(angle).alias("y"), F.col("t").alias("z"))
 
@@ -188,7 +213,7 @@ def dna(spark: SparkSession, num_points: int = 12000, n_per_strand: int = 800, n
     """Two strands and straight rungs between them; z is scaled to end 1 above its start at -1."""
     rungs = n_circles * n_connections_per_circle
     side = (num_points - rungs * n_per_strand) // 2
-    helix = _helix(spark, side)
+    helix = _helix(spark, side, n_circles)
     strands = helix.select((F.col("strand") * side + F.col("i")).alias("node"), "x", "y", "z", F.col("t").alias("label"))
     at = [round(k * (side - 1) / max(rungs - 1, 1)) for k in range(rungs)]
     marks = spark.createDataFrame(list(enumerate(at)), "rung long, i long")
@@ -198,7 +223,7 @@ def dna(spark: SparkSession, num_points: int = 12000, n_per_strand: int = 800, n
     line = a.join(b, "rung").withColumn("j", steps).withColumn("f", F.col("j") / max(n_per_strand - 1, 1))
     rows = line.select((2 * side + F.col("rung") * n_per_strand + F.col("j")).alias("node"), *[(F.col(f"{c}0") + F.col("f") * (F.col(f"{c}1") - F.col(f"{c}0"))).alias(c) for c in "xyz"], F.col("t0").alias("label"))
     every = strands.unionByName(rows)
-    top, low = 4 * pi, 0.0
+    top, low = 2 * pi * n_circles, 0.0
     return every.select("node", F.array("x", "y", F.col("z") * 2 / top - low - 1).alias("features"), "label")
 
 

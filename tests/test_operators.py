@@ -7,8 +7,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from stratagraph.operators import communities as X
 from stratagraph.operators import connecting as C
 from stratagraph.operators import embedding as E
+from stratagraph.operators import experiments as EX
 from stratagraph.operators import graph as G
 from stratagraph.operators import hierarchy as H
 from stratagraph.operators import metrics as M
@@ -93,9 +95,9 @@ def test_triangles(spark, triangles):
     assert as_dict(con.transition) == {(0, 5): 1, (5, 0): 1}
     rw = C.Connecting("CLUSTERRW", n_walks=5).connect(triangles, nodes(spark, [0, 5]))
     assert as_dict(rw.transition) == {(0, 5): 1, (5, 0): 1}
-    for found in (C.walktrap(triangles, 2), C.leiden(triangles)):
+    for found in (X.walktrap(triangles, 2), X.leiden(triangles)):
         assert {r["node"]: r["cluster"] for r in found.collect()} == {0: 0, 1: 0, 2: 0, 3: 3, 4: 3, 5: 3}
-    assert C.local_variation(triangles, 0.5).select("cluster").distinct().count() == 3
+    assert X.local_variation(triangles, 0.5).select("cluster").distinct().count() == 3
 
 
 def test_star_and_samplers(spark):
@@ -231,7 +233,9 @@ def test_tsne_separates_clusters(spark):
     for x in levels:
         rows = x.transition.groupBy("src").agg(F.sum("w").alias("s")).collect()
         assert all(abs(q["s"] - 1) < 1e-9 for q in rows)
-    got = H.embed(levels[0], p, steps=150, exaggerated=60).collect()
+    got = H.embed(levels[0], p, steps=150, early_exaggeration=True, early_steps=60, trace=30).collect()
+    costs = got[0]["costs"]
+    assert len(costs) == 7 and costs[-1] == got[0]["cost"] < costs[2]
     xy = np.array([(q["x"], q["y"]) for q in got])
     side = np.array([q["node"] >= 40 for q in got])
     gap = np.linalg.norm(xy[side].mean(0) - xy[~side].mean(0))
@@ -243,6 +247,166 @@ def test_tsne_separates_clusters(spark):
     assert abs(one.std() - 1e-4) < 1e-9
 
 
+def test_repulsion_through_a_grid():
+    """Fields of the grid are those of all pairs, nearly; and a level embeds beyond the points whose pairs are met."""
+    r = np.random.default_rng(4)
+    for scale, share in ((1e-3, 1e-6), (1.0, 1e-2), (8.0, 0.12)):
+        y = r.normal(size=(900, 2)) * scale
+        (a, z), (b, z2) = E._repulsion(y), E._interpolated_repulsion(y)
+        assert abs(z - z2) < 0.02 * z and np.abs(a - b).max() <= max(share * np.abs(a).max(), 1e-9)
+        plain = 1 / (1 + ((y[:, None] - y[None]) ** 2).sum(2))
+        assert abs(plain.sum() - len(y) - z) < 1e-6 * z
+
+
+def test_embedding_by_a_grid_separates_clusters(spark):
+    r = np.random.default_rng(1)
+    p = points(spark, np.concatenate([r.normal(size=(150, 3)), 12 + r.normal(size=(150, 3))]))
+    t = G.normalise(G.knn_graph(p, 8, directed=False))
+    got = E.tsne(E.affinity(t, 300), E.principal_components(p), steps=200, exact=100).collect()
+    xy, side = np.array([(q["x"], q["y"]) for q in got]), np.array([q["node"] >= 150 for q in got])
+    near = ((xy[:, None] - xy[None]) ** 2).sum(2)
+    np.fill_diagonal(near, np.inf)
+    assert (side[near.argmin(1)] == side).mean() > 0.97
+    with pytest.raises(ValueError):
+        E.tsne(E.affinity(t, 300), E.principal_components(p), most=299)
+
+
+def test_absorption_direct_and_iterative(spark):
+    """Both ways agree, also where walks can leak to where no landmark is; a slow chain cut short raises."""
+    r = np.random.default_rng(7)
+    t = G.normalise(edges(spark, {(int(a), int(b)): 1 for a, b in r.integers(0, 25, (70, 2)) if a != b} | {(3, 40): 1, (40, 41): 1, (41, 40): 1}))
+    marks = nodes(spark, [1, 2, 5])
+    found = [{(x["state"], x["lm"]): x["p"] for x in C.absorption(t, marks, solver=s, tolerance=1e-12).collect()} for s in ("direct", "iterative")]
+    assert found[0].keys() == found[1].keys() and all(abs(found[0][k] - found[1][k]) < 1e-9 for k in found[0])
+    assert not any(s in (40, 41) for s, _ in found[0])
+    slow = edges(spark, [(k, k + 1) for k in range(30)], both=True)
+    with pytest.raises(RuntimeError):
+        C.absorption(G.normalise(slow), nodes(spark, [0]), steps=12, solver="iterative")
+    with pytest.raises(ValueError):
+        C.absorption(t, marks, solver="other")
+    plain = C.Connecting("EXACT").connect(edges(spark, [(0, 1), (1, 0), (5, 1)]), nodes(spark, [0, 9]))
+    assert {x["node"] for x in plain.landmarks.collect()} == {0, 9}  # landmarks that nothing leads to are kept
+
+
+def test_searches_with_a_node_limit(spark, path):
+    lm = nodes(spark, [0, 3])
+    got = {(r["state"], r["lm"]): r["h"] for r in C.hops(path, nodes(spark, range(4)), lm, 2, max_nodes=3).collect()}
+    assert got == {(1, 0): 1, (2, 3): 1}
+    assert C.hops(path, nodes(spark, range(4)), lm, 2, max_nodes=1).count() == 0
+
+
+def test_clusters_follow_weights_and_both_directions(spark):
+    e = edges(spark, [(0, 2, 1), (1, 2, 5), (4, 0, 1)])
+    seeds = nodes(spark, [0, 1])
+    for order, want in (("asc", 0), ("desc", 1)):
+        got = {r["node"]: r["cluster"] for r in C.grow_clusters(e, seeds, 3, order=order).collect()}
+        assert got == {0: 0, 1: 1, 2: want, 4: 0}
+    assert {r["node"] for r in C.grow_clusters(e, seeds, 3, mode="out").collect()} == {0, 1, 2}
+    own, marks = C.cover_clusters(edges(spark, [(0, 1), (2, 0), (7, 8), (8, 9)]), nodes(spark, [0]), 3)
+    assert {r["node"]: r["cluster"] for r in own.collect()} == {0: 0, 1: 0, 2: 0, 7: 7, 8: 7, 9: 7}
+    assert {r["node"] for r in marks.collect()} == {0, 7}
+    rw = C.Connecting("CLUSTERRW", n_walks=5).connect(edges(spark, [(0, 1), (1, 2), (7, 8), (8, 7)]), nodes(spark, [0]))
+    assert {r["node"] for r in rw.landmarks.collect()} == {0, 7}
+
+
+def test_betweenness_of_a_sample_is_of_all_paths(spark):
+    line = edges(spark, [(k, k + 1) for k in range(4)], both=True)
+    got = lambda **o: {r["node"]: r["value"] for r in M.betweenness_centrality(line, nodes(spark, [2]), directed=False, **o).collect()}
+    assert got() == {2: 4.0} and got(cutoff=2.0) == {2: 1.0}
+    assert got(sources=nodes(spark, [0])) == {2: 5.0}
+    assert {r["node"]: r["value"] for r in M.harmonic_centrality(line, nodes(spark, [0, 2]), cutoff=1.0).collect()} == {0: 0.25, 2: 0.5}
+
+
+def test_small_metrics(spark):
+    p = points(spark, [[0.0, 0], [1, 0]])
+    assert M.trustworthiness(p, p, 5).first()["value"] == 1.0
+    one, two = (spark.createDataFrame([(float(x),) for x in v], "value double") for v in ((0, 1, 2, 9), (3, 3.5, 4, 12)))
+    apart, shared = (M.histogram_divergence(one, two, shared_bins=s).first()["value"] for s in (False, True))
+    p, q = (np.clip(np.histogram(v, 4, (0, 12), density=True)[0], 1e-10, None) for v in ((0, 1, 2, 9), (3, 3.5, 4, 12)))
+    assert abs(shared - (p / p.sum() * np.log(p / p.sum() * q.sum() / q)).sum()) < 1e-9 and apart != shared
+
+
+def test_trustworthiness_and_silhouettes_against_numpy(spark, monkeypatch):
+    """With ties, repeated points, and points dealt to several blocks."""
+    monkeypatch.setattr(M, "BLOCK", 16)
+    r = np.random.default_rng(9)
+    x, y, label = r.integers(0, 3, (50, 3)).astype(float), r.normal(size=(50, 2)).round(1), r.integers(0, 3, 50)
+    dx, dy = (np.sqrt(((a[:, None] - a[None]) ** 2).sum(2)) for a in (x, y))
+    excess = 0
+    for i in range(50):
+        other = np.delete(np.arange(50), i)
+        rank = {int(j): k + 1 for k, j in enumerate(other[np.lexsort((other, dx[i][other]))])}
+        excess += sum(max(rank[int(j)] - 5, 0) for j in other[np.lexsort((other, dy[i][other]))][:5])
+    want = 1 - 2 / (50 * 5 * (2 * 50 - 16)) * excess
+    assert abs(M.trustworthiness(points(spark, x), points(spark, y), 5).first()["value"] - want) < 1e-9
+    labels = spark.createDataFrame([(i, int(c)) for i, c in enumerate(label)], "node long, label int")
+    got = {q["node"]: q["s"] for q in M.silhouette_samples(points(spark, y), labels).collect()}
+    for i in range(50):
+        a = dy[i][(label == label[i]) & (np.arange(50) != i)].mean()
+        b = min(dy[i][label == c].mean() for c in set(label.tolist()) - {int(label[i])})
+        assert abs(got[i] - (b - a) / max(a, b)) < 1e-9
+
+
+def test_near_neighbours_among_cells(spark):
+    r = np.random.default_rng(3)
+    x = np.concatenate([c + r.normal(size=(150, 4)) for c in 6 * r.normal(size=(10, 4))] + [np.zeros((200, 4))])
+    p = points(spark, x)
+    want, got = pairs_of(G.knn(p.where("node < 1500"), 5)), pairs_of(G.knn_near(p, 5, probes=4, cell=50).where("src < 1500 and dst < 1500"))
+    assert len(want & got) > 0.95 * len(want)
+    assert G.knn_near(p, 5, probes=4, cell=50).groupBy("src").count().where("count = 5").count() == 1700
+
+
+def test_communities_of_levels(spark, triangles):
+    levels = X.community_levels(triangles, lambda g, level: X.walktrap(g, 2), 1)
+    assert as_dict(levels[0].transition) == {(0, 3): 1, (3, 0): 1}
+    r = np.random.default_rng(2)
+    p = points(spark, np.concatenate([r.normal(size=(30, 2)) + 30 * k for k in range(4)]))
+    e = G.knn_graph(p, 4, directed=False)
+    two = X.community_levels(e, lambda g, level: X.local_variation(g, 0.5, method="neighborhood"), 2)
+    assert {q["node"] // 30 == q["cluster"] // 30 for q in two[0].clusters.collect()} == {True}
+    assert two[1].members.count() < two[0].members.count() <= 60 and {q["node"] for q in two[1].members.collect()} <= set(range(120))
+    assert {q["cluster"] for q in two[1].members.collect()} >= {q["src"] for q in two[1].transition.collect()}
+
+
+def test_sparse_baselines_beyond_dense_ones(spark, monkeypatch):
+    """Sketched walks and iterated vectors keep well separated groups apart, as the dense ones do."""
+    monkeypatch.setattr(X, "EXACT_NODES", 0)
+    r = np.random.default_rng(2)
+    p = points(spark, np.concatenate([r.normal(size=(40, 2)) + 30 * k for k in range(3)]))
+    e = G.knn_graph(p, 6, directed=False)
+    for clusters in (X.walktrap(e, 6), X.local_variation(e, 0.5)):
+        assert {q["node"] // 40 == q["cluster"] // 40 for q in clusters.collect()} == {True}
+
+
+def test_levels_meet_their_connectors_graph(spark):
+    r = np.random.default_rng(5)
+    p = points(spark, r.normal(size=(60, 3)))
+    levels = H.build(p, S.Sampling("RANDOM", 0.4), C.Connecting("CON"), levels=2, k=4, directed=False, weighted=True)
+    assert levels[0].coarse.adjacency is not None
+    seen = H.connected_graph("CON", levels[0].transition, levels[0].coarse.adjacency, False, True)
+    a = as_dict(seen)
+    assert {(d, s) for s, d in a} == set(a)
+    rows = {}
+    for (s, _), w in a.items():
+        rows[s] = rows.get(s, 0) + w * w
+    assert all(abs(x - 1) < 1e-6 for x in rows.values())
+    asym = edges(spark, [(0, 1, 0.25), (1, 0, 0.75), (1, 2, 1)])
+    assert as_dict(H.connected_graph("SL-BFS", asym, asym, False, False)) == {(0, 1): 1, (1, 0): 1, (1, 2): 1, (2, 1): 1}
+    assert H.connected_graph("EXACT", asym, asym, False, True) is asym
+    assert [tuple(q)[0] for q in H.describe(levels).orderBy("level").collect()] == [1, 2]
+
+
+def test_sweeps(spark):
+    r = np.random.default_rng(5)
+    p = points(spark, np.concatenate([r.normal(size=(40, 3)), 7 + r.normal(size=(40, 3))]))
+    labels = spark.createDataFrame([(i, i // 40) for i in range(80)], "node long, label int")
+    got = EX.sweep(p, labels, [C.Connecting("LL-BFS", k=3)], (0.5, 0.4), (0.0, 0.1), k=4, kinds=("embedding", "spectral", "graph")).collect()
+    assert len(got) == 4 * 8 and {(q["reduction"], q["noise"]) for q in got} == {(a, b) for a in (0.5, 0.4) for b in (0.0, 0.1)}
+    assert all(q["value"] is not None and math.isfinite(q["value"]) for q in got)
+    base = EX.random_baseline(p, labels, seeds=(0, 1), share=0.5, k=4, kinds=("graph",)).collect()
+    assert len(base) == 2 * 2 * 2 * 2
+
+
 def test_weighted_next_level(spark, path):
     w = spark.createDataFrame([(i, float(i + 1)) for i in range(4)], "state long, w double")
     c = C.Connecting("SL-BFS", k=2).connect(path, nodes(spark, [0, 3]), w)

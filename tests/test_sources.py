@@ -1,3 +1,4 @@
+import inspect
 import io
 import pickle
 import struct
@@ -70,6 +71,38 @@ def test_command_line(spark, tmp_path, monkeypatch):
     assert {r["level"] for r in got} == {1, 2}
 
 
+def test_command_line_choices(spark, tmp_path, monkeypatch):
+    """Datasets of files load from a directory, weights reach the graphs, and every choice has what it needs."""
+    np.save(tmp_path / "tasic-pca50.npy", np.random.default_rng(0).normal(size=(40, 3)))
+    np.save(tmp_path / "tasic-ttypes.npy", np.array(["a", "b"] * 20))
+    np.save(tmp_path / "tasic-colors.npy", np.array(["red", "blue"] * 20))
+    for group in ("alt.x", "sci.y"):
+        (tmp_path / "news" / group).mkdir(parents=True)
+        for k in range(12):
+            (tmp_path / "news" / group / f"{k}").write_bytes(f"post {k} of {group} with words{k % 5} caf\xe9".encode("latin-1"))
+    seen, plain = [], cli.build
+    monkeypatch.setattr(cli, "build", lambda *a: (seen.append(a[5:]), plain(*a))[1])
+    for name, directory in (("TASIC", tmp_path), ("20NEWSGROUP", tmp_path / "news")):
+        cli.run(spark, ["--dataset", name, "--directory", str(directory), "--connection", "LL-BFS", "--output", str(tmp_path / f"out-{name}"), "--k", "3", "--reduction", "0.5"])
+        assert D.load_levels(spark, str(tmp_path / f"out-{name}"), "embedding").count() > 5
+    assert seen == [(False, True)] * 2
+    news = D.load_dataset(spark, "20NEWSGROUP", directory=str(tmp_path / "news"), dims=64).orderBy("node").collect()
+    assert [r["label"] for r in news] == [0.0] * 12 + [1.0] * 12 and all(len(r["features"]) == 64 for r in news)
+    given = {"directory"}
+    for name in set(D.DATASETS) - {"GAUSSIANS"}:
+        need = {k for k, p in inspect.signature(D.DATASETS[name]).parameters.items() if p.default is inspect.Parameter.empty} - {"spark"}
+        assert need <= given
+
+
+def test_dna_of_several_circles(spark):
+    rows = D.load_dataset(spark, "DNA", num_points=500, n_per_strand=10, n_circles=3).orderBy("node").collect()
+    x = np.array([r["features"] for r in rows])
+    side = (500 - 18 * 10) // 2
+    t = np.linspace(0, 6 * np.pi, side)
+    assert np.allclose(x[:side], np.stack([np.cos(t), np.sin(t), 2 * t / (6 * np.pi) - 1], 1)) and len(rows) == 2 * side + 180
+    assert np.isclose(rows[side - 1]["label"], 6 * np.pi)
+
+
 def test_stream_of_edges(spark, tmp_path):
     source = str(tmp_path / "in")
     spark.createDataFrame([(0, 1, 1.0), (0, 1, 3.0)], "src long, dst long, w double").coalesce(1).write.parquet(source)

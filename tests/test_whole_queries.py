@@ -45,10 +45,10 @@ def dense(rows, left, right):
 def test_absorption_is_the_linear_solve(spark, sf, graph):
     marks = np.array(sorted(r["node"] for r in QUERIES["l1_random"](spark, sf).collect()))
     marks, want = solved(*graph, marks)
-    got = dense(QUERIES["c8_absorption_whole"](spark, sf).select("state", "lm", "p"), graph[0], marks)
+    got = dense(QUERIES["c8_absorption"](spark, sf).select("state", "lm", "p"), graph[0], marks)
     assert np.allclose(got, want, atol=2e-6) and np.allclose(got.sum(1), 1, atol=1e-4)
     gram = want.T @ want
-    got = dense(QUERIES["c8_exact_whole"](spark, sf).select("src", "dst", "w"), marks, marks)
+    got = dense(QUERIES["c8_exact"](spark, sf).select("src", "dst", "w"), marks, marks)
     assert np.allclose(got, gram / gram.sum(1, keepdims=True), atol=2e-6)
 
 
@@ -84,12 +84,12 @@ def test_walks_are_the_plain_walks(spark, sf, graph):
     held = set(marks)
     want = walked(ids, t, marks, lambda s, e: e in held and e != s)
     assert len(want) == 100 * len(marks) and max(x[3] for x in want) > 12
-    assert {tuple(r) for r in QUERIES["c5_walks_whole"](spark, sf).collect()} == set(want)
-    got = dense(QUERIES["c6_landmark_walks_whole"](spark, sf).select("src", "dst", "w"), marks, marks)
+    assert {tuple(r) for r in QUERIES["c5_walks"](spark, sf).collect()} == set(want)
+    got = dense(QUERIES["c6_landmark_walks"](spark, sf).select("src", "dst", "w"), marks, marks)
     assert np.allclose(got, rates(want, marks, marks), atol=2e-6)
     x = rates(walked(ids, t, ids, lambda s, e: e in held), ids, marks)
     gram = x.T @ x
-    got = dense(QUERIES["c7_state_walks_whole"](spark, sf).select("src", "dst", "w"), marks, marks)
+    got = dense(QUERIES["c7_state_walks"](spark, sf).select("src", "dst", "w"), marks, marks)
     assert np.allclose(got, gram / gram.sum(1, keepdims=True), atol=2e-6)
 
 
@@ -97,7 +97,7 @@ def test_cluster_walks_are_the_plain_walks(spark, sf, graph):
     own = {r["node"]: r["cluster"] for r in QUERIES["c9_grow_clusters"](spark, sf).collect()}
     names = np.unique(list(own.values()))
     want = rates(walked(*graph, sorted(own), lambda s, e: own[e] != own[s]), names, names, own.get)
-    got = dense(QUERIES["c10_cluster_walks_whole"](spark, sf).select("src", "dst", "w"), names, names)
+    got = dense(QUERIES["c10_cluster_walks"](spark, sf).select("src", "dst", "w"), names, names)
     assert np.allclose(got, want, atol=2e-6)
 
 
@@ -108,7 +108,7 @@ def test_most_visited_nodes_by_the_plain_distribution(spark, sf, graph):
     high = np.cumsum(w / w.sum())
     hits = np.bincount(np.searchsorted(high, [uniform(42, i) for i in range(100 * len(ids))], "right"), minlength=len(ids))
     most = sorted(zip(-hits, ids[order], strict=True))[: len(ids) // 10]
-    assert sorted(r["node"] for r in QUERIES["l3_random_walks_whole"](spark, sf).collect()) == sorted(n for _, n in most)
+    assert sorted(r["node"] for r in QUERIES["l3_random_walks"](spark, sf).collect()) == sorted(n for _, n in most)
 
 
 def shortest(a):
@@ -123,14 +123,14 @@ def test_centralities_have_all_nodes(spark, sf, graph):
     ids, t = graph
     d = shortest(np.where(t > 0, 1.0, np.inf))
     want = np.where(d > 0, 1 / np.where(d > 0, d, 1), 0).sum(0) / (len(ids) - 1)
-    got = dict(QUERIES["m1_harmonic_whole"](spark, sf).select("node", "value").collect())
+    got = dict(QUERIES["m1_harmonic"](spark, sf).select("node", "value").collect())
     assert sorted(got) == ids.tolist() and np.allclose([got[i] for i in ids], want, atol=2e-6)
     e = QUERIES["g1_knn"](spark, sf).toPandas()
     a = np.full((len(ids), len(ids)), np.inf)
     a[np.searchsorted(ids, e.src), np.searchsorted(ids, e.dst)] = 1 / (1 + e.d)
     d = shortest(a)
     want = [sum((d[:, v : v + 1] + d[v] <= d + 1e-9)[np.ix_(o, o)][np.isfinite(d[np.ix_(o, o)]) & ~np.eye(len(o), dtype=bool)].sum() for o in [np.delete(np.arange(len(ids)), v)]) for v in range(len(ids))]
-    got = dict(QUERIES["m2_betweenness"](spark, sf).select("node", "value").collect())
+    got = dict(QUERIES["m2_betweenness_weighted"](spark, sf).select("node", "value").collect())
     assert np.abs(np.array([got[i] for i in ids]) - want).max() <= 2 and sum(want) > 1000
 
 
@@ -138,6 +138,6 @@ def test_metric_bundles_take_all_nodes(spark, sf, monkeypatch):
     from stratagraph.operators import metrics
 
     sources, plain = [], metrics.harmonic_centrality
-    monkeypatch.setattr(metrics, "harmonic_centrality", lambda g, s: (sources.append(s.count()), plain(g, s))[1])
+    monkeypatch.setattr(metrics, "harmonic_centrality", lambda g, s: (sources.append(s.count()), plain(g, s))[1])
     assert QUERIES["m11_metric_bundles"](spark, sf).count() > 0
     assert sources[0] == 80
