@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,7 +35,10 @@ def checkpoint_dir(spark: SparkSession) -> None:
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
-    sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", "/tmp/checkpoints"))
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None and not sc.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    sc.setCheckpointDir(folder or "/tmp/checkpoints")
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
@@ -42,16 +47,25 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def remove(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder of the shared file system."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def forget(df: DataFrame) -> None:
-    """Removes the copy that ``checkpoint`` made, once nothing will read it again; of another frame, nothing."""
+    """Removes the copy that ``checkpoint`` made, once nothing will read it again; of another frame, nothing.
+
+    The driver's collector runs too: it tells Spark which shuffles of earlier steps can be removed.
+    """
     plan = df._jdf.queryExecution().analyzed()
     if plan.getClass().getSimpleName() != "LogicalRDD":
         return
     file = plan.rdd().getCheckpointFile()
     if file.isDefined():
-        spark = df.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(file.get())
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        remove(df.sparkSession, file.get())
+        gc.collect()
+        df.sparkSession._jvm.System.gc()
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

@@ -1,7 +1,7 @@
 """Connected components of an edge table, by alternating large and small stars.
 
-A star's least neighbour is found and given back by parts of the star (``PARTS`` of a hub's
-neighbours at most), so no task holds or joins all the edges of a hub.
+What a key's rows have in common is found and given back by parts of the rows (``PARTS`` of a key
+at most), so no task holds or joins all the edges of a hub.
 
 Defined cases: self loops are dropped (a node met only in those has no row), repeated edges count
 once, edges with a null end are dropped, other columns are ignored, no edges give no rows.
@@ -9,7 +9,7 @@ once, edges with a null end are dropped, other columns are ignored, no edges giv
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpoint, forget
@@ -17,20 +17,24 @@ from .common import checkpoint, forget
 PARTS = 256
 
 
+def with_least(rows: DataFrame, key: str, value: Column, spread: str, name: str) -> tuple[DataFrame, DataFrame]:
+    """The rows with the least value of their key, and (key, name) of all keys; a key's rows are dealt out by ``spread``."""
+    dealt = rows.withColumn("__part", F.pmod(F.xxhash64(spread), F.lit(PARTS)).cast("int")).repartition(key, "__part")
+    by_part = dealt.groupBy(key, "__part").agg(F.min(value).alias(name))
+    least = by_part.groupBy(key).agg(F.min(name).alias(name), F.collect_set("__part").alias("__parts"))
+    back = least.select(key, name, F.explode("__parts").alias("__part"))
+    return dealt.join(back, [key, "__part"]).drop("__part"), least.select(key, name)
+
+
 def _stars(edges: DataFrame, large: bool) -> DataFrame:
-    """One star step on (u, v); minima are aggregated by parts of a star, and go back to its parts."""
+    """One star step on (u, v)."""
     if large:
         around = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    else:
-        around = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    around = around.withColumn("part", F.pmod(F.xxhash64("v"), F.lit(PARTS)).cast("int"))
-    by_part = around.groupBy("u", "part").agg(F.min("v").alias("m"))
-    least = by_part.groupBy("u").agg(F.least("u", F.min("m")).alias("m"), F.collect_set("part").alias("parts"))
-    joined = around.join(least.select("u", "m", F.explode("parts").alias("part")), ["u", "part"])
-    if large:
-        out = joined.where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-    else:
-        out = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
+        joined, _ = with_least(around, "u", F.least("u", "v"), "v", "m")
+        return joined.where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).where(F.col("u") != F.col("v"))
+    around = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+    joined, least = with_least(around, "u", F.least("u", "v"), "v", "m")
+    out = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
     return out.where(F.col("u") != F.col("v")).distinct()
 
 
@@ -52,5 +56,5 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
         mark = tuple(seen)
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
-    out = now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
-    return out
+    # After the last round each node but the roots has one edge, to its root.
+    return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

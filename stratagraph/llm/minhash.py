@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import checkpoint, mix64, texts
-from .components import components
+from .components import components, with_least
 
 WORDS, BANDS, ROWS, AGREE = 5, 12, 2, 20
 GROUP_SHINGLES, MOST_PAIRED, SALTS, MOST_BROADCAST = 2_000_000, 4096, 64, 500_000
@@ -328,8 +328,8 @@ def _rooted(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataF
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), a row for each row."""
     own, rooted = _rooted(df, id_col, text_col)
-    least = rooted.groupBy("root").agg(F.min("rep.id").alias("component_id"))
-    labels = rooted.select("cls", "root").join(least, "root").select("cls", "component_id")
+    labels, _ = with_least(rooted, "root", F.col("rep.id"), "cls", "component_id")
+    labels = labels.select("cls", "component_id")
     out = own.where(F.col("cls").isNotNull()).join(labels, "cls").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id")
     alone = own.where(F.col("cls").isNull()).select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("id").alias("component_id"))
     both = out.unionByName(alone)
