@@ -62,11 +62,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over documents, each result written as Parquet to the shared folder and reread."""
+    """The stages over documents, each result written as Parquet to the shared folder and reread.
+
+    A stage's files are removed once the next stage's are written; the last ones stay, as the result reads them.
+    """
     common.checkpoint_dir(spark)
     shared = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/pipeline-{uuid.uuid4().hex}"
-    docs = common.read(spark, sf_dir, "documents")
+    docs, before = common.read(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{shared}/{name}")
         docs = spark.read.parquet(f"{shared}/{name}")
+        if before:
+            common.remove(spark, before)
+        before = f"{shared}/{name}"
     return STAGES[-1][1](spark, docs, sf_dir)
