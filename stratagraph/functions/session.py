@@ -14,7 +14,10 @@ def checkpoint(df: DataFrame) -> DataFrame:
     """Cuts lineage with a copy in the shared checkpoint folder; a folder is set only where none is."""
     spark = df.sparkSession
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", "/tmp/checkpoints"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(folder or "/tmp/checkpoints")
     return df.checkpoint()
 
 
