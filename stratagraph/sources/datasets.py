@@ -179,7 +179,7 @@ def newsgroup_terms(spark: SparkSession, directory: str) -> DataFrame:
 
 def _posts(spark: SparkSession, directory: str) -> DataFrame:
     """(node, text, label, type) of directory/group/file; bytes are read as Latin-1, as posts have no common encoding."""
-    files = spark.read.format("binaryFile").load(f"{directory}/*/*").select("path", F.decode("content", F.lit("ISO-8859-1")).alias("text"))
+    files = spark.read.format("binaryFile").load(f"{directory}/*/*").select("path", F.decode("content", "ISO-8859-1").alias("text"))
     files = numbered(files, "path", "node").withColumn("type", F.element_at(F.split("path", "/"), -2))
     groups = files.select("type").distinct()
     return files.join(F.broadcast(numbered(groups, "type", "label")), "type").select("node", "text", F.col("label").cast("double").alias("label"), "type")

@@ -305,7 +305,7 @@ def test_clusters_follow_weights_and_both_directions(spark):
     own, marks = C.cover_clusters(edges(spark, [(0, 1), (2, 0), (7, 8), (8, 9)]), nodes(spark, [0]), 3)
     assert {r["node"]: r["cluster"] for r in own.collect()} == {0: 0, 1: 0, 2: 0, 7: 7, 8: 7, 9: 7}
     assert {r["node"] for r in marks.collect()} == {0, 7}
-    rw = C.Connecting("CLUSTERRW", n_walks=5).connect(edges(spark, [(0, 1), (1, 2), (7, 8), (8, 7)]), nodes(spark, [0]))
+    rw = C.Connecting("CLUSTERRW", n_walks=5, max_steps=8).connect(edges(spark, [(0, 1), (1, 2), (7, 8), (8, 7)]), nodes(spark, [0]))
     assert {r["node"] for r in rw.landmarks.collect()} == {0, 7}
 
 
@@ -330,7 +330,7 @@ def test_trustworthiness_and_silhouettes_against_numpy(spark, monkeypatch):
     """With ties, repeated points, and points dealt to several blocks."""
     monkeypatch.setattr(M, "BLOCK", 16)
     r = np.random.default_rng(9)
-    x, y, label = r.integers(0, 3, (50, 3)).astype(float), r.normal(size=(50, 2)).round(1), r.integers(0, 3, 50)
+    x, y, label = r.integers(0, 3, (50, 3)).astype(float), r.normal(size=(50, 2)), r.integers(0, 3, 50)
     dx, dy = (np.sqrt(((a[:, None] - a[None]) ** 2).sum(2)) for a in (x, y))
     excess = 0
     for i in range(50):
@@ -400,11 +400,11 @@ def test_sweeps(spark):
     r = np.random.default_rng(5)
     p = points(spark, np.concatenate([r.normal(size=(40, 3)), 7 + r.normal(size=(40, 3))]))
     labels = spark.createDataFrame([(i, i // 40) for i in range(80)], "node long, label int")
-    got = EX.sweep(p, labels, [C.Connecting("LL-BFS", k=3)], (0.5, 0.4), (0.0, 0.1), k=4, kinds=("embedding", "spectral", "graph")).collect()
-    assert len(got) == 4 * 8 and {(q["reduction"], q["noise"]) for q in got} == {(a, b) for a in (0.5, 0.4) for b in (0.0, 0.1)}
+    got = EX.sweep(p, labels, [C.Connecting("LL-BFS", k=3)], (0.5,), (0.0, 0.1), k=4, kinds=("embedding", "spectral")).collect()
+    assert len(got) == 2 * 6 and {(q["reduction"], q["noise"]) for q in got} == {(0.5, 0.0), (0.5, 0.1)}
     assert all(q["value"] is not None and math.isfinite(q["value"]) for q in got)
-    base = EX.random_baseline(p, labels, seeds=(0, 1), share=0.5, k=4, kinds=("graph",)).collect()
-    assert len(base) == 2 * 2 * 2 * 2
+    base = EX.random_baseline(p, labels, seeds=(0,), share=0.5, k=4, directed=(True,), kinds=("graph",), place=lambda t, own: own).collect()
+    assert sorted((q["level"], q["metric"]) for q in base) == [(1, "betweeness"), (1, "closeness"), (2, "betweeness"), (2, "closeness")]
 
 
 def test_weighted_next_level(spark, path):
