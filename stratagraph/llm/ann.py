@@ -64,7 +64,11 @@ def kmeans(x: np.ndarray, k: int, seed: int = SEED, rounds: int = ROUNDS) -> np.
 
 
 class Index:
-    """Coarse centroids, residual codebooks and the share of rows to visit; its size does not depend on the rows."""
+    """Coarse centroids, residual codebooks and the share of rows to visit; its size does not depend on the rows.
+
+    sample: a row a vector, one at least; equal vectors make fewer centroids, and a sample too small
+    to have neighbours asks for all rows.
+    """
 
     def __init__(self, sample: np.ndarray, rows: int):
         self.dims = sample.shape[1]

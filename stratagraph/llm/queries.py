@@ -10,16 +10,19 @@ from .common import read
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes of documents without what also starts earlier; null texts are empty, null ids last, rows of one id and text one document (see ``suffix``)."""
     return suffix.dedup(read(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's block, slot and position; null sources are a source, null and repeated ids and rows are kept (see ``mixing``)."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "source")
     out = mixing.mix(docs)
     return out.select("doc_id", "source", F.col("__block").alias("block"), F.col("__slot").alias("slot"), F.col("__position").alias("position"))
 
 
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of all conversations and of conversation -7, read back from the output; null roles and texts are empty (see ``chat``)."""
     rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = F.lit("\\### Assistant: </turn> ok")
     own = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), said.alias("text"))
@@ -27,31 +30,38 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests and features of every text's GIF; null texts are empty, null ids and repeated rows are kept (see ``gif``)."""
     return gif.text_media(read(spark, sf_dir, "documents"), keep_media=False)
 
 
 def op5_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's set size and class; null texts are empty, null ids are never kept, repeated rows are rows each (see ``minhash``)."""
     return minhash.near_duplicates(read(spark, sf_dir, "documents"))
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text's score; null texts are empty, null ids are scored and never learnt from (see ``quality``)."""
     docs = read(spark, sf_dir, "documents")
     return quality.score(docs, quality.train(docs, read(spark, sf_dir, "labels")))
 
 
 def op7_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of every text; null texts are empty, null ids and repeated rows are kept, ties of score go to the first (see ``pii``)."""
     return pii.find(read(spark, sf_dir, "documents"))
 
 
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts and digests of every text; null texts are empty, null ids and repeated rows are kept (see ``bpe``)."""
     return bpe.round_trip(read(spark, sf_dir, "documents"), *bpe.public_vocabulary())
 
 
 def op9_ivfpq_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten neighbours of every hundredth vector; unusable vectors and null ids take no part, repeated ids are rows each (see ``ann``)."""
     return ann.search(read(spark, sf_dir, "embeddings"))
 
 
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of every text; null texts are empty, null ids and repeated rows are kept (see ``license``)."""
     return license.scan(read(spark, sf_dir, "documents")).drop("blocks")
 
 
