@@ -799,9 +799,9 @@ def m15_reduction_sweep(spark, sf):
 
 @query()
 def m15_connector_sweep(spark, sf):
-    """Two connectors over two levels, noise and without, with their t-SNE embeddings and spectra."""
+    """Two connectors over two levels of noisy points, with their t-SNE embeddings and spectra."""
     p = points(spark, sf)
-    return tidy(EX.sweep(p.select("node", "features"), p.select("node", "label"), [C.Connecting("SL-BFS", k=5), C.Connecting("CON")], (0.3,), (0.0, 0.2), levels=2, k=5, kinds=("embedding", "spectral")))
+    return tidy(EX.sweep(p.select("node", "features"), p.select("node", "label"), [C.Connecting("SL-BFS", k=5), C.Connecting("CON")], (0.3,), (0.2,), levels=2, k=5, kinds=("embedding", "spectral")))
 
 
 @query("SELECT c_nationkey::BIGINT AS cluster, string_agg(c_custkey::VARCHAR, ',' ORDER BY c_custkey) AS nodes FROM customer GROUP BY c_nationkey")
