@@ -15,6 +15,7 @@ from stratagraph.operators import graph as G
 from stratagraph.operators import hierarchy as H
 from stratagraph.operators import metrics as M
 from stratagraph.operators import sampling as S
+from stratagraph.operators import sparse as S2
 
 
 def edges(spark, pairs, both=False):
@@ -225,6 +226,28 @@ def test_spectra(spark, triangles):
     assert np.allclose(steps[:2], want[:2], atol=1e-6)
 
 
+def test_spectra_beyond_the_whole_matrix(spark, monkeypatch):
+    """Values that are met twice (a ring) or often (parts of a graph) are all there, by any way; too few steps raise."""
+    n = 600
+    ring = edges(spark, [(k, (k + 1) % n, -0.5) for k in range(n)] + [(k, (k - 1) % n, -0.5) for k in range(n)] + [(k, k, 1.0) for k in range(n)])
+    want = np.sort(1 - np.cos(2 * np.pi * np.arange(n) / n))[:7]
+    assert np.allclose([r["value"] for r in M.eigenvalues(ring, nodes(spark, range(n)), 7, most=10).orderBy("rank").collect()], want, atol=1e-9)
+    r = np.random.default_rng(2)
+    i, j = np.repeat(np.arange(n), 4), None
+    j = (i + 20 * r.integers(1, n // 20, len(i))) % n
+    lap = G.laplacian(edges(spark, {(int(a), int(b)): 1 for a, b in zip(i, j, strict=True) if a != b}, both=True))
+    m = np.zeros((n, n))
+    for (a, b), x in as_dict(lap, 12).items():
+        m[a, b] = x
+    want = np.linalg.eigvalsh(m)[:25]
+    monkeypatch.setattr(S2, "MOST_WORK", 0)
+    for limit in (10**6, 0):
+        monkeypatch.setattr(M, "MOST_EDGES", limit)
+        assert np.allclose([x["value"] for x in M.eigenvalues(lap, nodes(spark, range(n)), 25, most=10).orderBy("rank").collect()], want, atol=1e-6)
+    with pytest.raises(RuntimeError):
+        M.eigenvalues(lap, nodes(spark, range(n)), 25, most=10, steps=3)
+
+
 def test_tsne_separates_clusters(spark):
     r = np.random.default_rng(0)
     p = points(spark, np.concatenate([r.normal(size=(40, 4)), 9 + r.normal(size=(40, 4))]))
