@@ -311,6 +311,30 @@ def test_absorption_direct_and_iterative(spark):
     assert {x["node"] for x in plain.landmarks.collect()} == {0, 9}  # landmarks that nothing leads to are kept
 
 
+def test_absorption_by_columns_and_by_joins(spark, monkeypatch):
+    """Rounds in a task for some landmarks' columns, rounds of joins and the direct solution agree, and so do gram matrices by blocks."""
+    r = np.random.default_rng(3)
+    t = G.normalise(edges(spark, {(int(a), int(b)): 1 for a, b in r.integers(0, 60, (300, 2)) if a != b}))
+    marks, found, calls, iterated = nodes(spark, range(0, 60, 5)), [], [], C._iterated
+    plain = C.absorption(t, marks, solver="direct")
+    monkeypatch.setattr(C, "_iterated", lambda *a: (calls.append(1), iterated(*a))[1])
+    for copied, columns in ((10**6, 100), (10**6, 10**6), (0, 0)):
+        monkeypatch.setattr(C, "MOST_COPIED", copied)
+        monkeypatch.setattr(C, "MOST_COLUMNS", columns)
+        found.append({(x["state"], x["lm"]): x["p"] for x in C.absorption(t, marks, solver="iterative", tolerance=1e-11).collect()})
+    want = {(x["state"], x["lm"]): x["p"] for x in plain.collect()}
+    assert len(calls) == 2 and all(x.keys() == want.keys() and all(abs(x[k] - want[k]) < 1e-9 for k in x) for x in found)
+    i, weights = plain.unionByName(spark.createDataFrame([(99, 0, 0.5)], "state long, lm long, p double")), spark.createDataFrame([(k, k % 4 + 0.5) for k in range(60)], "state long, w double")
+    for w in (None, weights):
+        monkeypatch.setattr(G, "GRAM_DENSE", 10**6)
+        want = as_dict(G.gram(i, w))
+        monkeypatch.setattr(G, "GRAM_DENSE", 1)
+        for states, own in ((1000, 1000), (7, 5)):
+            monkeypatch.setattr(G, "GRAM_STATES", states)
+            monkeypatch.setattr(G, "GRAM_MARKS", own)
+            assert as_dict(G.gram(i, w)) == want
+
+
 def test_searches_with_a_node_limit(spark, path):
     lm = nodes(spark, [0, 3])
     got = {(r["state"], r["lm"]): r["h"] for r in C.hops(path, nodes(spark, range(4)), lm, 2, max_nodes=3).collect()}
