@@ -364,6 +364,19 @@ def test_betweenness_of_a_sample_is_of_all_paths(spark):
     assert {r["node"]: r["value"] for r in M.harmonic_centrality(line, nodes(spark, [0, 2]), cutoff=1.0).collect()} == {0: 0.25, 2: 0.5}
 
 
+@pytest.mark.parametrize("kind", ("hops", "sums"))
+def test_paths_of_many_starts_are_those_of_one(spark, monkeypatch, kind):
+    """Searches that share rounds give the plain search's centralities, with a cutoff, and with starts that the graph hasn't."""
+    r = np.random.default_rng(11)
+    pairs = {(int(a), int(b)): float(r.integers(1, 4)) if kind == "sums" else 2.0 for a, b in r.integers(0, 330, (900, 2)) if a != b}
+    e, n = edges(spark, [(*k, w) for k, w in pairs.items()]), nodes(spark, [*range(330), 999])
+    got = lambda f, **o: {x["node"]: round(x["value"], 8) for x in f(e, n, **o).collect()}
+    asked = [(f, o) for f in (M.harmonic_centrality, M.betweenness_centrality) for o in ({}, {"cutoff": 4.0})]
+    many = [got(f, **o) for f, o in asked]
+    monkeypatch.setattr(M, "_kind", lambda w: "other")
+    assert many == [got(f, **o) for f, o in asked] and many[0][999] == 0.0
+
+
 def test_small_metrics(spark):
     p = points(spark, [[0.0, 0], [1, 0]])
     assert M.trustworthiness(p, p, 5).first()["value"] == 1.0
