@@ -11,7 +11,8 @@ from fractions import Fraction
 import numpy as np
 import pytest
 
-from stratagraph.llm import ann, bpe, chat, gif, license, minhash, mixing, pii, quality, queries, suffix
+from stratagraph.functions import session
+from stratagraph.llm import ann, bpe, chat, common, gif, license, minhash, mixing, pii, quality, queries, suffix
 
 from . import brute
 
@@ -719,3 +720,14 @@ def test_share_follows_the_structure():
 def test_every_operator_has_a_query():
     names = queries.queries()
     assert [sum(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)] == [1] * 10
+
+
+@pytest.mark.parametrize("checkpoint", [session.checkpoint, common.checkpoint])
+def test_checkpoints_give_the_heap_back(spark, monkeypatch, checkpoint):
+    """Only beyond the share of the heap that is allowed."""
+    calls = []
+    monkeypatch.setattr(session.gc, "collect", lambda: calls.append(1))
+    for share, n in ((1.0, 0), (0.0, 1)):
+        monkeypatch.setattr(session, "HEAP_SHARE", share)
+        assert checkpoint(spark.range(10)).count() == 10
+        assert len(calls) == n
