@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from stratagraph.functions import session
 from stratagraph.operators import communities as X
 from stratagraph.operators import connecting as C
 from stratagraph.operators import embedding as E
@@ -281,6 +282,50 @@ def test_repulsion_through_a_grid():
         assert abs(plain.sum() - len(y) - z) < 1e-6 * z
 
 
+def test_repulsion_takes_the_cheaper_way():
+    """Wide layouts of a few thousand points meet all pairs: blocks of pairs are each computed once, and a grid of many boxes costs more."""
+    y = np.random.default_rng(2).normal(size=(700, 2)) * 30
+    gap = y[:, None] - y[None]
+    q = 1 / (1 + (gap**2).sum(2))
+    push, z = E._repulsion(y, at_once=256)
+    assert abs(z - (q.sum() - len(y))) < 1e-9 * z and np.allclose(push, ((q * q)[:, :, None] * gap).sum(1))
+    assert E._boxes(y) > 100 and len(y) <= E.PAIRS_A_BOX * E._boxes(y) < 20_000
+
+
+def test_known_spectra_and_embeddings_are_not_computed_again(spark, monkeypatch):
+    """The whole graph's spectrum once for all levels, embeddings of all levels in one job."""
+    r = np.random.default_rng(3)
+    p = points(spark, r.normal(size=(120, 4)))
+    labels = p.select("node", (F.col("node") % 3).alias("label"))
+    sizes, jobs, own = [], [], M.eigenvalues
+
+    def counted(edges, nodes, k, *a, **b):
+        sizes.append(nodes.count())
+        return own(edges, nodes, k, *a, **b)
+
+    monkeypatch.setattr(M, "eigenvalues", counted)
+    monkeypatch.setattr(EX, "eigenvalues", counted, raising=False)
+    monkeypatch.setattr(EX, "checkpoint", lambda df: (jobs.append({*df.columns} >= {"x", "y"}), session.checkpoint(df))[1])
+    place = lambda t, own: own.select("node", F.element_at("features", 1).alias("x"), F.element_at("features", 2).alias("y"))
+    got = EX.random_baseline(p, labels, seeds=(0, 1), share=0.5, directed=(False,), k=4, kinds=("spectral",), place=place)
+    assert sorted(sizes) == [30, 30, 60, 60, 120] and sum(jobs) == 1
+    assert got.count() == 8 and got.where("value IS NULL").count() == 0
+    whole = G.normalise(G.knn_graph(p, 4, directed=False))
+    for seed in (0, 1):
+        for level, sub in enumerate(EX.random_subsets(p, seed, 0.5, 2), 1):
+            t = G.normalise(G.knn_graph(sub, 4, directed=False))
+            plain = M.spectral_metrics(G.walk_laplacian(whole, p.select("node")), p.select("node"), G.walk_laplacian(t, sub.select("node")), sub.select("node"), 20)
+            assert {x["metric"]: round(x["value"], 8) for x in plain.collect()} == {x["metric"]: round(x["value"], 8) for x in got.where((F.col("seed") == seed) & (F.col("level") == level)).collect()}
+
+
+def test_freed_native_memory_is_handed_back(spark, monkeypatch):
+    assert "native heap" in session.trim(spark)
+    calls = []
+    monkeypatch.setattr(session, "trim", lambda spark: calls.append(1))
+    session.checkpoint(spark.range(3))
+    assert calls == [1]
+
+
 def test_embedding_by_a_grid_separates_clusters(spark):
     r = np.random.default_rng(1)
     p = points(spark, np.concatenate([r.normal(size=(150, 3)), 12 + r.normal(size=(150, 3))]))
