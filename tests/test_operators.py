@@ -318,6 +318,25 @@ def test_known_spectra_and_embeddings_are_not_computed_again(spark, monkeypatch)
             assert {x["metric"]: round(x["value"], 8) for x in plain.collect()} == {x["metric"]: round(x["value"], 8) for x in got.where((F.col("seed") == seed) & (F.col("level") == level)).collect()}
 
 
+def test_divergences_follow_paths_once(spark, monkeypatch, tmp_path):
+    """Centralities are kept before a divergence reads its tables several times."""
+    for name in ("harmonic_centrality", "betweenness_centrality"):
+
+        def marked(edges, nodes, *a, own=getattr(M, name), name=name):
+            def run(batches):
+                with open(tmp_path / name, "a") as f:
+                    f.write("x")
+                yield from batches
+
+            return own(edges, nodes, *a).coalesce(1).mapInArrow(run, "node long, value double")
+
+        monkeypatch.setattr(M, name, marked)
+    ring = lambda n: edges(spark, [(i, (i + 1) % n) for i in range(n)], both=True)
+    got = {x["metric"]: x["value"] for x in M.graph_metrics(ring(8), ring(6), directed=False).collect()}
+    assert set(got) == {"closeness", "betweeness"}
+    assert {x.name: x.read_text() for x in tmp_path.iterdir()} == {"harmonic_centrality": "xx", "betweenness_centrality": "xx"}
+
+
 def test_freed_native_memory_is_handed_back(spark, monkeypatch):
     assert "native heap" in session.trim(spark)
     calls = []
