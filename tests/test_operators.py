@@ -318,6 +318,24 @@ def test_known_spectra_and_embeddings_are_not_computed_again(spark, monkeypatch)
             assert {x["metric"]: round(x["value"], 8) for x in plain.collect()} == {x["metric"]: round(x["value"], 8) for x in got.where((F.col("seed") == seed) & (F.col("level") == level)).collect()}
 
 
+def test_sweeps_share_a_graph_and_its_spectrum(spark, monkeypatch):
+    """Connectors and levels of the same points are compared with one graph, whose spectrum is computed once."""
+    p = points(spark, np.random.default_rng(5).normal(size=(60, 4)))
+    labels = p.select("node", (F.col("node") % 3).alias("label"))
+    sizes, own = [], M.eigenvalues
+
+    def counted(edges, nodes, k, *a, **b):
+        sizes.append(nodes.count())
+        return own(edges, nodes, k, *a, **b)
+
+    monkeypatch.setattr(M, "eigenvalues", counted)
+    monkeypatch.setattr(EX, "eigenvalues", counted, raising=False)
+    place = lambda level, own: H.gather(level.landmarks, own).select("node", F.element_at("features", 1).alias("x"), F.element_at("features", 2).alias("y"))
+    got = EX.sweep(p, labels, [C.Connecting("LL-BFS", k=3), C.Connecting("CON")], (0.5,), k=4, kinds=("spectral",), place=place).collect()
+    assert sorted(sizes) == [30, 30, 60]
+    assert {(x["connector"], x["metric"]) for x in got} == {(c, m) for c in ("LL-BFS", "CON") for m in ("dspectral", "rel_eigval_e")}
+
+
 def test_divergences_follow_paths_once(spark, monkeypatch, tmp_path):
     """Centralities are kept before a divergence reads its tables several times."""
     for name in ("harmonic_centrality", "betweenness_centrality"):
