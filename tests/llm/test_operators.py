@@ -590,6 +590,29 @@ def test_decoding_is_of_the_ids(vocabulary, monkeypatch):
     assert codec.db.sql("SELECT current_setting('temp_directory')").fetchall()[0][0] in ("", None)
 
 
+def test_bpe_remembers_pieces_across_tasks(vocabulary, monkeypatch):
+    """A query's later tasks learn only new pieces; pieces that recur stay when the memory is full; another query begins anew."""
+    codec, learnt = bpe.Codec(bpe.load_ranks(vocabulary[0]), vocabulary[1]), []
+    contract = codec.contract
+    monkeypatch.setattr(codec, "contract", lambda raw: learnt.extend(raw) or contract(raw))
+
+    def task(query, text):
+        learnt.clear()
+        codec.begin(query)
+        ids = codec.encode([text])
+        codec.rest()
+        assert codec.decode_ids(ids) == [text.encode()]
+        return sorted(learnt)
+
+    monkeypatch.setattr(bpe, "REMEMBERED", 3)
+    assert task("a", "blorp zwick") == [b" zwick", b"blorp"]
+    assert task("a", "blorp zwick quaff") == [b" quaff"]
+    assert task("a", "blorp fnord") == [b" fnord"]
+    assert task("a", "blorp fnord") == []
+    assert task("a", "glomp glomp glomp snark wibbl")[0] == b" glomp" and len(codec.known) + len(codec.older) <= 8
+    assert task("b", "blorp zwick") == [b" zwick", b"blorp"]
+
+
 def test_bpe_of_null_ids_and_carried_columns(spark, vocabulary):
     df = spark.createDataFrame([(None, "a b", 5), (None, None, 6), (3, "x" * 5000, None), (3, "x" * 5000, None)], "doc_id long, text string, position int")
     got = sorted(((r["doc_id"], r["n_tokens"] > 0, r["position"]) for r in bpe.round_trip(df, *vocabulary, carry="position").collect()), key=str)
