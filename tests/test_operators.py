@@ -559,3 +559,29 @@ def test_reports(spark):
     long = spark.createDataFrame([("a", 1.0), ("a", 3.0), ("b", 2.0)], "metric string, value double")
     assert M.latex_rows(M.report(long)) == [r"a & 3.000 & 2.000 & 1.000 & 1.414 \\", r"b & 2.000 & 2.000 & 2.000 & -- \\"]
     assert sorted(r["value"] for r in M.radar(long).collect()) == [1 / 3, 1.0, 1.0]
+
+
+def test_searches_meet_edges_once(monkeypatch):
+    """Shares of one start's paths, by hops and by sums, are the plain ones, and no node's edges are met twice."""
+    asked, of = [], S2.Near.of
+    monkeypatch.setattr(S2.Near, "of", lambda self, rows, marks: asked.append((id(self), rows)) or of(self, rows, marks))
+    random = np.random.default_rng(5)
+    for case in range(40):
+        n = int(random.integers(2, 50))
+        a, b = np.divmod(np.unique(np.concatenate([random.integers(0, n * n, 4 * n), np.arange(n)])), n)  # node 0 is a hub
+        w = (np.ones(len(a)), random.choice([0.5, 1.0, 1.5], len(a)), random.random(len(a)) + 0.01)[case % 3]
+        rows, limit = np.searchsorted(a, np.arange(n + 1)), (np.inf, 2.0)[case % 2]
+        given = None if case % 3 == 0 else w
+        into, out = S2.Near(n, b, a, given), S2.Near(n, a, b, given)
+        for start in range(n):
+            asked.clear()
+            got = (S2.hop_shares if given is None else S2.path_shares)(into, out, start, limit)
+            order, _, count, back = M._paths(start, rows, b, w, None if limit == np.inf else limit)
+            want = np.zeros(n)
+            for u in reversed(order):
+                for p in back[u]:
+                    want[p] += count[p] / count[u] * (1 + want[u])
+            want[start] = 0
+            np.testing.assert_allclose(got, want, atol=1e-9)
+            met = np.concatenate([x for which, x in asked if which == id(out)])
+            assert len(np.unique(met)) == len(met)
