@@ -393,6 +393,44 @@ def test_absorption_direct_and_iterative(spark):
     assert {x["node"] for x in plain.landmarks.collect()} == {0, 9}  # landmarks that nothing leads to are kept
 
 
+def test_products_by_slabs():
+    """As a plain product, with even and uneven rows, rows beyond LONG and empty ones; potentials are known where a matrix is similar to a symmetric one."""
+    r = np.random.default_rng(5)
+    for n, share in ((40, 0.2), (900, 0.01)):
+        a = np.where(r.random((n, n)) < share, r.random((n, n)), 0.0)
+        a[3], a[7] = 0.0, r.random(n)
+        for b in (a, np.where(a > 0, r.random((n, 1)), 0.0)):
+            i, j = np.nonzero(b)
+            m, x, out = S2.Slabs(n, i, j, b[i, j], 5), r.random((n, 5)), r.random((n, 5))
+            assert np.allclose(m.of(x[m.order], np.empty((n, 5)))[m.rank], b @ x)
+            assert np.allclose(m.of(x[m.order], out[m.order], 0.3, 0.7)[m.rank], 0.3 * out + 0.7 * b @ x)
+            assert S2.potentials(n, i, j, b[i, j]) is None
+        b = np.maximum(a, a.T)
+        b /= 1.05 * b.sum(1, keepdims=True)
+        i, j = np.nonzero(b)
+        d, m, right = S2.potentials(n, i, j, b[i, j]), S2.Slabs(n, i, j, b[i, j], 5), r.random((n, 5))
+        assert np.allclose(d[i] * b[i, j], d[j] * b[j, i])
+        got = S2.settled(m, right[m.order], 0.96, lambda left: np.abs(left).max() / 1e-12)[m.rank]
+        assert np.allclose(got, np.linalg.solve(np.eye(n) - b, right), atol=1e-9)
+
+
+def test_absorption_in_an_undirected_graph_takes_few_products(spark, monkeypatch):
+    """A slow undirected graph of two parts settles in far fewer products than rounds, with rows where a landmark is reached alone."""
+    r = np.random.default_rng(9)
+    found = {tuple(sorted((int(a), int(b)))): float(c) for a, b, c in zip(*r.integers(0, 150, (2, 500)), r.random(500), strict=True) if a != b}
+    found |= {(a + 1000, b + 1000): w for (a, b), w in found.items()} | {(k + 2000, k + 2001): 1.0 for k in range(10)}
+    t = G.normalise(edges(spark, [(a, b, w) for (a, b), w in found.items()], both=True))
+    marks = nodes(spark, [*range(0, 150, 15), *range(1000, 1150, 15), 2000, 2010])
+    want = {(x["state"], x["lm"]): x["p"] for x in C.absorption(t, marks, solver="direct").collect() if x["p"] > 1e-12}
+    system = C._absorbed(t, marks, 1000, 1e-10, solver="iterative")[1]
+    m, calls = system.matrix(), []
+    monkeypatch.setattr(m, "of", lambda *a, of=m.of: (calls.append(1), of(*a))[1], raising=False)
+    system.solve(m, 0)
+    assert len(calls) < system.rounds / 3
+    got = {(x["state"], x["lm"]): x["p"] for x in C.absorption(t, marks, tolerance=1e-10, solver="iterative").collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in got)
+
+
 def test_absorption_by_columns_and_by_joins(spark, monkeypatch):
     """Rounds in a task for some landmarks' columns, rounds of joins and the direct solution agree, and so do gram matrices by blocks."""
     r = np.random.default_rng(3)
