@@ -431,6 +431,21 @@ def test_absorption_in_an_undirected_graph_takes_few_products(spark, monkeypatch
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in got)
 
 
+@pytest.mark.parametrize("both", (False, True))
+def test_exact_transitions_without_influence(spark, both, monkeypatch):
+    """Rows of I' I by two solutions are those of the gram matrix, in directed and undirected graphs, also of a landmark that nothing leads to."""
+    r = np.random.default_rng(11)
+    found = {(int(a), int(b)): float(c) for a, b, c in zip(*r.integers(0, 90, (2, 300)), r.random(300), strict=True) if a != b}
+    found |= {(a + 1000, b + 1000): w for (a, b), w in found.items()}
+    graph = edges(spark, [(a, b, w) for (a, b), w in found.items()])
+    graph = G.symmetrise_max(graph) if both else graph
+    c, marks = C.Connecting("EXACT", solver="iterative", tolerance=1e-11), nodes(spark, [*range(0, 90, 9), *range(1000, 1090, 9), 5000])
+    want = as_dict(G.normalise(G.gram(C.absorption(G.normalise(graph), marks, solver="direct").where("p > 1e-13"))))
+    monkeypatch.setattr(C, "_influence_to_coarse", None)  # would write the influence
+    got = as_dict(c.connect(graph, marks).transition)
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in got)
+
+
 def test_absorption_by_columns_and_by_joins(spark, monkeypatch):
     """Rounds in a task for some landmarks' columns, rounds of joins and the direct solution agree, and so do gram matrices by blocks."""
     r = np.random.default_rng(3)
