@@ -428,7 +428,8 @@ def test_absorption_in_an_undirected_graph_takes_few_products(spark, monkeypatch
     system.solve(m, 0)
     assert len(calls) < system.rounds / 3
     got = {(x["state"], x["lm"]): x["p"] for x in C.absorption(t, marks, tolerance=1e-10, solver="iterative").collect()}
-    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in got)
+    assert got.keys() == want.keys()
+    assert all(sum(abs(got[k] - want[k]) for k in got if k[0] == state) <= 1.1e-10 for state in {x for x, _ in got})  # of a state's landmarks together
 
 
 @pytest.mark.parametrize("both", (False, True))
