@@ -522,6 +522,19 @@ def test_small_metrics(spark):
     assert abs(shared - (p / p.sum() * np.log(p / p.sum() * q.sum() / q)).sum()) < 1e-9 and apart != shared
 
 
+def test_rows_before_marks(monkeypatch):
+    """Counted without sorting all distances, by differences where products cannot tell: equal points, grids, far from 0, twins."""
+    monkeypatch.setattr(M, "distances", None)
+    r = np.random.default_rng(1)
+    for x in (r.normal(size=(300, 6)), r.integers(0, 3, (300, 3)).astype(float), np.ones((300, 4)), r.normal(size=(300, 4)) * 1e-3 + 50, r.normal(size=(150, 8)).repeat(2, 0)):
+        p, q, owner = r.permutation(300)[:120], np.sort(r.permutation(300)[:200]), np.repeat(np.arange(120), r.integers(0, 6, 120))
+        who = r.integers(0, 300, len(owner))
+        far, d = np.sqrt(((x[p[owner]] - x[who]) ** 2).sum(1)), np.sqrt(((x[p[owner], None] - x[q]) ** 2).sum(2))
+        nearer = (d < far[:, None] - 1e-12) | ((np.abs(d - far[:, None]) <= 1e-12) & (q < who[:, None]))
+        want = (nearer & (q != p[owner][:, None])).sum(1)
+        assert (M._before(x[p], x[q], p, q, owner, who, far, at_once=5000) == want).all()
+
+
 def test_trustworthiness_and_silhouettes_against_numpy(spark, monkeypatch):
     """With ties, repeated points, and points dealt to several blocks."""
     monkeypatch.setattr(M, "BLOCK", 16)
